@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 
 def all_queries() -> dict[str, Callable]:
-    from sessionmeter.registry import usage_queries
+    from sessionmeter.registry import log_queries, usage_queries
 
-    return {**usage_queries.QUERIES}
+    return {**usage_queries.QUERIES, **log_queries.QUERIES}
 
 
 def all_oracles() -> dict[str, str]:
-    from sessionmeter.registry import usage_sql
+    from sessionmeter.registry import log_sql, usage_sql
 
-    return {**usage_sql.ORACLE}
+    return {**usage_sql.ORACLE, **log_sql.ORACLE}

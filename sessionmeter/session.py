@@ -29,6 +29,7 @@ def build_session(master: str, shuffle_partitions: int, driver_memory: str = "8g
         SparkSession.builder.master(master)
         .appName("sessionmeter")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", driver_memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
