@@ -48,22 +48,26 @@ def all_sessions(spark, sf):
     ).select("agent", "session_id", "last_active_ts", "turns")
 
 
-def merged_calls(spark, sf):
+def event_lines(events: DataFrame) -> DataFrame:
     """The given events of a user as streamed lines: the type is the message id, errors break a run."""
-    kind = F.col("event_type")
     zero = F.lit(0).cast("bigint")
-    rows = T.as_token_events(T.table(spark, sf, "events").withColumn("day", F.lit(0))).select(
-        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"),
-        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"),
+    user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    return T.as_token_events(events).select(
+        user.alias("path"),
+        user.alias("session_id"),
+        # wide steps, so that runs cross the borders of chunks
         (F.col("ord") * 4_096).alias("ord"),
         F.when(F.col("is_user_turn"), "user").when(F.col("web_search_calls") > 0, "other").otherwise("assistant").alias("kind"),
         "ts", "model",
-        # a third of the users name their messages by model only, the others not at all
+        # a third of the users give their messages no id
         F.when(F.col("user_id") % 3 != 0, F.col("model")).otherwise("").alias("mid"),
         "input_tokens",
         F.when(F.col("output_tokens") % 3 == 0, zero).otherwise(F.col("output_tokens")).alias("output_tokens"),
     )
-    out = claude.merge_streamed(rows, "claude")
+
+
+def merged_calls(spark, sf):
+    out = claude.merge_streamed(event_lines(T.table(spark, sf, "events")), "claude")
     return out.select("session_id", "ts", "is_user_turn", "model", "input_tokens", "output_tokens")
 
 

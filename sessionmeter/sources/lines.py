@@ -23,13 +23,16 @@ def line_order() -> Column:
     return F.shiftleft(start, LINE_BITS) + row
 
 
-def _read(spark: SparkSession, paths: list[str], **options: str) -> DataFrame:
+def _read(spark: SparkSession, paths: list[str], since: int | None, **options: str) -> DataFrame:
+    """`since` (epoch s) drops files not changed since then while listing, before any is opened."""
     try:
         raw = spark.read.options(**options).text(paths)
     except AnalysisException as err:
         if err.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], LINE_SCHEMA)
+    if since is not None:
+        raw = raw.where(F.col("_metadata.file_modification_time") >= F.timestamp_seconds(F.lit(since)))
     return raw.select(
         F.col("_metadata.file_path").alias("path"),
         F.unix_seconds(F.col("_metadata.file_modification_time")).alias("file_mtime"),
@@ -39,30 +42,30 @@ def _read(spark: SparkSession, paths: list[str], **options: str) -> DataFrame:
     )
 
 
-def claude_lines(spark: SparkSession, root: str, compressed: bool = False) -> DataFrame:
+def claude_lines(spark: SparkSession, root: str, compressed: bool = False, since: int | None = None) -> DataFrame:
     """`<root>/<project>/<session>.jsonl`, exactly two levels down."""
     names = "{*.jsonl,*.jsonl.gz}" if compressed else "*.jsonl"
-    return _read(spark, [f"{root}/*/{names}"])
+    return _read(spark, [f"{root}/*/{names}"], since)
 
 
 def claude_subagent_lines(spark: SparkSession, root: str, compressed: bool = False) -> DataFrame:
     """`<root>/<project>/<parent>/subagents/agent-*.jsonl`, with the parent session."""
     names = "{agent-*.jsonl,agent-*.jsonl.gz}" if compressed else "agent-*.jsonl"
-    lines = _read(spark, [f"{root}/*/*/subagents/{names}"])
+    lines = _read(spark, [f"{root}/*/*/subagents/{names}"], None)
     return lines.withColumn("parent_session_id", F.regexp_extract("path", r"([^/]+)/subagents/[^/]+$", 1))
 
 
-def codex_lines(spark: SparkSession, root: str) -> DataFrame:
+def codex_lines(spark: SparkSession, root: str, since: int | None = None) -> DataFrame:
     """`rollout-*.jsonl` at most five levels down; a dated root reads those days only."""
-    lines = _read(spark, [root], recursiveFileLookup="true", pathGlobFilter="rollout-*.jsonl")
+    lines = _read(spark, [root], since, recursiveFileLookup="true", pathGlobFilter="rollout-*.jsonl")
     # file paths are absolute URIs, so the depth is counted after the last part of the root
     below = F.substring_index(F.col("path"), root.rstrip("/") + "/", -1)
     return lines.where(F.size(F.split(below, "/")) <= 5).where(codex_raw_id(F.col("path")).isNotNull())
 
 
-def qwen_lines(spark: SparkSession, root: str) -> DataFrame:
+def qwen_lines(spark: SparkSession, root: str, since: int | None = None) -> DataFrame:
     """`<root>/<project>/chats/<session>.jsonl`."""
-    return _read(spark, [f"{root}/*/chats/*.jsonl"])
+    return _read(spark, [f"{root}/*/chats/*.jsonl"], since)
 
 
 def stem(path: Column) -> Column:
@@ -97,7 +100,7 @@ def list_files(spark: SparkSession, agent: str, root: str) -> DataFrame:
             raise
         return spark.createDataFrame([], "path string, file_mtime bigint, file_size bigint")
     files = found.select(
-        "path",
+        F.col("_metadata.file_path").alias("path"),
         F.unix_seconds("modificationTime").alias("file_mtime"),
         F.col("length").alias("file_size"),
     )
@@ -105,3 +108,16 @@ def list_files(spark: SparkSession, agent: str, root: str) -> DataFrame:
         below = F.substring_index(F.col("path"), root.rstrip("/") + "/", -1)
         files = files.where(F.size(F.split(below, "/")) <= 5).where(codex_raw_id(F.col("path")).isNotNull())
     return files
+
+
+def existing_globs(spark: SparkSession, globs: list[str]) -> list[str]:
+    """The globs that match something; the reader refuses a list with one that matches nothing."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for glob in globs:
+        path = jvm.org.apache.hadoop.fs.Path(glob)
+        status = path.getFileSystem(conf).globStatus(path)
+        if status is not None and len(status) > 0:
+            found.append(glob)
+    return found
