@@ -12,7 +12,8 @@ RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2
 def rfc3339_seconds(text: Column) -> Column:
     """Whole epoch seconds, not below 0; NULL when the text is not RFC 3339."""
     parsed = F.unix_seconds(F.try_to_timestamp(F.upper(text)))
-    return F.when(text.rlike(RFC3339), F.greatest(parsed, F.lit(0).cast("bigint")))
+    # not greatest(), which would turn an impossible date into 0
+    return F.when(text.rlike(RFC3339), F.when(parsed < 0, 0).otherwise(parsed))
 
 
 def epoch_seconds(ntz: Column) -> Column:

@@ -98,7 +98,7 @@ class Store:
         if since is not None:
             lines = lines.join(todo.select("path"), "path", "left_semi")
         dialect = DIALECTS[agent]
-        self._write(batch, agent, "sessions", _with_empty_files(dialect.sessions(lines), todo, agent))
+        self._write(batch, agent, "sessions", dialect.sessions(lines))
         self._write_events(batch, agent, dialect.token_events(lines))
         self._write(batch, agent, "transcript_events", dialect.transcript(lines))
 
@@ -137,20 +137,3 @@ def _stored_sessions(sessions: DataFrame) -> DataFrame:
         F.coalesce("message_count", F.lit(0).cast("bigint")).alias("file_size"),
         F.lit(hermes.AGENT).alias("agent"),
     )
-
-
-def _with_empty_files(sessions: DataFrame, todo: DataFrame, agent: str) -> DataFrame:
-    """A file without a single line is a session too, with nothing in it."""
-    from sessionmeter.sources.lines import session_id
-
-    empty = todo.where((F.col("agent") == agent) & (F.col("file_size") == 0)).select(
-        F.lit(agent).alias("agent"),
-        session_id(agent, F.col("path")).alias("session_id"),
-        "path",
-        *[F.lit(None).cast("string").alias(c) for c in ("cwd", "model", "prompt")],
-        F.lit(0).cast("bigint").alias("turns"),
-        F.col("file_mtime").alias("last_active_ts"),
-        F.col("file_mtime").alias("started_at_ts"),
-        F.lit(False).alias("is_scripted"),
-    )
-    return sessions.unionByName(empty)

@@ -59,7 +59,7 @@ def home_files(spark: SparkSession, homes: str, project_globs: tuple[str, ...] =
     base = homes.rstrip("/") + "/"
     where = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
     below = F.substring_index(where, base, -1)
-    described = read(pathGlobFilter="{SKILL,AGENTS}.md").select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    described = read(pathGlobFilter="{SKILL,AGENTS}.md").select("path", F.decode("content", "UTF-8").alias("text"))
     facts = read().select("path", F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"))
     return facts.join(described, "path", "left").select(
         F.substring_index(below, "/", 1).alias("home"),
