@@ -11,7 +11,8 @@ from sessionmeter.operators import inventory
 from sessionmeter.plans.manifest import changed_files, gone_files
 from sessionmeter.registry import tables as T
 
-doc, source = F.col("doc_id"), F.col("source")
+def _doc():
+    return F.col("doc_id")
 
 
 def _documents(spark, sf) -> DataFrame:
@@ -19,15 +20,17 @@ def _documents(spark, sf) -> DataFrame:
 
 
 def _home():
-    return F.concat(F.lit("h"), F.floor(doc / 100).cast("string"))
+    return F.concat(F.lit("h"), F.floor(_doc() / 100).cast("string"))
 
 
-def _name(prefix: str, column=doc, suffix: str = ""):
+def _name(prefix: str, column=None, suffix: str = ""):
+    column = _doc() if column is None else column
     return F.concat(F.lit(prefix), column.cast("string"), F.lit(suffix))
 
 
 def files(spark, sf) -> DataFrame:
     """Every document as a file in some user's home."""
+    doc, source = _doc(), F.col("source")
     skill = F.floor(doc / 20)
     front = F.concat(F.lit('---\nname: x\n Description: "about '), doc.cast("string"), F.lit('" \n---\n'), F.col("text"))
     place = (
@@ -57,6 +60,7 @@ def files(spark, sf) -> DataFrame:
 
 def logs(spark, sf) -> DataFrame:
     """Each document as a readable line of a project log: three lines per log."""
+    doc, source = _doc(), F.col("source")
     own = doc % 10 == 4
     encoded = F.when(own, F.concat(F.lit("-home-"), _home(), _name("-w-d"))).otherwise(F.concat(F.lit("-w-"), source))
     cwd = F.when(own, F.concat(F.lit("/home/"), _home(), _name("/w/d"))).when(
@@ -104,6 +108,7 @@ def skill_files(spark, sf):
 
 def manifest_changes(spark, sf):
     """Two states of the documents: some grew, some are new, some were read by an older version."""
+    doc = _doc()
     docs = _documents(spark, sf)
     path = _name("d")
     known = docs.where(doc % 5 != 0).select(
@@ -116,6 +121,7 @@ def manifest_changes(spark, sf):
 
 
 def manifest_gone(spark, sf):
+    doc = _doc()
     docs = _documents(spark, sf)
     known = docs.where(doc % 5 != 0).select(_name("d").alias("path"))
     listed = docs.where(doc % 13 != 0).select(_name("d").alias("path"))

@@ -9,11 +9,13 @@ from sessionmeter.registry.tables import table
 
 BASE = 1_704_844_800  # 2024-01-10T00:00:00Z
 
-conv, turn, role, text = F.col("conv_id"), F.col("turn"), F.col("role"), F.col("text")
-_seconds = F.lit(BASE).cast("bigint") + conv * 60 + turn
-_iso = F.date_format(F.timestamp_seconds(_seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-# every fifth turn has a time that cannot be read
-STAMP = F.when(turn % 5 == 4, F.lit("soon")).otherwise(_iso)
+
+def _columns() -> tuple[Column, ...]:
+    """conv, turn, role, text, and the time of a turn; every fifth turn has one that cannot be read."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    seconds = F.lit(BASE).cast("bigint") + conv * 60 + turn
+    iso = F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return conv, turn, F.col("role"), F.col("text"), F.when(turn % 5 == 4, F.lit("soon")).otherwise(iso)
 
 
 def _obj(**fields) -> Column:
@@ -21,15 +23,16 @@ def _obj(**fields) -> Column:
 
 
 def _line(**fields) -> Column:
-    return F.to_json(_obj(timestamp=STAMP, **fields))
+    return F.to_json(_obj(timestamp=_columns()[-1], **fields))
 
 
 def _name(prefix: str) -> Column:
-    return F.concat(F.lit(prefix), conv.cast("string"))
+    return F.concat(F.lit(prefix), _columns()[0].cast("string"))
 
 
 def _lines(spark: SparkSession, sf_dir: str, path: Column, lines: list[Column]) -> DataFrame:
     """One row per line; `lines` are those of one turn, NULL where it has none."""
+    conv, turn = _columns()[:2]
     numbered = F.array(*[F.struct(F.lit(i).alias("k"), c.alias("value")) for i, c in enumerate(lines)])
     return (
         table(spark, sf_dir, "conversations")
@@ -50,6 +53,7 @@ def _lines(spark: SparkSession, sf_dir: str, path: Column, lines: list[Column])
 
 
 def claude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv, turn, role, text, _ = _columns()
     is_user, is_assistant = role == "user", role == "assistant"
     cwd = F.concat(F.lit("/w/p"), (conv % 7).cast("string"))
     mid = F.concat(F.lit("m"), conv.cast("string"), F.lit("-"), turn.cast("string"))
@@ -110,6 +114,7 @@ def claude(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def codex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv, turn, role, text, _ = _columns()
     is_user, is_assistant, is_system = role == "user", role == "assistant", role == "system"
     size = F.length(text)
     second = (turn == 3) & (conv % 4 < 2)
@@ -166,6 +171,7 @@ def codex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qwen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv, turn, role, text, _ = _columns()
     is_user, is_assistant, is_system = role == "user", role == "assistant", role == "system"
     size = F.length(text)
     none = F.lit(None)
@@ -228,6 +234,7 @@ def qwen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hermes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The two stored tables."""
+    conv, turn, role, text, _ = _columns()
     rows = table(spark, sf_dir, "conversations")
     key = F.concat(F.lit("c"), conv.cast("string"))
     sums = rows.groupBy("conv_id").agg(F.sum(F.length(text)).alias("size"), F.count(F.lit(1)).alias("n"))

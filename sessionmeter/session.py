@@ -15,6 +15,9 @@ REQUIRED_CONF = {
 }
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the settings the operators need to an existing session."""
     for key, value in REQUIRED_CONF.items():
@@ -47,9 +50,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    local = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="spark-")
+    return _local_dirs[app]
 
 
 def work_path(spark: SparkSession, name: str) -> str:
