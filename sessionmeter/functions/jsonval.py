@@ -10,11 +10,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def parse_values(text: Column) -> Column:
+    """The JSON values a text holds, separated by commas; NULL when it is not JSON.
+
+    The brackets make anything after a value an error: a torn line must not pass for its first half.
+    """
+    return F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+
+
+def only_value(values: Column) -> Column:
+    """The list again if it holds exactly one value, else NULL."""
+    return F.when(F.size(values) == 1, values)
+
+
 def parse_line(text: Column) -> Column:
-    """One JSON value per line, else NULL. The brackets make text after the value an error."""
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    single = F.try_variant_get(wrapped, "$[1]", "variant").isNull()
-    return F.when(single, F.try_variant_get(wrapped, "$[0]", "variant"))
+    """One JSON value, else NULL."""
+    return F.try_element_at(only_value(parse_values(text)), F.lit(1))
 
 
 def at(value: Column, path: str) -> Column:

@@ -17,25 +17,30 @@ SYNTHETIC = "<synthetic>"
 NO_ID = "_anon"
 
 
-def _user_text(v: Column) -> Column:
-    """The text a user line carries: a plain string or the first text block; wrappers folded."""
+def _raw_user_text(v: Column) -> Column:
+    """The text a user line carries: a plain string or the first text block."""
     blocks = F.filter(J.list_at(v, "$.message.content"), lambda b: J.word_at(b, "$.type") == "text")
-    raw = F.coalesce(J.text_at(v, "$.message.content"), J.text_at(F.try_element_at(blocks, F.lit(1)), "$.text"))
-    return fold_command_tags(raw)
+    first = J.text_at(F.try_element_at(blocks, F.lit(1)), "$.text")
+    return F.when(J.word_at(v, "$.type") == "user", F.coalesce(J.text_at(v, "$.message.content"), first))
+
+
+def _with_user_text(parsed: DataFrame) -> DataFrame:
+    """Add `said`, the folded user text; in two steps, so that the text is looked up once."""
+    return parsed.withColumn("_raw", _raw_user_text(F.col("v"))).withColumn("said", fold_command_tags(F.col("_raw")))
 
 
 def sessions(lines: DataFrame) -> DataFrame:
     """One row per file."""
     v = F.col("v")
     kind = J.word_at(v, "$.type")
-    rows = parsed_lines(lines, AGENT, keep_bad=True).select(
+    rows = _with_user_text(parsed_lines(lines, AGENT, keep_bad=True)).select(
         "path", "session_id", "file_mtime", "ord",
         v.isNotNull().alias("is_json"),
         kind.alias("type"),
         J.text_at(v, "$.cwd").alias("cwd"),
         rfc3339_seconds(J.word_at(v, "$.timestamp")).alias("ts"),
         (J.text_at(v, "$.entrypoint") == "sdk-cli").alias("is_sdk"),
-        F.when(kind == "user", first_chars(_user_text(v), 120)).alias("prompt"),
+        first_chars(F.col("said"), 120).alias("prompt"),
         F.when(kind == "assistant", J.text_at(v, "$.message.model")).alias("model"),
     )
     opened_by = F.min_by(F.coalesce("type", F.lit("")), F.when(F.col("is_json"), F.col("ord")))
@@ -175,7 +180,7 @@ def _event(kind: str, body: Column) -> Column:
 
 
 def _user_events(v: Column) -> Column:
-    text = _user_text(v)
+    text = F.col("said")
     blocks = F.filter(J.list_at(v, "$.message.content"), lambda b: J.word_at(b, "$.type") == "tool_result")
     results = F.transform(
         blocks, lambda b: _event("ToolResult", F.coalesce(J.text_or_json(b, "$.content"), F.lit("")))
@@ -213,9 +218,11 @@ def transcript(lines: DataFrame) -> DataFrame:
             F.array(_event("System", J.text_at(v, "$.content"))),
         )
     )
+    readable = parsed_lines(lines, AGENT).where(
+        ~J.flag_at(v, "$.isMeta") & kind.isin("user", "assistant", "system")
+    )
     rows = (
-        parsed_lines(lines, AGENT)
-        .where(~J.flag_at(v, "$.isMeta") & kind.isin("user", "assistant", "system"))
+        _with_user_text(readable)
         .select(
             "path", "session_id", "ord",
             F.coalesce(J.text_at(v, "$.timestamp"), F.lit("")).alias("ts"),

@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionmeter.functions.jsonval import parse_line
+from sessionmeter.functions.jsonval import only_value, parse_values
 from sessionmeter.operators.ordered import line_chunk, number_rows
 from sessionmeter.schema import SESSION_COLUMNS, TRANSCRIPT_COLUMNS
 from sessionmeter.sources.lines import session_id
 
 
 def parsed_lines(lines: DataFrame, agent: str, keep_bad: bool = False) -> DataFrame:
-    """Add the parsed value `v` and the session id; lines that are not JSON are dropped unless kept."""
+    """Add the parsed value `v` and the session id; lines that are not JSON are dropped unless kept.
+
+    The value comes out of a generator on purpose: a filter on `v` written by the caller would
+    otherwise be moved below the projection and parse the line again for every test it makes.
+    """
     label = F.col("session_id") if "session_id" in lines.columns else session_id(agent, F.col("path"))
-    parsed = lines.withColumn("session_id", label).withColumn("v", parse_line(F.col("value"))).drop("value")
-    return parsed if keep_bad else parsed.where(F.col("v").isNotNull())
+    values = lines.withColumn("session_id", label).withColumn("_values", parse_values(F.col("value")))
+    spread = F.explode_outer if keep_bad else F.explode
+    columns = [c for c in values.columns if c not in ("value", "_values")]
+    return values.select(*columns, spread(only_value(F.col("_values"))).alias("v"))
 
 
 def first_value(column: str) -> Column:
