@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from sessionmeter.operators.ordered import number_rows_any_order, prefix_max
 
 DEFAULT_GAP = 86_400
-HOUR = 3_600
+# a good hour: 4096 seconds
+HOUR_BITS = 12
 
 
 def group_sessions(sessions: DataFrame, gap: int = DEFAULT_GAP) -> DataFrame:
@@ -18,24 +19,27 @@ def group_sessions(sessions: DataFrame, gap: int = DEFAULT_GAP) -> DataFrame:
     activity of all earlier sessions of its agent and directory.
 
     One (agent, directory) may hold a large share of all sessions, so the order is worked out on
-    distinct start seconds, cut into hours: at most 3600 rows per window, whatever the key.
+    distinct start seconds, cut into pieces of 4096 seconds: at most 4096 rows per window, whatever the key.
     """
-    rows = sessions.withColumn("_dir", F.coalesce("cwd", F.lit("")))
+    # keys that cannot be NULL keep the branches below alike, so that they share one shuffle
+    start = F.col("_start")
+    rows = sessions.withColumn("_dir", F.coalesce("cwd", F.lit(""))).withColumn(
+        "_start", F.coalesce("started_at_ts", F.lit(0).cast("bigint"))
+    )
     keys = ["agent", "_dir"]
     starts = (
-        rows.groupBy(*keys, "started_at_ts")
+        rows.groupBy(*keys, "_start")
         .agg(F.max("last_active_ts").alias("_end"))
-        .withColumn("_hour", F.floor(F.col("started_at_ts") / HOUR))
+        .withColumn("_hour", F.shiftright(start, HOUR_BITS))
     )
-    seen = prefix_max(starts, keys, "started_at_ts", "_hour", "_end", "_seen", include_row=False)
-    start = F.col("started_at_ts")
+    seen = prefix_max(starts, keys, "_start", "_hour", "_end", "_seen", include_row=False)
     opens = F.col("_seen").isNull() | (start - F.col("_seen") > gap)
     marked = seen.withColumn("_open", F.when(opens, start))
     # where even the latest end of this very second lies a gap back, no two sessions of it stay together
     marked = marked.withColumn("_apart", start - F.greatest("_seen", "_end") > gap)
-    opened = prefix_max(marked, keys, "started_at_ts", "_hour", "_open", "_group_start", include_row=True)
+    opened = prefix_max(marked, keys, "_start", "_hour", "_open", "_group_start", include_row=True)
     placed = rows.join(
-        opened.select(*keys, "started_at_ts", "_group_start", "_apart"), [*keys, "started_at_ts"]
+        opened.select(*keys, "_start", "_group_start", "_apart"), [*keys, "_start"]
     )
     alone = F.when(F.col("_apart"), F.concat(F.lit("|"), F.col("path"))).otherwise(F.lit(""))
     identity = F.concat("agent", F.lit("|"), "_dir", F.lit("|"), F.col("_group_start").cast("string"), alone)
