@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sessionmeter.functions import jsonval as J
 from sessionmeter.functions.text import first_chars
 from sessionmeter.functions.times import real_iso, real_seconds
-from sessionmeter.operators.ordered import number_rows
+from sessionmeter.operators.ordered import number_rows_any_order
 from sessionmeter.schema import SESSION_COLUMNS, TRANSCRIPT_COLUMNS, select_tokens
 
 AGENT = "hermes"
@@ -148,6 +148,6 @@ def transcript(messages: DataFrame) -> DataFrame:
         real_iso(F.col("timestamp")).alias("ts"),
         F.posexplode(events).alias("pos", "event"),
     ).select("path", "session_id", "at", "id", "pos", "ts", "event.kind", "event.body")
-    # a minute of one conversation is a small, order-keeping piece
-    numbered = number_rows(flat, ["path"], ["at", "id", "pos"], F.floor(F.col("at") / 60), "event_index")
+    order = [F.asc("at"), F.asc("id"), F.asc("pos")]
+    numbered = number_rows_any_order(flat, ["path"], order, "event_index")
     return numbered.withColumn("agent", F.lit(AGENT)).select(*TRANSCRIPT_COLUMNS)

@@ -14,10 +14,6 @@ from sessionmeter.functions.text import trim_ws
 NEWEST_LOGS = 3
 
 
-def _under(path: Column, pattern: str) -> Column:
-    return path.rlike(pattern)
-
-
 def global_memory(files: DataFrame) -> DataFrame:
     return files.where(F.col("path") == ".claude/CLAUDE.md").select(
         "home", F.lit("global").alias("category"), "path", "size", "mtime"
@@ -46,8 +42,8 @@ def project_cwds(logs: DataFrame) -> DataFrame:
 def project_memory(files: DataFrame, cwds: DataFrame, home_dir: str = "home_dir") -> DataFrame:
     """Memory files of each project with a known cwd.
 
-    A file is looked up by its exact place, so this is an equality join on (home, path). A project file
-    that is the global file itself is left out; links do not exist in object stores, so "is" means the
+    A file is looked up by its exact place, so this is an equality join on (home, path). A local
+    file that is the global file itself is left out; links do not exist in object stores, so "is" means the
     same normalised path.
     """
     # Places relative to the project directory.
@@ -58,11 +54,11 @@ def project_memory(files: DataFrame, cwds: DataFrame, home_dir: str = "home_dir"
     ).withColumn("path", F.concat_ws("/", F.regexp_replace("cwd", "/+$", ""), "place"))
     in_project = (
         wanted.join(_absolute(files, home_dir), ["home", "path"])
-        .where(F.col("rel_path") != ".claude/CLAUDE.md")
+        .where((F.col("category") != ".claude/CLAUDE.md") | (F.col("rel_path") != ".claude/CLAUDE.md"))
         .select("home", "encoded", "cwd", "category", F.col("path"), "size", "mtime")
     )
     noted = (
-        files.where(_under(F.col("path"), r"^\.claude/projects/[^/]+/memory/[^/]+\.md$"))
+        files.where(F.col("path").rlike(r"^\.claude/projects/[^/]+/memory/[^/]+\.md$"))
         .withColumn("encoded", F.regexp_extract("path", r"^\.claude/projects/([^/]+)/", 1))
         .join(cwds, ["home", "encoded"])
         .select("home", "encoded", "cwd", F.lit("auto-memory").alias("category"), "path", "size", "mtime")

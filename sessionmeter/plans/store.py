@@ -79,10 +79,11 @@ class Store:
         if n == 0 and gone.isEmpty():
             return 0
         batch = self.last_batch() + 1
-        first = batch == 0
         if n:
+            recent = everything.where(F.col("file_mtime") >= oldest).count()
             for agent, root in roots.items():
-                self._write_agent(batch, agent, root, todo, None if first else oldest)
+                # every file from `oldest` on has changed, so the listing alone picks the right ones
+                self._write_agent(batch, agent, root, todo if recent > n else None, oldest)
             if hermes_tables is not None:
                 self._write_hermes(batch, hermes_tables, todo)
         self._write_manifest(batch, todo, gone)
@@ -93,9 +94,9 @@ class Store:
         writer = writer.partitionBy(*parts) if parts else writer
         writer.parquet(f"{self.root}/{table}/batch={batch}/agent={agent}")
 
-    def _write_agent(self, batch: int, agent: str, root: str, todo: DataFrame, since: int | None) -> None:
+    def _write_agent(self, batch: int, agent: str, root: str, todo: DataFrame | None, since: int) -> None:
         lines = READERS[agent](self.spark, root, since=since)
-        if since is not None:
+        if todo is not None:
             lines = lines.join(todo.select("path"), "path", "left_semi")
         dialect = DIALECTS[agent]
         self._write(batch, agent, "sessions", dialect.sessions(lines))

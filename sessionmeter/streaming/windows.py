@@ -34,6 +34,8 @@ def latest_buckets(written: DataFrame) -> DataFrame:
 
 def group_stream(sessions: DataFrame, delay: str, gap: int = DEFAULT_GAP) -> DataFrame:
     """Session groups as they close: each session stays open until `gap` after its last activity."""
+    # merge what arrives together before the shuffle, so a directory with many sessions sends few rows
+    sessions.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     open_for = F.greatest(F.col("last_active_ts") - F.col("started_at_ts") + gap, F.lit(1).cast("bigint"))
     length = F.make_interval(secs=open_for.cast("decimal(18,6)"))
     return (
