@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from sessionmeter.functions import jsonval as J
@@ -95,86 +95,82 @@ def merge_streamed(rows: DataFrame, agent: str) -> DataFrame:
 
     `rows`: path, session_id, ord, kind (user, assistant, other), ts, model, mid and usage columns, with
     transparent lines already gone. The first row of a run counts until a later one with output replaces
-    it. Runs are found per chunk; the first and last run of each chunk then meet in a second, small pass,
-    so a file of any size is spread over many tasks.
+    it. Runs are found per chunk; the first and last run of each chunk then meet in a second, small cell,
+    so a file of any size is spread over many tasks. Both passes are windows over one sort each.
     """
     usage = [c for c in USAGE if c in rows.columns]
-    is_call = F.col("kind") == "assistant"
-    key = F.when(F.col("mid") == "", F.lit(NO_ID)).otherwise(F.col("mid"))
-    state = F.struct(*[F.col(c) for c in usage], F.col("ts"))
-    rows = rows.withColumn("chunk", line_chunk()).withColumn("key", key).withColumn("state", state)
-
-    in_chunk = Window.partitionBy("path", "chunk").orderBy("ord")
-    goes_on = (
-        is_call
-        & (F.col("mid") != "")
-        & (F.lag("kind").over(in_chunk) == "assistant")
-        & (F.lag("key").over(in_chunk) == F.col("mid"))
-    )
-    starts = F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)
-    has_output = is_call & (F.col("output_tokens") > 0)
-    out_ord = F.when(has_output, F.col("ord"))
-    parts = (
-        rows.withColumn("starts", starts)
-        .withColumn("run", F.sum("starts").over(in_chunk.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("path", "chunk", "run")
-        .agg(
-            F.min("session_id").alias("session_id"),
-            F.min("ord").alias("ord"),
-            F.max(out_ord).alias("out_ord"),
-            F.min("kind").alias("kind"),
-            F.min("mid").alias("mid"),
-            F.min("key").alias("key"),
-            F.min_by("state", "ord").alias("first_state"),
-            F.max_by("state", out_ord).alias("out_state"),
-            F.min_by("model", "ord").alias("first_model"),
-            F.max_by("model", F.when(F.col("model") != "", out_ord)).alias("out_model"),
-            F.max(F.when(F.col("model") != "", out_ord)).alias("model_ord"),
-        )
+    has_output = (F.col("kind") == "assistant") & (F.col("output_tokens") > 0)
+    rows = rows.withColumns(
+        {
+            "chunk": line_chunk(),
+            "key": F.when(F.col("mid") == "", F.lit(NO_ID)).otherwise(F.col("mid")),
+            "has_output": has_output,
+            # the model a row gives to a run that is already open
+            "sets_model": F.when(has_output & (F.col("model") != ""), F.col("model")),
+            "is_first": F.lit(True),
+        }
     )
+    in_chunk = Window.partitionBy("path", "chunk").orderBy("ord")
+    parts = _close_runs(rows, in_chunk)
 
-    # only runs at a chunk border can go on in the next chunk
-    n_runs = F.max("run").over(Window.partitionBy("path", "chunk"))
-    at_border = (F.col("run") == 1) | (F.col("run") == n_runs)
-    parts = parts.withColumn("cell", F.when(at_border, F.lit(-1).cast("bigint")).otherwise(F.col("chunk")))
-    in_cell = Window.partitionBy("path", "cell").orderBy("chunk", "run")
-    crosses = (
-        (F.col("run") == 1)
-        & is_call
-        & (F.col("mid") != "")
-        & (F.lag("kind").over(in_cell) == "assistant")
-        & (F.lag("key").over(in_cell) == F.col("mid"))
-    )
-    merged = (
-        parts.withColumn("starts", F.when(F.coalesce(crosses, F.lit(False)), 0).otherwise(1))
-        .withColumn("call", F.sum("starts").over(in_cell.rowsBetween(Window.unboundedPreceding, 0)))
-        .where(F.col("kind") != "other")
-        .groupBy("path", "cell", "call")
-        .agg(
-            F.min("session_id").alias("session_id"),
-            F.min("kind").alias("kind"),
-            F.coalesce(F.max_by("out_state", "out_ord"), F.min_by("first_state", "ord")).alias("state"),
-            F.coalesce(F.max_by("out_model", "model_ord"), F.min_by("first_model", "ord")).alias("model"),
-            F.min("ord").alias("ord"),
-        )
+    # only the first and last run of a chunk can belong together with a run of another chunk
+    is_first = F.col("run_no") == 1
+    at_border = is_first | F.col("is_last")
+    parts = parts.withColumn("is_first", is_first).withColumn(
+        "cell", F.when(at_border, F.lit(-1).cast("bigint")).otherwise(F.col("chunk"))
     )
+    calls = _close_runs(parts.drop("run_no", "is_last"), Window.partitionBy("path", "cell").orderBy("ord"))
     is_turn = F.col("kind") == "user"
-    values = {c: F.when(is_turn, 0).otherwise(F.col("state")[c]).cast("bigint") for c in usage}
-    spent = sum((F.col("state")[c] for c in usage if c != "web_search_calls"), F.lit(0))
+    spent = sum((F.col(c) for c in usage if c != "web_search_calls"), F.lit(0))
+    model = F.coalesce("sets_model", "model")
     return (
-        merged.where(is_turn | (spent > 0))
-        .withColumns({**no_usage(), **values})
+        calls.where(is_turn | ((F.col("kind") == "assistant") & (spent > 0)))
         .select(
-            F.lit(agent).alias("agent"), "path", "session_id", "ord",
-            F.col("state")["ts"].alias("ts"),
+            F.lit(agent).alias("agent"), "path", "session_id", "ord", "ts",
             is_turn.alias("is_user_turn"),
-            F.when(is_turn, F.lit("")).otherwise(F.col("model")).alias("model"),
-            *USAGE,
+            F.when(is_turn, F.lit("")).otherwise(model).alias("model"),
+            *[F.when(is_turn, 0).otherwise(F.col(c)).cast("bigint").alias(c) for c in usage],
+            *[c.alias(n) for n, c in no_usage().items() if n not in usage],
         )
         .select(*TOKEN_COLUMNS)
     )
 
 
+def _close_runs(rows: DataFrame, window: WindowSpec) -> DataFrame:
+    """One row per run of the window: the row whose state counts at its end.
+
+    A row that is not `is_first` always opens a run. Adds `run_no` and `is_last` (in its partition);
+    `model` becomes that of the run's first row, `sets_model` the last one given later, if any.
+    """
+    goes_on = (
+        F.col("is_first")
+        & (F.col("kind") == "assistant")
+        & (F.col("mid") != "")
+        & (F.lag("kind").over(window) == "assistant")
+        & (F.lag("key").over(window) == F.col("mid"))
+    )
+    opens = ~F.coalesce(goes_on, F.lit(False))
+    # a row that neither opens a run nor has output changes nothing
+    kept = rows.withColumn("opens", opens).where(F.col("opens") | F.col("has_output"))
+    so_far = window.rowsBetween(Window.unboundedPreceding, 0)
+    given = F.when(F.col("sets_model").isNotNull(), F.col("sets_model")).when(F.col("opens"), F.lit(""))
+    next_opens = F.lead("opens").over(window)
+    return (
+        kept.withColumns(
+            {
+                "next_opens": next_opens,
+                "run_no": F.sum(F.col("opens").cast("int")).over(so_far),
+                "given": F.last(given, ignorenulls=True).over(so_far),
+                "model": F.last(F.when(F.col("opens"), F.col("model")), ignorenulls=True).over(so_far),
+            }
+        )
+        .where(F.coalesce("next_opens", F.lit(True)))
+        .withColumn("is_last", F.col("next_opens").isNull())
+        .withColumn("sets_model", F.nullif("given", F.lit("")))
+        .drop("opens", "next_opens", "given")
+    )
+
+
 def _event(kind: str, body: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), body.alias("body"))
 
