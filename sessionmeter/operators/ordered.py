@@ -24,8 +24,10 @@ def carry_last(df: DataFrame, keys: list[str], value: str, out: str, order: str
     rows = df.withColumn("_chunk", line_chunk(order))
     within = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    ends = rows.groupBy(*keys, "_chunk").agg(
-        F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_end")
+    # grouping by value first leaves numbers only to aggregate, and few rows to pick the last from
+    last_seen = rows.groupBy(*keys, "_chunk", value).agg(F.max(order).alias("_at"))
+    ends = last_seen.groupBy(*keys, "_chunk").agg(
+        F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_at"))).alias("_end")
     )
     carried = ends.withColumn("_carried", F.last("_end", ignorenulls=True).over(before)).drop("_end")
     local = rows.withColumn("_local", F.last(value, ignorenulls=True).over(within))
