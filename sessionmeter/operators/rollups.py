@@ -74,16 +74,18 @@ def by_group(active: DataFrame, hours: Column, gap: int) -> DataFrame:
 
 
 def top_groups(groups: DataFrame, measure: str, n: int = TOP_GROUPS) -> DataFrame:
-    """The n largest groups with their share of all groups above zero."""
+    """The n largest groups with their share of all groups above zero.
+
+    `groups` is used twice here (total and list), so pass it materialized.
+    """
     value = F.col(measure).cast("double")
     positive = groups.withColumn("value", value).where(F.col("value") > 0)
-    total = positive.agg(F.sum("value").alias("total")).scalar()
-    count = positive.agg(F.count(F.lit(1)).alias("n")).scalar()
+    whole = positive.agg(F.struct(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"))).scalar()
     top = positive.orderBy(F.desc("value"), "agent", "cwd", "first_started_ts").limit(n)
     return top.select(
         "agent", "cwd", "first_started_ts", "n_sessions", "value",
-        (F.col("value") * 100.0 / total).alias("share"),
-        count.alias("groups_above_zero"),
+        (F.col("value") * 100.0 / whole["total"]).alias("share"),
+        whole["n"].alias("groups_above_zero"),
     )
 
 

@@ -25,7 +25,7 @@ def dashboard(
     active = materialize(usage.per_session(token_events, kept, r, book))
     sums = materialize(series.bucket_sums(token_events, active, kept, r, book))
     hours = window_hours(r, kept)
-    groups = rollups.by_group(active, hours, DEFAULT_GAP)
+    groups = materialize(rollups.by_group(active, hours, DEFAULT_GAP))
     return {
         "totals": rollups.totals(active, groups, hours),
         "by_agent": rollups.by_agent(active, hours),

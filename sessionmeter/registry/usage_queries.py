@@ -178,7 +178,7 @@ def _by_group_query(label):
 
 def _top_groups(measure):
     def query(spark, sf):
-        return _money(rollups.top_groups(_by_group(spark, sf, "30d"), measure), "value", "share")
+        return _money(rollups.top_groups(materialize(_by_group(spark, sf, "30d")), measure), "value", "share")
 
     return query
 
