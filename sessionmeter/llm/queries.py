@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionmeter.llm import decontaminate, line_rules, pii_crf, quality_fm, toxicity
+from sessionmeter.llm import decontaminate, line_rules, ngram_join, pii_crf, quality_fm, toxicity
 from sessionmeter.llm.base import table
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -29,6 +33,7 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op3_quality_fm": op3_quality_fm,
     "op7_decontaminate": op7_decontaminate,
     "op8_toxicity": op8_toxicity,
