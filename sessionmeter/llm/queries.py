@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionmeter.llm import decontaminate, line_rules, ngram_join, pii_crf, quality_fm, toxicity
+from sessionmeter.llm import decontaminate, line_rules, ngram_join, pii_crf, quality_fm, toxicity, warc
 from sessionmeter.llm.base import table
 
 
@@ -12,6 +12,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_archive(table(spark, sf_dir, "pages"))
+
+
 def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,6 +38,7 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_warc": op2_warc,
     "op3_quality_fm": op3_quality_fm,
     "op7_decontaminate": op7_decontaminate,
     "op8_toxicity": op8_toxicity,

@@ -1,3 +1,20 @@
 """SQL with the same rows as the queries, where SQL can express them."""
 
-ORACLE: dict[str, str] = {}
+# base32 of a SHA-1: 5 hexadecimal digits make 4 of base 32
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {1 + 5 * k}, 5))::BIGINT >> {15 - 5 * j}) & 31)::INTEGER, 1)"
+    for k in range(8)
+    for j in range(4)
+)
+
+OP2 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS h FROM p),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY h, payload_bytes) AS first_id FROM d)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM r
+"""
+
+ORACLE: dict[str, str] = {"op2_warc": OP2}
