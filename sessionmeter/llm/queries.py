@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionmeter.llm import decontaminate, line_rules, ngram_join, pii_crf, quality_fm, toxicity, warc
+from sessionmeter.llm import decontaminate, line_rules, ngram_join, packing, pii_crf, quality_fm, toxicity, warc
 from sessionmeter.llm.base import table
 
 
@@ -20,6 +20,10 @@ def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.found_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,6 +44,7 @@ QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_warc": op2_warc,
     "op3_quality_fm": op3_quality_fm,
+    "op4_packing": op4_packing,
     "op7_decontaminate": op7_decontaminate,
     "op8_toxicity": op8_toxicity,
     "op9_pii_crf": op9_pii_crf,
