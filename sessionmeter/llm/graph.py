@@ -19,11 +19,11 @@ def bit_place(key: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1 << bits))
 
 
-def bit_filter(keys: DataFrame, key: Column, bits: int) -> bytes:
-    """A bit for each bit_place of `key`, 2^bits in all whatever the number of rows."""
-    place = bit_place(key, bits) + 1  # bitmap functions number their buckets from 1
+def bit_filter(keys: DataFrame, place: Column, bits: int) -> bytes:
+    """A bit set at each `place`, 2^bits in all whatever the number of rows: hashed keys give false positives only."""
     rows = (
-        keys.select(F.bitmap_bucket_number(place).alias("_bucket"), F.bitmap_bit_position(place).alias("_bit"))
+        # bitmap functions number their buckets from 1
+        keys.select(F.bitmap_bucket_number(place + 1).alias("_bucket"), F.bitmap_bit_position(place + 1).alias("_bit"))
         .groupBy("_bucket")
         .agg(F.bitmap_construct_agg("_bit").alias("_bits"))
         .collect()

@@ -180,7 +180,7 @@ def classes_and_links(docs: DataFrame) -> DataFrame:
 
 def _verified(docs: DataFrame, member: DataFrame) -> DataFrame:
     """c, links, root, blocks from the tasks that compare two blocks of a component."""
-    wanted = np.frombuffer(bit_filter(member, F.col("text_hash"), BITS), np.uint8)
+    wanted = np.frombuffer(bit_filter(member, bit_place(F.col("text_hash"), BITS), BITS), np.uint8)
 
     def full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
