@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionmeter.llm import decontaminate, pii_crf, quality_fm
+from sessionmeter.llm import decontaminate, ngram_join, packing, pii_crf, quality_fm
 from sessionmeter.llm.base import table
 from sessionmeter.session import work_path
 
@@ -15,6 +15,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return docs.where(quality_fm.score_column(docs, machine) >= 0.5)
 
 
+def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the least id."""
+    return ngram_join.one_of_each(docs)
+
+
 def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
@@ -25,10 +30,17 @@ def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.withColumn("text", pii_crf.masked_column(docs, pii_crf.train(docs)))
 
 
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens as pieces of sequences."""
+    return packing.pack(docs)
+
+
 STAGES = [
     ("quality", good_quality),
+    ("near copies", no_copies),
     ("decontaminate", no_leaks),
     ("personal data", no_personal_data),
+    ("packing", packed),
 ]
 
 # sampling, training and packing can't be stated in SQL; tests compare with a brute-force version

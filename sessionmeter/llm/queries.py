@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionmeter.llm import decontaminate, line_rules, ngram_join, packing, pii_crf, quality_fm, suffix_lm, toxicity, warc
+from sessionmeter.llm import decontaminate, license_scan, line_rules, ngram_join, packing, pii_crf, quality_fm, suffix_lm, toxicity, warc
 from sessionmeter.llm.base import table
 
 
@@ -28,6 +28,10 @@ def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_lm.scores(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.document_licences(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.found_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op3_quality_fm": op3_quality_fm,
     "op4_packing": op4_packing,
     "op5_suffix_tree": op5_suffix_tree,
+    "op6_license_scan": op6_license_scan,
     "op7_decontaminate": op7_decontaminate,
     "op8_toxicity": op8_toxicity,
     "op9_pii_crf": op9_pii_crf,
