@@ -26,6 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, or a longer one that no column of `df` has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def fold(doc_id: str | Column, folds: int) -> Column:
     """The fold of a document: crc32 of its id as text, modulo `folds`."""
     text = (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")

@@ -2,8 +2,8 @@
 
 A line is what stands between two \\n. Of each line with a word the rules ask, in this order:
 
-* symbols: more than one of `#*$%&|<>` for every `words_per_symbol` words, and more than `free_symbols`;
 * navigation: at least three separators, and a separator for every three words or more;
+* symbols: more than one of `#*$%&|<>` for every `words_per_symbol` words, and more than `free_symbols`;
 * shouting: three words or more, all letters in upper case;
 * boilerplate: one of the phrases, in a line of at most `boilerplate_words` words;
 * punctuation: `long_line` words or more and no sentence end anywhere in it;
@@ -38,7 +38,7 @@ PHRASES = (
     "skip to content", "back to top", "share this", "lorem ipsum",
 )
 
-RULES = ("symbols", "navigation", "shouting", "boilerplate", "punctuation", "repeated")
+RULES = ("navigation", "symbols", "shouting", "boilerplate", "punctuation", "repeated")
 
 
 @dataclass(frozen=True)
@@ -76,12 +76,12 @@ def repeated_words(words: list) -> int:
 
 def failed_rule(line: str, words: int, symbols: int, again: bool, r: Rules) -> str:
     """The first rule that a line with words fails, or ''."""
-    if symbols > r.free_symbols and symbols * r.words_per_symbol > words:
-        return "symbols"
     if symbols or not line.isascii():
         separators = sum(map(line.count, SEPARATORS))
         if separators >= 3 and separators * 3 >= words:
             return "navigation"
+    if symbols > r.free_symbols and symbols * r.words_per_symbol > words:
+        return "symbols"
     if words >= 3 and line.isupper():
         return "shouting"
     if words <= r.boilerplate_words:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionmeter.llm.base import WordHashes, byte_words, mix, ready
+from sessionmeter.llm.base import WordHashes, byte_words, fresh, mix, ready
 from sessionmeter.llm.graph import bit_filter, bit_place, components, stored
 
 SHINGLE = 5
@@ -234,7 +234,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     repeated = rows.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
     same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash"))
     marked = chosen.join(repeated, same, "left").select("_id", "_hash", F.col("_rows").isNotNull().alias("_again"))
-    kept = docs.join(marked, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")))
-    single = kept.where("not _again").select(*[docs[c] for c in docs.columns])
-    again = kept.where("_again").dropDuplicates(["_id", "_hash"]).select(*[docs[c] for c in docs.columns])
+    marked = marked.toDF(*[fresh(docs, c) for c in marked.columns])
+    id_, hash_, again_ = marked.columns
+    kept = docs.join(marked, docs["doc_id"].cast("long").eqNullSafe(marked[id_]) & (F.xxhash64(docs["text"]) == marked[hash_]))
+    single = kept.where(~F.col(again_)).select(*docs.columns)
+    again = kept.where(F.col(again_)).dropDuplicates([id_, hash_]).select(*docs.columns)
     return single.unionByName(again)

@@ -45,7 +45,7 @@ PLAIN = re.compile(r"[\W_]+")
 
 MOST_DOCUMENTS = 2000
 SURE = 0.9
-CHAIN, SKIP = 0.3, 2.5
+CHAIN, SKIP = 0.3, 4.0
 ROUNDS, DAMPING = 10, 0.3
 LEAST_NORMAL = 7
 
@@ -256,8 +256,11 @@ def train(docs: DataFrame, limit: int = MOST_DOCUMENTS) -> np.ndarray:
             for text in rows["text"]:
                 found = matches(text)
                 g = graph(text, found)
-                for f, t in zip(g.features, g.target):
-                    seen[",".join(map(str, f)), int(t)] += 1
+                # what a skip edge ties to a match is for the field to decide, and no example of either
+                tied = {i for edge in g.skip for i in edge}
+                for i, (f, t) in enumerate(zip(g.features, g.target)):
+                    if t or i not in tied:
+                        seen[",".join(map(str, f)), int(t)] += 1
             yield pd.DataFrame([(f, t, n) for (f, t), n in seen.items()], columns=["f", "t", "n"])
 
     counts = chosen.where(F.col("_rank") <= cut).select("text").mapInPandas(tokens, "f string, t int, n long")

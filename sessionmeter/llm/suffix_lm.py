@@ -79,6 +79,10 @@ def top_bits(key: str, width: int) -> Column:
     return F.shiftrightunsigned(F.col(key), 64 - width)
 
 
+def _filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return (part for part in batches if len(part))
+
+
 def _joined(texts: pd.Series, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     parts = [token_hashes(t, hashes) for t in texts]
     return np.concatenate(parts), np.cumsum([0] + [len(p) for p in parts[:-1]])
@@ -93,7 +97,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, held, size = WordHashes(), [], 0
-        for part in batches:
+        for part in _filled(batches):
             tokens, _ = _joined(part["text"], hashes)
             held.append(tokens)
             size += len(tokens)
@@ -125,7 +129,7 @@ def follower_bits(texts: DataFrame, depth: int, candidates: bytes, tokens: int)
             used = np.flatnonzero(np.diff(cut))
             return pd.DataFrame({"bucket": used, "prints": [short[cut[b] : cut[b + 1]].tobytes() for b in used]})
 
-        for part in batches:
+        for part in _filled(batches):
             all_tokens, starts = _joined(part["text"], hashes)
             context = contexts_of(all_tokens, starts, depth)[-1]
             ok = (context != 0) & has_bit(is_candidate, context, CONTEXT_BITS)
@@ -163,7 +167,7 @@ def followers(texts: DataFrame, depth: int, candidates: bytes, twice: bytes) ->
             _, first, n = np.unique(gram(context, word), return_index=True, return_counts=True)
             return pd.DataFrame({"context": _long(context[first]), "suffix": _long(suffix[first]), "word": _long(word[first]), "n": n})
 
-        for part in batches:
+        for part in _filled(batches):
             tokens, starts = _joined(part["text"], hashes)
             contexts = contexts_of(tokens, starts, depth)
             context = contexts[-1]
@@ -253,7 +257,7 @@ def scores(docs: DataFrame) -> DataFrame:
 
     def lookups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        for part in batches:
+        for part in _filled(batches):
             tokens, starts = _joined(part["text"], hashes)
             sizes = np.diff(np.append(starts, len(tokens)))
             text = np.repeat(np.arange(len(part)), sizes)

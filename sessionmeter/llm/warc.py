@@ -12,7 +12,7 @@ the SHA-1 of the payload so far, and whether the chunk is the last one. Only the
 
 Null and empty payloads are records of zero bytes (one chunk, number 0). Null ids are kept; they are the least. Rows with
 the same id and payload as the response are responses too. Line breaks in ids and URIs become blanks. A file that ends
-within a record gives the chunks read so far, none of them the last. Further columns of the input are not read.
+within a record gives the chunks read so far, none of them the last (one byte short, only its digest tells). Further columns of the input are not read.
 """
 
 from __future__ import annotations
