@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle import compare, duck
+from sessionmeter.registry import all_oracles, all_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,10 +17,12 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(all_queries()) == set(all_oracles())
+    assert set(all_queries()) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query(spark, con, name):
     assert compare(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name]) == ""
 
