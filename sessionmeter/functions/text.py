@@ -49,6 +49,7 @@ def encoded_dir(cwd: Column) -> Column:
 
 
 def strip_ansi(text: Column) -> Column:
+    # fixed value: the pattern of terminal colour codes
     return F.regexp_replace(text, "\u001b\\[[0-9;]*[A-Za-z]", "")
 
 

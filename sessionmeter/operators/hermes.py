@@ -108,6 +108,7 @@ def tool_calls(raw: Column) -> Column:
             F.coalesce(field("name"), F.lit("fn")), F.lit(": "), F.coalesce(field("arguments"), F.lit(""))
         )
 
+    # fixed value: the mark of a list that cannot be read
     broken = F.array(F.concat(F.lit("(unparsed tool_calls) "), raw))
     return (
         F.when(raw.isNull(), F.array().cast("array<string>"))

@@ -43,10 +43,11 @@ def status_counts(transcript: DataFrame) -> DataFrame:
     )
 
 
-def slim_transcript(lines: DataFrame) -> DataFrame:
+def slim_transcript(lines: DataFrame, most_thinking: int = 400, most_input: int = 200) -> DataFrame:
     """A short text form of the Claude dialect for another reader.
 
-    Tool results shrink to their id, thinking to 400 characters, tool input to 200.
+    Tool results shrink to their id, thinking and tool input to so many characters. The tags in square brackets
+    are fixed values.
     """
     v = F.col("v")
     kind = J.word_at(v, "$.type")
@@ -68,11 +69,13 @@ def slim_transcript(lines: DataFrame) -> DataFrame:
     def assistant_block(block):
         what = J.word_at(block, "$.type")
         name = F.coalesce(J.text_at(block, "$.name"), F.lit("?"))
-        given = F.coalesce(F.to_json(J.at(block, "$.input")), F.lit("{}"))
+        # a null input counts as none given
+        given = J.at(block, "$.input")
+        given = F.coalesce(F.when(~F.is_variant_null(given), F.to_json(given)), F.lit("{}"))
         return (
             F.when(what == "text", tagged("assistant", trim_ws(text_of(block, "$.text"))))
-            .when(what == "thinking", tagged("thinking", F.substring(trim_ws(text_of(block, "$.thinking")), 1, 400)))
-            .when(what == "tool_use", F.concat(F.lit("[tool_use] "), name, F.lit(" "), F.substring(given, 1, 200)))
+            .when(what == "thinking", tagged("thinking", F.substring(trim_ws(text_of(block, "$.thinking")), 1, most_thinking)))
+            .when(what == "tool_use", F.concat(F.lit("[tool_use] "), name, F.lit(" "), F.substring(given, 1, most_input)))
         )
 
     plain = J.text_at(v, "$.message.content")

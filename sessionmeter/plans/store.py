@@ -2,11 +2,14 @@
 
 Every refresh writes one new batch folder per table and, last of all, the manifest of that batch; only
 then do its rows count. A refresh that dies before leaves a folder that the next one overwrites. Rows of
-files that were read again later, or are gone, are named in a small `replaced` table.
+files that were read again later, or are gone, are named in a small `replaced` table; `compact` writes all
+current rows as one batch and starts that table anew.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +17,8 @@ from pyspark.sql import functions as F
 from sessionmeter.operators import claude, codex, hermes, qwen
 from sessionmeter.plans.manifest import READER_VERSION, changed_files, gone_files
 from sessionmeter.schema import SESSION_COLUMNS, TOKEN_COLUMNS, TRANSCRIPT_COLUMNS
-from sessionmeter.session import materialize, work_path
-from sessionmeter.sources.lines import READERS, list_files
+from sessionmeter.session import exists, work_folder
+from sessionmeter.sources.lines import READERS, claude_all_lines, list_files
 
 DIALECTS = {"claude": claude, "codex": codex, "qwen": qwen}
 COLUMNS = {
@@ -25,9 +28,11 @@ MANIFEST = "batch int, agent string, path string, file_mtime bigint, file_size b
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, wide: bool = False):
+        """`wide`: also compressed logs and subagents of the claude dialect."""
         self.spark = spark
         self.root = root.rstrip("/")
+        self.wide = wide
 
     def _manifest(self) -> DataFrame:
         try:
@@ -51,53 +56,88 @@ class Store:
 
         `since` (epoch s) keeps token events from that day on, so older folders are not read.
         """
+        return self._current(table, since).select(*COLUMNS[table])
+
+    def _current(self, table: str, since: int = 0) -> DataFrame:
         last = self.last_batch()
-        rows = self.spark.read.parquet(f"{self.root}/{table}").where(F.col("batch") <= last)
+        rows = self.spark.read.parquet(f"{self.root}/{table}").where(F.col("batch").between(self._base(last), last))
         if since and "event_date" in rows.columns:
             rows = rows.where(F.col("event_date") >= F.to_date(F.timestamp_seconds(F.lit(since))))
         # `replaced` is a written table, so its size is known and decides how the join is done
         replaced = self.spark.read.schema("path string, batch int").parquet(f"{self.root}/replaced/state={last}")
-        return rows.join(replaced, ["path", "batch"], "left_anti").select(*COLUMNS[table])
+        return rows.join(replaced, ["path", "batch"], "left_anti")
+
+    def _base(self, last: int) -> int:
+        """The newest compacted batch: it holds all that was current, so older ones are not read."""
+        marks = f"{self.root}/compacted"
+        if not exists(self.spark, marks):
+            return 0
+        found = self.spark.read.schema("batch int").parquet(marks).where(F.col("batch") <= last).agg(F.max("batch")).first()[0]
+        return found or 0
 
     def refresh(self, roots: dict[str, str], hermes_tables: tuple[DataFrame, DataFrame] | None = None) -> int:
-        """Read new and changed files; returns how many. Unchanged files are not opened again."""
-        listed = [list_files(self.spark, a, r).withColumn("agent", F.lit(a)) for a, r in roots.items()]
+        """Read new and changed files; returns how many. Unchanged files are not opened again.
+
+        What is read is what one listing found: a file that appears or grows meanwhile is left to the next refresh.
+        """
+        with work_folder(self.spark, "refresh") as work:
+            return self._refresh(work, roots, hermes_tables)
+
+    def _refresh(self, work: str, roots: dict[str, str], hermes_tables: tuple[DataFrame, DataFrame] | None) -> int:
+        listed = [list_files(self.spark, a, r, self.wide).withColumn("agent", F.lit(a)) for a, r in roots.items()]
         if hermes_tables is not None:
             listed.append(_stored_sessions(hermes_tables[0]))
-        everything = listed[0]
-        for more in listed[1:]:
-            everything = everything.unionByName(more)
-        everything = materialize(everything)
+        everything = self._kept(f"{work}/listed", reduce(DataFrame.unionByName, listed))
         agents = [*roots, *([hermes.AGENT] if hermes_tables is not None else [])]
         known = self.manifest().where(F.col("agent").isin(agents))
-        # written out, so that later joins know its size
-        todo_path = work_path(self.spark, "changed")
-        changed_files(everything, known).write.parquet(todo_path)
-        todo = self.spark.read.parquet(todo_path)
-        gone = materialize(gone_files(everything, known))
+        todo = self._kept(f"{work}/todo", changed_files(everything, known))
+        gone = self._kept(f"{work}/gone", gone_files(everything, known))
         n, oldest = todo.agg(F.count(F.lit(1)), F.min("file_mtime")).first()
         if n == 0 and gone.isEmpty():
             return 0
         batch = self.last_batch() + 1
         if n:
-            recent = everything.where(F.col("file_mtime") >= oldest).count()
             for agent, root in roots.items():
-                # every file from `oldest` on has changed, so the listing alone picks the right ones
-                self._write_agent(batch, agent, root, todo if recent > n else None, oldest)
+                self._write_agent(f"{work}/{agent}", batch, agent, root, todo, oldest)
             if hermes_tables is not None:
                 self._write_hermes(batch, hermes_tables, todo)
-        self._write_manifest(batch, todo, gone)
+        self._write_manifest(f"{work}/manifest", batch, todo, gone)
         return n
 
+    def _kept(self, path: str, rows: DataFrame) -> DataFrame:
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def compact(self) -> int | None:
+        """Write all current rows as one batch, which becomes the oldest one read; returns its number."""
+        last = self.last_batch()
+        if last < 0:
+            return None
+        batch = last + 1
+        for table in COLUMNS:
+            rows = self._current(table).drop("batch")
+            parts = ["agent", *(["event_date"] if "event_date" in rows.columns else [])]
+            rows.write.mode("overwrite").partitionBy(*parts).parquet(f"{self.root}/{table}/batch={batch}")
+        none = self.spark.createDataFrame([], "path string, batch int")
+        none.write.mode("overwrite").parquet(f"{self.root}/replaced/state={batch}")
+        current = self.manifest().drop("batch").withColumn("gone", F.lit(False))
+        with work_folder(self.spark, "compact") as work:
+            current = self._kept(f"{work}/manifest", current)
+            mark = self.spark.createDataFrame([(batch,)], "batch int")
+            mark.write.mode("overwrite").parquet(f"{self.root}/compacted/at={batch}")
+            current.write.mode("overwrite").parquet(f"{self.root}/manifest/batch={batch}")
+        return batch
+
     def _write(self, batch: int, agent: str, table: str, rows: DataFrame, *parts: str) -> None:
         writer = rows.drop("agent").write.mode("overwrite")
         writer = writer.partitionBy(*parts) if parts else writer
         writer.parquet(f"{self.root}/{table}/batch={batch}/agent={agent}")
 
-    def _write_agent(self, batch: int, agent: str, root: str, todo: DataFrame | None, since: int) -> None:
-        lines = READERS[agent](self.spark, root, since=since)
-        if todo is not None:
-            lines = lines.join(todo.select("path"), "path", "left_semi")
+    def _write_agent(self, work: str, batch: int, agent: str, root: str, todo: DataFrame, since: int) -> None:
+        reader = claude_all_lines if agent == "claude" and self.wide else READERS[agent]
+        listed = todo.where(F.col("agent") == agent).select("path")
+        # written once, so that all tables of the batch are made of the same lines
+        lines = self._kept(work, reader(self.spark, root, since=since).join(listed, "path", "left_semi"))
         dialect = DIALECTS[agent]
         self._write(batch, agent, "sessions", dialect.sessions(lines))
         self._write_events(batch, agent, dialect.token_events(lines))
@@ -117,24 +157,26 @@ class Store:
         dated = events.withColumn("event_date", F.to_date(F.timestamp_seconds("ts")))
         self._write(batch, agent, "token_events", dated, "event_date")
 
-    def _write_manifest(self, batch: int, todo: DataFrame, gone: DataFrame) -> None:
+    def _write_manifest(self, work: str, batch: int, todo: DataFrame, gone: DataFrame) -> None:
         facts = ["agent", "path", "file_mtime", "file_size", "version", "gone"]
         fresh = todo.withColumn("version", F.lit(READER_VERSION)).withColumn("gone", F.lit(False)).select(*facts)
         lost = gone.withColumn("gone", F.lit(True)).select(*facts)
-        rows = materialize(fresh.unionByName(lost))
-        history = self._manifest().select("path", "batch").join(rows.select("path"), "path", "left_semi")
+        rows = self._kept(work, fresh.unionByName(lost))
+        base = self._base(batch - 1)
+        history = self._manifest().where(F.col("batch") >= base).select("path", "batch").join(rows.select("path"), "path", "left_semi")
         before = self.spark.createDataFrame([], "path string, batch int")
         if batch > 0:
-            before = self.spark.read.parquet(f"{self.root}/replaced/state={batch - 1}")
+            before = self.spark.read.parquet(f"{self.root}/replaced/state={batch - 1}").where(F.col("batch") >= base)
         before.unionByName(history).distinct().write.mode("overwrite").parquet(f"{self.root}/replaced/state={batch}")
         rows.write.mode("overwrite").parquet(f"{self.root}/manifest/batch={batch}")
 
 
 def _stored_sessions(sessions: DataFrame) -> DataFrame:
-    """Stored sessions as files: the message count stands for the size."""
+    """Stored sessions as files: a fingerprint of what may change stands for the size."""
+    told = ["message_count", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens", "ended_at", "title", "model"]
     return hermes.seen_sessions(sessions).select(
         F.concat(F.lit("sessions/session_"), "id", F.lit(".json")).alias("path"),
         F.coalesce(F.greatest("started_at", "ended_at").cast("bigint"), F.lit(0).cast("bigint")).alias("file_mtime"),
-        F.coalesce("message_count", F.lit(0).cast("bigint")).alias("file_size"),
+        F.xxhash64(*told).alias("file_size"),
         F.lit(hermes.AGENT).alias("agent"),
     )

@@ -148,7 +148,7 @@ def path_labels(spark, sf):
     return T.table(spark, sf, "pages").select(
         "page_id",
         X.short_path(path).alias("short"),
-        X.short_path(F.substring(path, 2, 500)).alias("short_relative"),
+        X.short_path(F.substr(path, F.lit(2))).alias("short_relative"),
         X.encoded_dir(path).alias("encoded"),
         X.cut(F.col("url"), 20).alias("cut"),
     )

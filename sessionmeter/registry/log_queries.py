@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionmeter.functions.text import fold_command_tags
-from sessionmeter.functions.times import rfc3339_seconds
+from sessionmeter.functions.times import minus_floor_zero, rfc3339_seconds
 from sessionmeter.operators import claude, codex, hermes, lookup, output, qwen, search
 from sessionmeter.operators.ordered import carry_last
 from sessionmeter.registry import logs
 from sessionmeter.registry import tables as T
+from sessionmeter.schema import kind_label
 
 TERM = "the"
 
@@ -55,8 +56,7 @@ def event_lines(events: DataFrame) -> DataFrame:
     return T.as_token_events(events).select(
         user.alias("path"),
         user.alias("session_id"),
-        # wide steps, so that runs cross the borders of chunks
-        (F.col("ord") * 4_096).alias("ord"),
+        "ord",
         F.when(F.col("is_user_turn"), "user").when(F.col("web_search_calls") > 0, "other").otherwise("assistant").alias("kind"),
         "ts", "model",
         # a third of the users give their messages no id
@@ -74,7 +74,7 @@ def merged_calls(spark, sf):
 def carried_model(spark, sf):
     """The latest model named before each event of a user."""
     rows = T.as_token_events(T.table(spark, sf, "events")).select(
-        "user_id", F.col("ord").alias("event_id"), (F.col("ord") * 4_096).alias("ord"),
+        "user_id", F.col("ord").alias("event_id"), "ord",
         F.when(F.col("model").isin("gamma", "ALPHA-2024"), F.col("model")).alias("named"),
     )
     return carry_last(rows, ["user_id"], "named", "model").select("user_id", "event_id", "model")
@@ -95,6 +95,14 @@ def read_times(spark, sf):
     return rows.select("event_id", F.coalesce(rfc3339_seconds(shape), F.lit(0).cast("bigint")).alias("ts"))
 
 
+def transcript_labels(spark, sf):
+    """Labels of the events' kinds, and how far each event lies behind the third."""
+    said = T.transcript(spark, sf)
+    return said.select(
+        "session_id", "event_index", kind_label(F.col("kind")).alias("label"), minus_floor_zero(F.col("event_index"), F.lit(3)).cast("bigint").alias("behind")
+    )
+
+
 def slash_commands(spark, sf):
     """Conversation texts inside the command wrappers."""
     body, kind = F.col("body"), F.col("event_index") % 5
@@ -169,6 +177,7 @@ QUERIES = {
     "merged_calls": merged_calls,
     "carried_model": carried_model,
     "read_times": read_times,
+    "transcript_labels": transcript_labels,
     "slash_commands": slash_commands,
     "exit_codes": exit_codes,
     "output_status": output_status,

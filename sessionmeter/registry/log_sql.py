@@ -56,6 +56,7 @@ SELECT '{agent}' AS agent, {sid} AS session_id, row_number() OVER (PARTITION BY
   stamp AS ts, kind, body FROM x"""
 
 
+_CALL = """concat('{"cmd":"', repeat('ls ', 100), '","n":', tn, '}')"""
 _SAID = "trim(text, ' \t\n\r') <> ''"
 _CLAUDE_MODEL = "CASE WHEN conv_id % 2 = 0 THEN 'claude-sonnet-4-x' ELSE 'claude-opus-4-5-x' END"
 _CODEX_MODEL = "CASE WHEN turn >= 3 THEN 'o3' WHEN conv_id % 6 <> 5 THEN 'gpt-5.3-codex' ELSE '' END"
@@ -159,9 +160,9 @@ SELECT 'hermes' AS agent, concat('hermes:', cid) AS session_id, CAST(NULL AS VAR
         _say(20, "User", "text", f"role = 'user' AND {_SAID}"),
         _say(21, "ToolResult", "concat('r', tn)", "role = 'user' AND turn % 4 <> 0"),
         _say(30, "ToolResult", """concat('[{"a":"x","z":', tn, '}]')""", "role = 'user' AND turn % 4 <> 0"),
-        _say(50, "Thinking", "left(text, 30)", "role = 'assistant'"),
+        _say(50, "Thinking", "text", f"role = 'assistant' AND {_SAID}"),
         _say(60, "Assistant", "text", "role = 'assistant'"),
-        _say(80, "ToolUse", """concat('Bash: {"cmd":"ls","n":', tn, '}')""", "role = 'assistant'"),
+        _say(80, "ToolUse", f"concat('Bash: ', {_CALL})", "role = 'assistant'"),
         _say(90, "System", "text", "role = 'system'"),
     ),
     "codex_transcript": _transcript(
@@ -175,13 +176,13 @@ SELECT 'hermes' AS agent, concat('hermes:', cid) AS session_id, CAST(NULL AS VAR
         "qwen", "concat('qwen:', cid)",
         _say(0, "Thinking", "'hm'", "role = 'user'"),
         _say(1, "User", "text", "role = 'user'"),
-        _say(0, "Thinking", "left(text, 30)", "role = 'assistant'"),
+        _say(0, "Thinking", "text", "role = 'assistant'"),
         _say(1, "Assistant", "text", "role = 'assistant'"),
         _say(2, "ToolUse", """concat('f: {"a":"x","b":', tn, '}')""", "role = 'assistant'"),
         _say(
             3, "ToolResult",
             "concat(CASE WHEN turn % 4 = 1 THEN concat('exit=1', chr(10)) ELSE '' END, "
-            "CASE WHEN turn % 2 = 1 THEN '[f] ' ELSE '' END, left(text, 40))",
+            "CASE WHEN turn % 2 = 1 THEN '[f] ' ELSE '' END, text)",
             "role = 'assistant'",
         ),
         _say(
@@ -195,7 +196,7 @@ SELECT 'hermes' AS agent, concat('hermes:', cid) AS session_id, CAST(NULL AS VAR
     "hermes_transcript": f"""WITH {C},
 x AS (
   SELECT conv_id, cid, turn, secs, 0 AS place, 'User' AS kind, text AS body FROM c WHERE role = 'user' AND turn <> 5 AND text <> ''
-  UNION ALL SELECT conv_id, cid, turn, secs, 0, 'Thinking', left(text, 25) FROM c WHERE role = 'assistant' AND turn % 2 = 1
+  UNION ALL SELECT conv_id, cid, turn, secs, 0, 'Thinking', text FROM c WHERE role = 'assistant' AND turn % 2 = 1
   UNION ALL SELECT conv_id, cid, turn, secs, 1, 'Assistant', text FROM c WHERE role = 'assistant' AND turn <> 5
   UNION ALL SELECT conv_id, cid, turn, secs, 2, 'ToolUse', '(unparsed tool_calls) broken {{' FROM c WHERE role = 'assistant' AND conv_id % 9 = 0
   UNION ALL SELECT conv_id, cid, turn, secs, 2, 'ToolUse', concat('grep: n=', tn) FROM c WHERE role = 'assistant' AND conv_id % 9 > 1
@@ -237,6 +238,8 @@ UNION ALL SELECT concat('u', CAST(user_id AS VARCHAR)), ts, true, '', 0, 0 FROM
     PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS model FROM events""",
     "read_times": """SELECT event_id, CAST(CASE event_id % 5 WHEN 0 THEN floor(epoch(ts)) WHEN 1 THEN floor(epoch(ts)) - 7200
   WHEN 4 THEN floor(epoch(ts)) + 19800 ELSE 0 END AS BIGINT) AS ts FROM events""",
+    "transcript_labels": f"""WITH {C} SELECT cid AS session_id, turn AS event_index,
+  CASE role WHEN 'user' THEN 'USER' WHEN 'assistant' THEN 'ASSIS' ELSE 'SYS  ' END AS label, greatest(turn - 3, 0) AS behind FROM c""",
     "slash_commands": f"""WITH {C} SELECT cid AS session_id, turn AS event_index,
   CASE turn % 5 WHEN 0 THEN NULL WHEN 1 THEN concat('[stdout] ', text)
     WHEN 2 THEN concat('/go ', {_MARKED_TRIM.format('text')})
@@ -263,9 +266,9 @@ FROM o JOIN n ON n.cid = o.cid GROUP BY o.cid""",
         _slim(21, "'[tool_result] (omitted, id=use)'", "role = 'user' AND turn % 4 <> 0"),
         _slim(30, "'[tool_result] (omitted, id=?)'", "role = 'user' AND turn % 4 <> 0"),
         _slim(40, "'[user] meta'", "role = 'user' AND turn % 3 = 0"),
-        _slim(50, "concat('[thinking] ', " + _MARKED_TRIM.format('left(text, 30)') + ")", "role = 'assistant'"),
+        _slim(50, "concat('[thinking] ', " + "left(" + _MARKED_TRIM.format('text') + ", 400))", "role = 'assistant'"),
         _slim(60, "concat('[assistant] ', " + _MARKED_TRIM.format('text') + ")", "role = 'assistant'"),
-        _slim(80, """concat('[tool_use] Bash {"cmd":"ls","n":', tn, '}')""", "role = 'assistant'"),
+        _slim(80, f"concat('[tool_use] Bash ', left({_CALL}, 200))", "role = 'assistant'"),
     ])})
 SELECT cid AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, place) - 1 AS line_no, line FROM x""",
     "search_hits": f"""WITH {C}, {_HITS}

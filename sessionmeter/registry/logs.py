@@ -43,10 +43,9 @@ def _lines(spark: SparkSession, sf_dir: str, path: Column, lines: list[Column])
             turn,
             F.explode(F.filter(numbered, lambda n: n["value"].isNotNull())).alias("n"),
         )
-        # wide steps, so that the chunks of the ordered operators hold few lines and their borders matter
         .select(
             "path", "file_mtime", "file_size",
-            ((F.col("turn") * 10 + F.col("n.k")) * 5_000).alias("ord"),
+            (F.col("turn") * 10 + F.col("n.k")).alias("ord"),
             F.col("n.value").alias("value"),
         )
     )
@@ -92,7 +91,7 @@ def claude(spark: SparkSession, sf_dir: str) -> DataFrame:
             nested,
             F.when(is_user & (turn % 3 == 0), _line(type="user", isMeta=True, message=_obj(content="meta"))),
             said(
-                F.array(_obj(type="thinking", thinking=F.substring(text, 1, 30))),
+                F.array(_obj(type="thinking", thinking=text)),
                 _obj(input_tokens=size, output_tokens=1),
             ),
             said(F.array(_obj(type="text", text=text)), _obj(input_tokens=size + 1, output_tokens=0)),
@@ -101,7 +100,7 @@ def claude(spark: SparkSession, sf_dir: str) -> DataFrame:
                 _line(type="assistant", message=_obj(id=mid, model="<synthetic>", content=F.array(_obj(type="x")))),
             ),
             said(
-                F.array(_obj(type="tool_use", name="Bash", input=_obj(n=turn, cmd="ls"))),
+                F.array(_obj(type="tool_use", name="Bash", input=_obj(n=turn, cmd="ls " * 100))),
                 _obj(
                     input_tokens=size, output_tokens=size + 7, cache_read_input_tokens=size % 13,
                     cache_creation_input_tokens=F.lit("5"),
@@ -186,7 +185,7 @@ def qwen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     called = _obj(name=F.lit("f"), args=_obj(b=turn, a="x"))
     answered = _obj(
-        functionResponse=_obj(name=F.when(turn % 2 == 1, "f"), response=_obj(output=F.substring(text, 1, 40)))
+        functionResponse=_obj(name=F.when(turn % 2 == 1, "f"), response=_obj(output=text))
     )
     telemetry = F.struct(
         F.lit("qwen-code.api_response").alias("event.name"),
@@ -214,7 +213,7 @@ def qwen(spark: SparkSession, sf_dir: str) -> DataFrame:
                     ),
                     message=_obj(
                         parts=F.array(
-                            part(text=F.substring(text, 1, 30), thought=F.lit(True)), part(text=text), part(call=called)
+                            part(text=text, thought=F.lit(True)), part(text=text), part(call=called)
                         )
                     ),
                 ),
@@ -279,6 +278,6 @@ def hermes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.when(role == "assistant", calls).alias("tool_calls"),
         F.when(is_tool & (conv % 3 == 0), "run").alias("tool_name"),
         ((conv * 60 + turn + BASE).cast("double") + 0.5).alias("timestamp"),
-        F.when((role == "assistant") & (turn % 2 == 1), F.substring(text, 1, 25)).alias("reasoning"),
+        F.when((role == "assistant") & (turn % 2 == 1), text).alias("reasoning"),
     )
     return sessions, messages

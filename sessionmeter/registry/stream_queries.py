@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionmeter.operators import claude
@@ -10,47 +12,49 @@ from sessionmeter.registry import log_queries
 from sessionmeter.registry import tables as T
 from sessionmeter.session import work_path
 from sessionmeter.streaming.files import run_batches
-from sessionmeter.streaming.windows import bucket_stream, group_stream, latest_buckets
+from sessionmeter.streaming.windows import bucket_sums, current_groups, stream_groups, total_buckets
 
 SIX_HOURS = 21_600
+FILES, FILES_PER_TRIGGER = 6, 2  # at least three micro-batches
 
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = T.table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+def _landed(rows: DataFrame, *by: Column) -> DataFrame:
+    """The rows as a stream of files; `by` decides which rows share a file, so times come in no order."""
+    spark = rows.sparkSession
+    path = work_path(spark, "landed")
+    rows.repartition(FILES, *by).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", str(FILES_PER_TRIGGER)).parquet(path)
 
 
-def _run(spark, stream, work, mode) -> DataFrame:
+def _run(stream: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    spark = stream.sparkSession
     sink = work_path(spark, "stream")
-    query = run_batches(stream, work, sink, work_path(spark, "offsets"), mode)
-    query.awaitTermination()
+    run_batches(stream, work, sink, work_path(spark, "offsets")).awaitTermination()
     return spark.read.parquet(sink)
 
 
 def streamed_calls(spark, sf):
-    """Streamed lines merged per micro-batch."""
+    """Streamed lines merged per micro-batch; a user's lines lie in one file, as a session's lines do."""
 
     def work(events: DataFrame) -> DataFrame:
         return claude.merge_streamed(log_queries.event_lines(events), "claude")
 
-    out = _run(spark, _event_stream(spark, sf), work, "append")
+    out = _run(_landed(T.table(spark, sf, "events"), F.col("user_id")), work)
     return out.select("session_id", "ts", "is_user_turn", "model", "input_tokens", "output_tokens")
 
 
 def streamed_buckets(spark, sf):
-    events = T.as_token_events(_event_stream(spark, sf))
-    sums = bucket_stream(events, T.sample_prices(), SIX_HOURS, "1 day")
-    out = latest_buckets(_run(spark, sums, lambda batch: batch, "update"))
+    stream = _landed(T.table(spark, sf, "events"), F.xxhash64("event_id"))
+    out = total_buckets(_run(stream, lambda events: bucket_sums(T.as_token_events(events), T.sample_prices(), SIX_HOURS)))
     return out.withColumn("event_cost", F.round("event_cost", 6))
 
 
 def streamed_groups(spark, sf):
-    """Groups that are closed a day after the last start seen."""
-    landed = work_path(spark, "sessions")
-    rows = T.sessions(spark, sf)
-    rows.write.parquet(landed)
-    stream = spark.readStream.schema(rows.schema).parquet(landed)
-    return _run(spark, group_stream(stream, "1 day"), lambda batch: batch, "append").drop("stream_batch")
+    """Session groups, with sessions in no order of time."""
+    sink = work_path(spark, "groups")
+    stream = _landed(T.sessions(spark, sf), F.xxhash64("session_id"))
+    stream_groups(stream, sink, work_path(spark, "offsets")).awaitTermination()
+    return current_groups(spark, sink).drop("group_id")
 
 
 QUERIES = {

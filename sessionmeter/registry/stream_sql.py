@@ -12,5 +12,5 @@ SELECT t.ts // 21600 * 21600 AS bucket_ts, agent, round(sum({usage_sql.cost('m',
 FROM t LEFT JOIN matched m ON m.name = t.model WHERE NOT is_user_turn GROUP BY 1, 2""",
     "streamed_groups": f"""WITH {usage_sql.EVENTS}, {usage_sql.grouped('s')}
 SELECT agent, dir AS cwd, count(*) AS n_sessions, max(last_active_ts) AS latest_active_ts, min(started_at_ts) AS first_started_ts
-FROM grp GROUP BY agent, dir, g HAVING max(last_active_ts) + 86400 <= (SELECT max(started_at_ts) - 86400 FROM s)""",
+FROM grp GROUP BY agent, dir, g""",
 }

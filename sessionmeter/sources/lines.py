@@ -12,6 +12,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionmeter.session import exists
+
 LINE_SCHEMA = "path string, file_mtime bigint, file_size bigint, ord bigint, value string"
 LINE_BITS = 33
 START_STEP_BITS = 16
@@ -48,6 +50,12 @@ def claude_lines(spark: SparkSession, root: str, compressed: bool = False, since
     return _read(spark, [f"{root}/*/{names}"], since)
 
 
+def claude_all_lines(spark: SparkSession, root: str, since: int | None = None) -> DataFrame:
+    """Sessions and their subagents, plain or compressed."""
+    subagents = _read(spark, [f"{root}/*/*/subagents/{{agent-*.jsonl,agent-*.jsonl.gz}}"], since)
+    return claude_lines(spark, root, True, since).unionByName(subagents)
+
+
 def claude_subagent_lines(spark: SparkSession, root: str, compressed: bool = False) -> DataFrame:
     """`<root>/<project>/<parent>/subagents/agent-*.jsonl`, with the parent session."""
     names = "{agent-*.jsonl,agent-*.jsonl.gz}" if compressed else "agent-*.jsonl"
@@ -75,7 +83,7 @@ def stem(path: Column) -> Column:
 def codex_raw_id(path: Column) -> Column:
     """The id behind `rollout-<19 characters of time>-`; NULL for shorter names."""
     body = F.regexp_extract(path, r"rollout-([^/]*)\.jsonl$", 1)
-    return F.when(F.length(body) >= 20, F.substring(body, 21, 1_000))
+    return F.when(F.length(body) >= 20, F.substr(body, F.lit(21)))
 
 
 def session_id(agent: str, path: Column) -> Column:
@@ -89,16 +97,32 @@ def session_id(agent: str, path: Column) -> Column:
 READERS = {"claude": claude_lines, "codex": codex_lines, "qwen": qwen_lines}
 
 
-def list_files(spark: SparkSession, agent: str, root: str) -> DataFrame:
-    """path, file_mtime, file_size of every log of one agent, without reading any content."""
+FILE_SCHEMA = "path string, file_mtime bigint, file_size bigint"
+
+
+def list_files(spark: SparkSession, agent: str, root: str, wide: bool = False) -> DataFrame:
+    """path, file_mtime, file_size of every log of one agent, without reading any content.
+
+    `wide` adds compressed logs and subagents of the claude dialect. A root that does not exist is an error: taken
+    for an empty one, it would make every known file look gone.
+    """
+    if not exists(spark, root):
+        raise FileNotFoundError(f"no folder of {agent} logs: {root}")
+    if agent == "claude" and wide:
+        names = [f"{root}/*/{{*.jsonl,*.jsonl.gz}}", f"{root}/*/*/subagents/{{agent-*.jsonl,agent-*.jsonl.gz}}"]
+        return _listed(spark, agent, root, names[0]).unionByName(_listed(spark, agent, root, names[1]))
     glob = {"claude": f"{root}/*/*.jsonl", "qwen": f"{root}/*/chats/*.jsonl"}.get(agent, root)
+    return _listed(spark, agent, root, glob)
+
+
+def _listed(spark: SparkSession, agent: str, root: str, glob: str) -> DataFrame:
     options = {"recursiveFileLookup": "true", "pathGlobFilter": "rollout-*.jsonl"} if agent == "codex" else {}
     try:
         found = spark.read.format("binaryFile").options(**options).load(glob)
     except AnalysisException as err:
         if err.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], "path string, file_mtime bigint, file_size bigint")
+        return spark.createDataFrame([], FILE_SCHEMA)
     files = found.select(
         F.col("_metadata.file_path").alias("path"),
         F.unix_seconds("modificationTime").alias("file_mtime"),

@@ -70,16 +70,26 @@ def interval(seconds: int) -> int:
 
 
 def refresh_every(
-    store: Store, roots: dict[str, str], checkpoint: str, seconds: int = REFRESH_DEFAULT
+    store: Store, roots: dict[str, str], checkpoint: str, seconds: int = REFRESH_DEFAULT,
+    hermes_tables: Callable[[], tuple[DataFrame, DataFrame]] | None = None, compact_every: int = 500,
 ) -> StreamingQuery | None:
-    """Refresh the store again and again; a slow refresh delays the next one, none overlap."""
+    """Refresh the store again and again; a slow refresh delays the next one, none overlap.
+
+    `hermes_tables` gives the stored tables as they are at each refresh.
+    """
     every = interval(seconds)
     if every == 0:
         return None
+
+    def work(_batch: DataFrame, batch_id: int) -> None:
+        store.refresh(roots, hermes_tables() if hermes_tables else None)
+        if batch_id % compact_every == compact_every - 1:
+            store.compact()
+
     ticks = store.spark.readStream.format("rate").option("rowsPerSecond", "1").load()
     return (
         ticks.writeStream.option("checkpointLocation", checkpoint)
         .trigger(processingTime=f"{every} seconds")
-        .foreachBatch(lambda _batch, _id: store.refresh(roots))
+        .foreachBatch(work)
         .start()
     )

@@ -1,51 +1,61 @@
-"""Windowed sums and session groups over streams."""
+"""Windowed sums and session groups over streams.
+
+Logs arrive late by nature, so nothing here waits for a watermark or drops a row: sums are kept per micro-batch
+and added up, and the groups of a directory are made anew when sessions of it arrive.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from sessionmeter.functions.pricing import PriceBook, with_cost
-from sessionmeter.operators.grouping import DEFAULT_GAP
+from sessionmeter.operators.grouping import DEFAULT_GAP, group_sessions
 from sessionmeter.operators.usage import is_llm_call
 
 
-def bucket_stream(token_events: DataFrame, book: PriceBook, width: int, delay: str) -> DataFrame:
-    """(bucket_ts, agent, event_cost, calls) by tumbling window; events priced by their own model.
-
-    Use it in update mode: every changed window is sent again with its new sums.
-    """
+def bucket_sums(token_events: DataFrame, book: PriceBook, width: int) -> DataFrame:
+    """(bucket_ts, agent, event_cost, calls) of one micro-batch by tumbling window; events priced by their own model."""
     priced = with_cost(token_events.where(~F.col("is_user_turn") & (F.col("ts") > 0)), book, F.col("model"), "cost")
+    bucket = F.col("ts") - F.pmod(F.col("ts"), F.lit(width))
     return (
-        priced.withColumn("at", F.timestamp_seconds("ts"))
-        .withColumn("is_call", is_llm_call())
-        .withWatermark("at", delay)
-        .groupBy(F.window("at", f"{width} seconds").alias("w"), "agent")
+        priced.withColumn("is_call", is_llm_call())
+        .groupBy(bucket.alias("bucket_ts"), "agent")
         .agg(F.sum("cost").alias("event_cost"), F.count_if("is_call").alias("calls"))
-        .select(F.unix_seconds("w.start").alias("bucket_ts"), "agent", "event_cost", "calls")
     )
 
 
-def latest_buckets(written: DataFrame) -> DataFrame:
-    """The last state of every window among the written updates."""
-    newest = F.max_by(F.struct("event_cost", "calls"), "stream_batch")
-    return written.groupBy("bucket_ts", "agent").agg(newest.alias("v")).select("bucket_ts", "agent", "v.*")
+def total_buckets(written: DataFrame) -> DataFrame:
+    """The sums of all micro-batches so far; a repeated batch has overwritten itself."""
+    return written.groupBy("bucket_ts", "agent").agg(F.sum("event_cost").alias("event_cost"), F.sum("calls").alias("calls"))
 
 
-def group_stream(sessions: DataFrame, delay: str, gap: int = DEFAULT_GAP) -> DataFrame:
-    """Session groups as they close: each session stays open until `gap` after its last activity."""
-    # merge what arrives together before the shuffle, so a directory with many sessions sends few rows
-    sessions.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
-    open_for = F.greatest(F.col("last_active_ts") - F.col("started_at_ts") + gap, F.lit(1).cast("bigint"))
-    length = F.make_interval(secs=open_for.cast("decimal(18,6)"))
-    return (
-        sessions.withColumn("at", F.timestamp_seconds("started_at_ts"))
-        .withWatermark("at", delay)
-        .groupBy(F.session_window("at", length).alias("w"), "agent", F.coalesce("cwd", F.lit("")).alias("cwd"))
-        .agg(
-            F.count(F.lit(1)).alias("n_sessions"),
-            F.max("last_active_ts").alias("latest_active_ts"),
-            F.min("started_at_ts").alias("first_started_ts"),
+def stream_groups(sessions: DataFrame, sink: str, checkpoint: str, gap: int = DEFAULT_GAP) -> StreamingQuery:
+    """Keep the sessions seen so far below `sink`, and the groups of each directory that a micro-batch touches."""
+    spark = sessions.sparkSession
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in sessions.schema)}, stream_batch int"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/sessions/stream_batch={batch_id}")
+        seen = spark.read.schema(schema).parquet(f"{sink}/sessions").where(F.col("stream_batch") <= batch_id)
+        touched = _keyed(seen.where(F.col("stream_batch") == batch_id)).select("agent", "dir").distinct()
+        again = _keyed(seen).drop("stream_batch").join(touched, ["agent", "dir"], "left_semi").drop("dir")
+        found = (
+            _keyed(group_sessions(again, gap)).groupBy("agent", "dir", "group_id")
+            .agg(F.count(F.lit(1)).alias("n_sessions"), F.max("last_active_ts").alias("latest_active_ts"), F.min("started_at_ts").alias("first_started_ts"))
         )
-        .drop("w")
-    )
+        found.write.mode("overwrite").parquet(f"{sink}/groups/stream_batch={batch_id}")
+
+    return sessions.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
+def current_groups(spark, sink: str) -> DataFrame:
+    """The groups of every directory as its latest micro-batch left them, open ones included."""
+    written = spark.read.parquet(f"{sink}/groups")
+    newest = written.groupBy("agent", "dir").agg(F.max("stream_batch").alias("stream_batch"))
+    return written.join(newest, ["agent", "dir", "stream_batch"]).withColumnRenamed("dir", "cwd").drop("stream_batch")
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("dir", F.coalesce("cwd", F.lit("")))

@@ -325,24 +325,24 @@ def test_qwen_rules(spark):
 def hermes_tables(spark):
     from sessionmeter.sources.stored import MESSAGES, SESSIONS
 
-    sid = "20260422_120120_39afa6"
+    sid = "north-17"
     sessions = spark.createDataFrame(
-        [(sid, "gpt-5.5", 1776758400.0, 1776758500.0, 6, 11347, 251, 26624, 0, 89, None),
-         ("boot", None, 1.0, None, 0, 0, 0, 0, 0, 0, None)], SESSIONS)
+        [(sid, "model-k", 1700000010.0, 1700000900.5, 3, 500, 40, 70, 0, 25, None),
+         ("idle", None, 5.0, None, 0, 0, 0, 0, 0, 0, None)], SESSIONS)
     messages = spark.createDataFrame(
-        [(1, sid, "user", "hi", None, None, None, 1776758401.0, None),
-         (2, sid, "assistant", "hello", None, None, None, 1776758402.0, "thinking step")], MESSAGES)
+        [(1, sid, "user", "count the birds", None, None, None, 1700000011.0, None),
+         (2, sid, "assistant", "there are nine", None, None, None, 1700000012.0, "look at the roof")], MESSAGES)
     return sessions, messages
 
 
 def test_hermes_rules(spark):
     sessions, messages = hermes_tables(spark)
     s = hermes.sessions(sessions, messages).collect()
-    assert [(x.prompt, x.turns, x.last_active_ts, x.cwd) for x in s] == [("hi", 6, 1776758500, None)]
+    assert [(x.prompt, x.turns, x.last_active_ts, x.cwd) for x in s] == [("count the birds", 3, 1700000900, None)]
     events = hermes.token_events(sessions, messages).orderBy("ord").collect()
-    assert [(e.is_user_turn, e.output_tokens) for e in events] == [(True, 0), (False, 340)]
+    assert [(e.is_user_turn, e.output_tokens) for e in events] == [(True, 0), (False, 65)]
     said = hermes.transcript(messages).orderBy("event_index").collect()
-    assert [(e.kind, e.body) for e in said] == [("User", "hi"), ("Thinking", "thinking step"), ("Assistant", "hello")]
+    assert [(e.kind, e.body) for e in said] == [("User", "count the birds"), ("Thinking", "look at the roof"), ("Assistant", "there are nine")]
 
 
 def test_hermes_tool_calls(spark):
@@ -350,7 +350,7 @@ def test_hermes_tool_calls(spark):
         return one(spark, hermes.tool_calls(F.lit(raw)))
 
     assert calls('[{"id":"c1","function":{"name":"grep","arguments":"{\\"p\\":1}"}}, {"name":"x"}]') == ['grep: {"p":1}', "x: "]
-    assert calls("not json at all") == ["(unparsed tool_calls) not json at all"]
+    assert calls("[{broken") == ["(unparsed tool_calls) [{broken"]
     assert calls('{"a":1}') == []
     assert one(spark, hermes.tool_calls(F.lit(None).cast("string"))) == []
 

@@ -14,10 +14,12 @@ from sessionmeter.operators import claude, inventory
 from sessionmeter.operators.lookup import by_id_prefix
 from sessionmeter.plans.dashboard import dashboard
 from sessionmeter.functions.ranges import Range
+from sessionmeter.plans import store as store_module
 from sessionmeter.plans.store import Store
 from sessionmeter.sources import lines as L
 from sessionmeter.sources.stored import home_files
 from sessionmeter.streaming import files as stream_files
+from sessionmeter.streaming import windows
 
 from test_rules import hermes_tables
 
@@ -111,11 +113,12 @@ def rows_of(store, table, *columns):
 def test_refresh(spark, tmp_path, store):
     root = f"{tmp_path}/claude"
     roots = {"claude": root, "codex": f"{tmp_path}/codex"}
+    os.makedirs(f"{tmp_path}/codex")
     put(f"{root}/-w-a/s1.jsonl", [user("one"), answer("m", 3)])
     put(f"{root}/-w-a/s2.jsonl", [user("two")])
     put(f"{root}/-w-a/s3.jsonl", [[]])
     assert store.refresh(roots, hermes_tables(spark)) == 4
-    assert [r[0] for r in rows_of(store, "sessions", "session_id")] == ["hermes:20260422_120120_39afa6", "s1", "s2", "s3"]
+    assert [r[0] for r in rows_of(store, "sessions", "session_id")] == ["hermes:north-17", "s1", "s2", "s3"]
     first = rows_of(store, "token_events", "session_id", "is_user_turn", "output_tokens")
 
     # nothing changed: nothing is read, nothing is written
@@ -127,7 +130,7 @@ def test_refresh(spark, tmp_path, store):
     os.remove(f"{root}/-w-a/s2.jsonl")
     put(f"{root}/-w-b/s4.jsonl", [user("four")])
     assert store.refresh(roots) == 2
-    assert [r[0] for r in rows_of(store, "sessions", "session_id")] == ["hermes:20260422_120120_39afa6", "s1", "s3", "s4"]
+    assert [r[0] for r in rows_of(store, "sessions", "session_id")] == ["hermes:north-17", "s1", "s3", "s4"]
     got = rows_of(store, "token_events", "session_id", "is_user_turn", "output_tokens")
     assert [r for r in got if r[0] == "s1"] == [("s1", False, 9), ("s1", True, 0), ("s1", True, 0)]
     assert [r for r in got if r[0].startswith("hermes")] == [r for r in first if r[0].startswith("hermes")]
@@ -141,6 +144,73 @@ def test_refresh(spark, tmp_path, store):
     assert rows_of(store, "token_events", "session_id", "is_user_turn", "output_tokens") == got
 
 
+def test_files_that_come_during_a_refresh(spark, tmp_path, store, monkeypatch):
+    """A file that appears after the listing waits for the next refresh, and none is ever stored twice."""
+    root = f"{tmp_path}/claude"
+    put(f"{root}/-w-a/s0.jsonl", [user("0")])
+    listing = store_module.list_files
+    for k in range(1, 6):
+
+        def list_then_add(spark_, agent, root_, wide=False, k=k):
+            found = spark_.createDataFrame(listing(spark_, agent, root_, wide).collect(), L.FILE_SCHEMA)
+            put(f"{root}/-w-a/s{k}.jsonl", [user(str(k))])
+            put(f"{root}/-w-a/s0.jsonl", [user("0")] * (k + 1))
+            return found
+
+        monkeypatch.setattr(store_module, "list_files", list_then_add)
+        store.refresh({"claude": root})
+        assert rows_of(store, "sessions", "session_id") == [(f"s{i}",) for i in range(k)]
+    monkeypatch.setattr(store_module, "list_files", listing)
+    store.refresh({"claude": root})
+    want = sorted([("s0", "0")] * 6 + [(f"s{i}", str(i)) for i in range(1, 6)])
+    assert rows_of(store, "transcript_events", "session_id", "body") == want
+    assert rows_of(store, "sessions", "session_id", "turns") == [("s0", 6)] + [(f"s{i}", 1) for i in range(1, 6)]
+
+    # a mistyped root is an error, and all rows stay
+    with pytest.raises(FileNotFoundError):
+        store.refresh({"claude": f"{tmp_path}/clawed"})
+    assert rows_of(store, "transcript_events", "session_id", "body") == want
+
+    # compaction changes no row, and refreshes go on from it
+    events = rows_of(store, "token_events", "session_id", "ts", "is_user_turn")
+    batch = store.compact()
+    assert store.last_batch() == batch and rows_of(store, "transcript_events", "session_id", "body") == want
+    assert rows_of(store, "token_events", "session_id", "ts", "is_user_turn") == events
+    assert store.refresh({"claude": root}) == 0
+    put(f"{root}/-w-a/s1.jsonl", [user("1"), user("more")])
+    os.remove(f"{root}/-w-a/s2.jsonl")
+    assert store.refresh({"claude": root}) == 1
+    assert rows_of(store, "sessions", "session_id", "turns") == [("s0", 6), ("s1", 2), ("s3", 1), ("s4", 1), ("s5", 1)]
+
+
+def test_refresh_reads_changed_totals_subagents_and_compressed_logs(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/store", wide=True)
+    root = f"{tmp_path}/claude"
+    put(f"{root}/-w-a/s1.jsonl", [user("one")])
+    put(f"{root}/-w-a/s2.jsonl.gz", [user("two")])
+    put(f"{root}/-w-a/s1/subagents/agent-7.jsonl", [user("sub")])
+    sessions, messages = hermes_tables(spark)
+    assert store.refresh({"claude": root}, (sessions, messages)) == 4
+    assert [r[0] for r in rows_of(store, "sessions", "session_id")] == ["agent-7", "hermes:north-17", "s1", "s2"]
+    later = sessions.withColumn("output_tokens", F.col("output_tokens") + F.when(F.col("id") == "north-17", 5).otherwise(0))
+    assert store.refresh({"claude": root}, (later, messages)) == 1
+    spent = [r for r in rows_of(store, "token_events", "session_id", "is_user_turn", "output_tokens") if r[0].startswith("hermes")]
+    assert spent == [("hermes:north-17", False, 70), ("hermes:north-17", True, 0)]
+
+
+def test_streamed_groups_keep_late_and_open_sessions(spark, tmp_path):
+    day = 86_400
+    rows = [("claude", f"s{d}", f"/p/s{d}", "/w/a", d * day, d * day + 10) for d in (100, 90, 200, 101, 201)]
+    schema = "agent string, session_id string, path string, cwd string, started_at_ts bigint, last_active_ts bigint"
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(0.01)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(f"{tmp_path}/in")
+    windows.stream_groups(stream, f"{tmp_path}/sink", f"{tmp_path}/cp").awaitTermination()
+    got = sorted((r.first_started_ts // day, r.n_sessions) for r in windows.current_groups(spark, f"{tmp_path}/sink").collect())
+    assert got == [(90, 1), (100, 2), (200, 2)]
+
+
 def test_dashboard_from_files(spark, tmp_path, store):
     put(f"{tmp_path}/claude/-w-a/s1.jsonl", [user("one"), answer("m", 1_000_000)])
     store.refresh({"claude": f"{tmp_path}/claude"})
