@@ -14,9 +14,12 @@ alone. Rows equal in id are documents of their own; other columns are not read.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from math import ceil
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -28,6 +31,7 @@ from sessionmeter.llm.graph import stored
 
 WINDOW = 4096
 END = 2
+_END = END.to_bytes(2, "little")
 TASK_TOKENS = 4_000_000
 SHARD_DOCS, SHARD_TOKENS = 512, 1_500_000
 K1, B = 1.2, 0.75
@@ -46,27 +50,73 @@ class Encoder:
     """Token ids of texts, as 16-bit numbers.
 
     The tokenizer's pieces never reach across white space, so the ids of a text are those of its words; these are
-    remembered, up to a bounded number of words.
+    remembered, up to a bounded number of words. A word of Latin letters with marks behind it is two pieces, which are
+    remembered for all words they occur in and go to the tokenizer's model directly.
     """
 
+    MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+
     def __init__(self, path: str, most: int = 400_000):
-        from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use all cores
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self._tokenizer, self._known, self._most = Tokenizer.from_file(path), {}, most
+        self._tokenizer, self._known, self._pieces, self._most = Tokenizer.from_file(path), {}, {}, most
         if self._tokenizer.get_vocab_size() > VOCABULARY:
             raise ValueError("the vocabulary does not fit 16 bits")
-
-    def ids(self, text: str | None) -> np.ndarray:
-        words, known = byte_words(text), self._known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) > self._most:
-                known.clear()
-                new = list(set(words))
-            got = self._tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-            for w, e in zip(new, got):
-                known[w] = np.array(e.ids, np.uint16).tobytes()
-        return np.append(np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint16), np.uint16(END))
+        self._marks: dict[bytes, bytes] = {}
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self._latin = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x250)}
+
+    def many(self, texts: list[str | None]) -> list[np.ndarray]:
+        cut = [byte_words(t) for t in texts]
+        self._learn(set().union(*cut))
+        known = self._known
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)) + _END, np.uint16) for words in cut]
+
+    def _learn(self, words: set[bytes]) -> None:
+        known, pieces = self._known, self._pieces
+        if len(known) > self._most:
+            known.clear()
+        if len(pieces) > self._most:
+            pieces.clear()
+        new = [w for w in words if w not in known]
+        if not new:
+            return
+        lows = b"\n".join(new).lower().split(b"\n")
+        cores = [low.rstrip(self.MARKS) for low in lows]
+        for core in {c for c in cores if c not in pieces}:
+            pieces[core] = self._letters(core)
+        for word, low, core in zip(new, lows, cores):
+            piece = pieces[core]
+            if piece is None:
+                known[word] = self._whole(word)
+            elif len(core) == len(low):
+                known[word] = piece
+            else:
+                known[word] = piece + self._whole(low[len(core) :])
+
+    def _whole(self, word: bytes) -> bytes:
+        """Ids of any other word; those of marks are remembered."""
+        got = self._marks.get(word)
+        if got is None:
+            got = array("H", self._tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+            if len(self._marks) < 10_000:
+                self._marks[word] = got
+        return got
+
+    def _letters(self, core: bytes) -> bytes | None:
+        """Ids of a run of Latin letters; None for anything else."""
+        if not core.isalpha():
+            if not core:
+                return b""
+            letters = core.decode()
+            low = letters.lower()
+            if not low.isalpha() or max(low) >= "\u0250" or not is_normalized("NFC", letters):
+                return None
+            core = low.translate(self._latin)
+        else:
+            core = core.decode()
+        return array("H", [t.id for t in self._tokenizer.model.tokenize(core)]).tobytes()
 
 
 def crc(ids: np.ndarray) -> int:
@@ -90,8 +140,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
         frequency, total = np.zeros(VOCABULARY, np.int64), 0
         for part in batches:
             out = []
-            for doc_id, text in zip(part["doc_id"], part["text"]):
-                ids = encoder.ids(text)
+            for doc_id, ids in zip(part["doc_id"], encoder.many(list(part["text"]))):
                 n = len(ids)
                 own = np.unique(ids)
                 frequency[own] += 1
