@@ -139,7 +139,7 @@ def linked(keys: list[int], weights: np.ndarray, sets: list[np.ndarray], side: n
 
 
 def classes_and_links(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, row, class_row, class_doc, class_size, n_links, group_row of every row of `docs`."""
+    """row, doc_id, text_hash, class_row, class_doc, class_size, n_links, group_row, group_doc of every row of `docs`."""
     ready(docs.sparkSession)
     sig = signed(docs)
     classes = sig.where("digest is not null").groupBy("digest").agg(
@@ -168,19 +168,24 @@ def classes_and_links(docs: DataFrame) -> DataFrame:
         classes.join(links, "c", "left").join(roots.groupBy(F.col("node").alias("c")).agg(F.min("root").alias("root")), "c", "left")
         .select("digest", "c", "first_doc", "size", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "c").alias("group_row"))
     )
+    # the group's least id is found among classes, of which even a large group has fewer than rows
+    least = per_class.groupBy("group_row").agg(F.min("first_doc").alias("group_doc"))
+    per_class = per_class.join(least, "group_row")
+    wordless = F.col("c").isNull()
     return sig.select("row", "doc_id", "text_hash", "digest").join(per_class, "digest", "left").select(
         "row", "doc_id", "text_hash",
         F.coalesce("c", "row").alias("class_row"),
-        F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("first_doc")).alias("class_doc"),
+        F.when(wordless, F.col("doc_id")).otherwise(F.col("first_doc")).alias("class_doc"),
         F.coalesce("size", F.lit(1)).alias("class_size"),
         (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("size") - 1, F.lit(0))).cast("long").alias("n_links"),
         F.coalesce("group_row", "row").alias("group_row"),
+        F.when(wordless, F.col("doc_id")).otherwise(F.col("group_doc")).alias("group_doc"),
     )
 
 
 def _verified(docs: DataFrame, member: DataFrame) -> DataFrame:
     """c, links, root, blocks from the tasks that compare two blocks of a component."""
-    wanted = np.frombuffer(bit_filter(member, bit_place(F.col("text_hash"), BITS), BITS), np.uint8)
+    wanted = np.frombuffer(bit_filter(member, bit_place(F.xxhash64("doc_id", "text_hash"), BITS), BITS), np.uint8)
 
     def full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -192,8 +197,8 @@ def _verified(docs: DataFrame, member: DataFrame) -> DataFrame:
             )
 
     texts = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text", bit_place(F.xxhash64("text"), BITS).alias("bit")
-    ).where("text is not null")
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text"
+    ).where("text is not null").withColumn("bit", bit_place(F.xxhash64("doc_id", "text_hash"), BITS))
     sets = texts.mapInPandas(full_sets, "doc_id long, text_hash long, shingles binary")
     own = member.select("c", "component", "blocks", "size", F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
     found = own.join(sets, F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")))
@@ -220,9 +225,7 @@ def _verified(docs: DataFrame, member: DataFrame) -> DataFrame:
 
 def similar(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (least id with the same set), group_id (least id of the group), n_links (documents linked)."""
-    rows = classes_and_links(docs)
-    groups = rows.groupBy("group_row").agg(F.min("doc_id").alias("group_id"))
-    return rows.join(groups, "group_row").select("doc_id", F.col("class_doc").alias("class_id"), "group_id", "n_links")
+    return classes_and_links(docs).select("doc_id", F.col("class_doc").alias("class_id"), F.col("group_doc").alias("group_id"), "n_links")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
