@@ -31,12 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from sessionmeter.llm.base import WordHashes, fold, mix, ready
-from sessionmeter.llm.graph import bit_filter, stored
+from sessionmeter.llm.base import fold, mix, ready, word_hashes
+from sessionmeter.llm.graph import bit_filter, stored, tidy
 
 DEPTH = 2
 LEAST_CONTEXT, LEAST_FOLLOWER, LEAST_GAIN, DISCOUNT = 16, 2, 10.0, 0.75
-CONTEXT_BITS, FOLLOWER_BITS = 24, 27
+CONTEXT_BITS, FOLLOWER_BITS, MODEL_BITS = 24, 27, 28
 BUCKET_TOKENS = 4_000_000
 HEAD = 1 << 19
 FLUSH = 1_500_000
@@ -45,11 +45,6 @@ END = int(mix(np.array([0x5DEECE66D], np.uint64))[0])
 _FACTOR, _STATE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA0761D6478BD642F)
 
 
-def token_hashes(text: str | None, hashes: WordHashes) -> np.ndarray:
-    words = text.encode("utf-8", "replace").lower().split() if text else []
-    return np.append(hashes.of(words), np.uint64(END))
-
-
 def gram(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     """The key of a word after a context; also that of the context made of both."""
     return mix(context * _FACTOR + word)
@@ -83,9 +78,17 @@ def _filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     return (part for part in batches if len(part))
 
 
-def _joined(texts: pd.Series, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    parts = [token_hashes(t, hashes) for t in texts]
-    return np.concatenate(parts), np.cumsum([0] + [len(p) for p in parts[:-1]])
+def _joined(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of all texts one after another, and where each text starts."""
+    parts = [(t or "").encode("utf-8", "replace") for t in texts]
+    words, begins = word_hashes(b"\n".join(parts).lower())
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    last = np.searchsorted(begins, ends) + np.arange(len(parts))  # the place of each text's end token
+    tokens = np.full(len(words) + len(parts), np.uint64(END))
+    is_word = np.ones(len(tokens), bool)
+    is_word[last] = False
+    tokens[is_word] = words
+    return tokens, np.append(0, last[:-1] + 1)
 
 
 def _long(x: np.ndarray) -> np.ndarray:
@@ -96,9 +99,9 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """(word, c), stored."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, held, size = WordHashes(), [], 0
+        held, size = [], 0
         for part in _filled(batches):
-            tokens, _ = _joined(part["text"], hashes)
+            tokens, _ = _joined(part["text"])
             held.append(tokens)
             size += len(tokens)
             if size > FLUSH:
@@ -118,7 +121,7 @@ def follower_bits(texts: DataFrame, depth: int, candidates: bytes, tokens: int)
     is_candidate = np.frombuffer(candidates, np.uint8)
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, held, size = WordHashes(), [], 0
+        held, size = [], 0
 
         def flush() -> pd.DataFrame:
             keys, n = np.unique(np.concatenate(held), return_counts=True)
@@ -130,7 +133,7 @@ def follower_bits(texts: DataFrame, depth: int, candidates: bytes, tokens: int)
             return pd.DataFrame({"bucket": used, "prints": [short[cut[b] : cut[b + 1]].tobytes() for b in used]})
 
         for part in _filled(batches):
-            all_tokens, starts = _joined(part["text"], hashes)
+            all_tokens, starts = _joined(part["text"])
             context = contexts_of(all_tokens, starts, depth)[-1]
             ok = (context != 0) & has_bit(is_candidate, context, CONTEXT_BITS)
             held.append(gram(context[ok], all_tokens[ok]))
@@ -160,7 +163,7 @@ def followers(texts: DataFrame, depth: int, candidates: bytes, twice: bytes) ->
     is_candidate, may_repeat = np.frombuffer(candidates, np.uint8), np.frombuffer(twice, np.uint8)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, held, size = WordHashes(), [], 0
+        held, size = [], 0
 
         def flush() -> pd.DataFrame:
             context, suffix, word = (np.concatenate(x) for x in zip(*held))
@@ -168,7 +171,7 @@ def followers(texts: DataFrame, depth: int, candidates: bytes, twice: bytes) ->
             return pd.DataFrame({"context": _long(context[first]), "suffix": _long(suffix[first]), "word": _long(word[first]), "n": n})
 
         for part in _filled(batches):
-            tokens, starts = _joined(part["text"], hashes)
+            tokens, starts = _joined(part["text"])
             contexts = contexts_of(tokens, starts, depth)
             context = contexts[-1]
             ok = (context != 0) & has_bit(is_candidate, context, CONTEXT_BITS)
@@ -225,9 +228,12 @@ def model(texts: DataFrame) -> tuple[DataFrame, int, int]:
     for depth in range(1, DEPTH + 1):
         bits = bit_filter(candidates, top_bits("context", CONTEXT_BITS), CONTEXT_BITS)
         twice = follower_bits(texts, depth, bits, total)
+        tidy(texts.sparkSession)
         grams = stored(followers(texts, depth, bits, twice).join(candidates, "context"), "followers")
+        tidy(texts.sparkSession)
         states, kept = fitted(grams.join(lower, ["suffix", "word"]))
         kept = stored(kept.withColumn("key", gram_key("context", "word")), "kept")
+        tidy(texts.sparkSession)
         nothing = [F.lit(0.0).alias("base"), F.lit(0).alias("known")]
         parts.append(states.select(state_key("context").alias("key"), *nothing, (F.col("back") / ten).alias("extra"), F.col("total").alias("weight")))
         parts.append(kept.select("key", *nothing, (F.col("above") / ten).alias("extra"), F.col("n").alias("weight")))
@@ -240,7 +246,9 @@ def model(texts: DataFrame) -> tuple[DataFrame, int, int]:
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return stored(every, "model"), int(total), int(kinds)
+    table = stored(every, "model")
+    tidy(texts.sparkSession)
+    return table, int(total), int(kinds)
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -252,13 +260,14 @@ def scores(docs: DataFrame) -> DataFrame:
     order = np.argsort(head["key"].to_numpy().view(np.uint64))
     keys = head["key"].to_numpy().view(np.uint64)[order]
     base, known, extra = (head[c].to_numpy()[order].astype(np.float64) for c in ("base", "known", "extra"))
-    bits = np.frombuffer(bit_filter(table, top_bits("key", FOLLOWER_BITS), FOLLOWER_BITS), np.uint8)
+    # two bits for each key, from either end of it
+    places = table.select(F.explode(F.array(top_bits("key", MODEL_BITS), F.col("key").bitwiseAND(F.lit((1 << MODEL_BITS) - 1)))).alias("place"))
+    bits = np.frombuffer(bit_filter(places, F.col("place"), MODEL_BITS), np.uint8)
     unknown = -float(np.log10(total + kinds + 1))
 
     def lookups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for part in _filled(batches):
-            tokens, starts = _joined(part["text"], hashes)
+            tokens, starts = _joined(part["text"])
             sizes = np.diff(np.append(starts, len(tokens)))
             text = np.repeat(np.arange(len(part)), sizes)
             wanted, owner = [tokens], [text]
@@ -268,7 +277,8 @@ def scores(docs: DataFrame) -> DataFrame:
                     wanted.append(key)
                     owner.append(text[ok])
             key, owner_ = np.concatenate(wanted), np.concatenate(owner)
-            may = has_bit(bits, key, FOLLOWER_BITS)
+            may = has_bit(bits, key, MODEL_BITS)
+            may[may] = has_bit(bits, key[may] << np.uint64(64 - MODEL_BITS), MODEL_BITS)
             key, owner_ = key[may], owner_[may]
             distinct, which = np.unique(key, return_inverse=True)
             at = np.minimum(np.searchsorted(keys, distinct), max(0, len(keys) - 1))
