@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionmeter.operators.ordered import number_rows_any_order, prefix_max
+from sessionmeter.operators.ordered import prefix_max, with_neighbours
 
 DEFAULT_GAP = 86_400
 # a good hour: 4096 seconds
@@ -78,20 +78,11 @@ def groups(grouped: DataFrame) -> DataFrame:
 
 def members(grouped: DataFrame) -> DataFrame:
     """Position n of m in the group, with the neighbours (itself at either end)."""
-    numbered = number_rows_any_order(grouped, ["group_id"], member_order(), "_row")
-    sizes = numbered.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_members"))
-    label = numbered.select("group_id", F.col("_row"), F.col("session_id").alias("_id"))
-    before = label.select("group_id", (F.col("_row") + 1).alias("_row"), F.col("_id").alias("_before"))
-    after = label.select("group_id", (F.col("_row") - 1).alias("_row"), F.col("_id").alias("_after"))
-    return (
-        numbered.join(sizes, "group_id")
-        .join(before, ["group_id", "_row"], "left")
-        .join(after, ["group_id", "_row"], "left")
-        .select(
-            "group_id", "agent", "session_id", "path", "last_active_ts",
-            (F.col("_row") + 1).alias("position"),
-            "n_members",
-            F.coalesce("_before", "session_id").alias("previous_id"),
-            F.coalesce("_after", "session_id").alias("next_id"),
-        )
+    placed = with_neighbours(grouped, ["group_id"], member_order(), "session_id")
+    return placed.select(
+        "group_id", "agent", "session_id", "path", "last_active_ts",
+        F.col("_row").cast("bigint").alias("position"),
+        F.col("_rows").alias("n_members"),
+        F.coalesce("_before", "session_id").alias("previous_id"),
+        F.coalesce("_after", "session_id").alias("next_id"),
     )

@@ -53,15 +53,50 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
     )
 
 
-def number_rows_any_order(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
-    """Row numbers for an order without a natural chunk.
+def cut_by_order(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The rows with a chunk `_part`, for an order without a natural one.
 
     A range partitioning by key and order spreads even a single key over all tasks; it is computed once
-    into reliable storage so that both uses below see the same cut.
+    into reliable storage so that all uses see the same cut.
     """
     spread = df.repartitionByRange(_partitions(df), *[F.col(k) for k in keys], *order)
-    frozen = materialize(spread.withColumn("_part", F.spark_partition_id()))
-    return number_rows(frozen, keys, order, F.col("_part"), out).drop("_part")
+    return materialize(spread.withColumn("_part", F.spark_partition_id()))
+
+
+def number_rows_any_order(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
+    """Row numbers for an order without a natural chunk."""
+    return number_rows(cut_by_order(df, keys, order), keys, order, F.col("_part"), out).drop("_part")
+
+
+def with_neighbours(df: DataFrame, keys: list[str], order: list[Column], value: str) -> DataFrame:
+    """Add `_row` (from 1), `_rows` (of the key), and `value` of the row before and after, NULL at either end.
+
+    Neighbours are found inside a chunk; a row per chunk carries what crosses its borders. `value` is never NULL.
+    """
+    within = Window.partitionBy(*keys, "_part").orderBy(*order)
+    rows = cut_by_order(df, keys, order).withColumns(
+        {"_at": F.row_number().over(within), "_before": F.lag(value).over(within), "_after": F.lead(value).over(within)}
+    )
+    ends = rows.groupBy(*keys, "_part").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.max(F.when(F.col("_before").isNull(), F.col(value))).alias("_first"),
+        F.max(F.when(F.col("_after").isNull(), F.col(value))).alias("_last"),
+    )
+    chunks, whole = Window.partitionBy(*keys).orderBy("_part"), Window.partitionBy(*keys)
+    border = ends.select(
+        *keys, "_part",
+        F.lag("_last").over(chunks).alias("_last_before"),
+        F.lead("_first").over(chunks).alias("_first_after"),
+        (F.sum("_n").over(chunks.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_offset"),
+        F.sum("_n").over(whole).alias("_rows"),
+    )
+    return (
+        rows.join(border, [*keys, "_part"])
+        .withColumn("_row", F.col("_offset") + F.col("_at"))
+        .withColumn("_before", F.coalesce("_before", "_last_before"))
+        .withColumn("_after", F.coalesce("_after", "_first_after"))
+        .drop("_part", "_at", "_last_before", "_first_after", "_offset")
+    )
 
 
 def _partitions(df: DataFrame) -> int:

@@ -69,14 +69,18 @@ def by_group(active: DataFrame, hours: Column, gap: int) -> DataFrame:
             F.min("started_at_ts").alias("first_started_ts"),
         )
         .withColumn("calls_per_hour", _rate(hours))
-        .orderBy(F.desc("cost"), "agent", "cwd", "first_started_ts")
     )
 
 
+def sorted_groups(groups: DataFrame) -> DataFrame:
+    """The groups as a list is shown; nothing that works on groups needs their order."""
+    return groups.orderBy(F.desc("cost"), "agent", "cwd", "first_started_ts")
+
+
 def top_groups(groups: DataFrame, measure: str, n: int = TOP_GROUPS) -> DataFrame:
     """The n largest groups with their share of all groups above zero.
 
-    `groups` is used twice here (total and list), so pass it materialized.
+    `groups` is used twice here (total and list); both share its last shuffle.
     """
     value = F.col(measure).cast("double")
     positive = groups.withColumn("value", value).where(F.col("value") > 0)

@@ -30,7 +30,7 @@ def dashboard(
         "totals": rollups.totals(active, groups, hours),
         "by_agent": rollups.by_agent(active, hours),
         "by_model": rollups.by_model(active, hours),
-        "by_group": groups,
+        "by_group": rollups.sorted_groups(groups),
         "top_by_cost": rollups.top_groups(groups, "cost"),
         "top_by_rate": rollups.top_groups(groups, "calls_per_hour"),
         "by_time": series.time_series(sums, kept, r),

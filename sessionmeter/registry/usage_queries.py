@@ -171,14 +171,14 @@ def _by_model(label):
 
 def _by_group_query(label):
     def query(spark, sf):
-        return _money(_by_group(spark, sf, label), "cost", "calls_per_hour")
+        return _money(rollups.sorted_groups(_by_group(spark, sf, label)), "cost", "calls_per_hour")
 
     return query
 
 
 def _top_groups(measure):
     def query(spark, sf):
-        return _money(rollups.top_groups(materialize(_by_group(spark, sf, "30d")), measure), "value", "share")
+        return _money(rollups.top_groups(_by_group(spark, sf, "30d"), measure), "value", "share")
 
     return query
 

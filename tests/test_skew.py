@@ -116,3 +116,17 @@ def test_groups_against_loop(spark, seed):
     for cwd in (None, "/w/a"):
         want = group_loop([(s, a, b) for c, s, a, b in rows if c == cwd], gap)
         assert {frozenset(g) for (c, _), g in got.items() if c == cwd} == want
+
+
+def test_members_of_one_large_group(spark):
+    df = spark.range(3_000).select(
+        F.when(F.col("id") < 2_990, "big").otherwise("small").alias("group_id"), F.lit("claude").alias("agent"), F.format_string("s%05d", F.col("id")).alias("session_id"),
+        F.lit("p").alias("path"), (F.col("id") % 7).alias("last_active_ts"), (F.col("id") % 11).alias("started_at_ts"),
+    )
+    rows = df.collect()
+    got = {r.session_id: (r.position, r.n_members, r.previous_id, r.next_id) for r in grouping.members(df).collect()}
+    assert len(got) == 3_000
+    for group in ("big", "small"):
+        ids = [r.session_id for r in sorted((r for r in rows if r.group_id == group), key=lambda r: (-r.last_active_ts, r.started_at_ts, r.session_id))]
+        for i, s in enumerate(ids):
+            assert got[s] == (i + 1, len(ids), ids[max(i - 1, 0)], ids[min(i + 1, len(ids) - 1)])
