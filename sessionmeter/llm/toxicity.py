@@ -1,8 +1,8 @@
 """Toxicity by compression distance: windows are compressed with a dictionary of toxic and one of ordinary text.
 
 Two zstandard dictionaries are trained. The ordinary one comes from windows of ordinary texts. The toxic one comes
-from the windows of toxic texts that hold a byte sequence much more common there: seen in at least `LEAST_TEXTS`
-toxic texts, after at least `LEAST_CONTEXTS` different windows (so that copies of one text don't count), at
+from the windows of toxic texts that hold a byte sequence much more common there: seen in at least a share of
+`LEAST_SHARE` of the toxic texts, after as many different windows (so that copies of one text don't count), at
 `LEAST_RATIO` times the rate of ordinary texts. A window is one word in lower case, with blanks around it: the
 compressor looks for no match in the last bytes of its input, so each window is padded.
 
@@ -33,7 +33,7 @@ MOST_LABELLED = 1500
 # whole training texts stay bounded too: beyond this many bytes of texts a class adds no more documents
 MOST_BYTES = 48_000_000
 GRAM = 6
-LEAST_TEXTS, LEAST_CONTEXTS, LEAST_RATIO = 6, 8, 5.0
+LEAST_SHARE, LEAST_TEXTS, LEAST_RATIO = 0.02, 8, 5.0
 TOXIC_BYTES, ORDINARY_BYTES = 2048, 32768
 ORDINARY_WINDOWS = 100_000
 LEVEL = 3
@@ -101,6 +101,7 @@ def document(distances: np.ndarray, threshold: float) -> np.ndarray:
 def marked(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> set[bytes]:
     """Byte sequences that set toxic texts apart."""
     seen_toxic, seen_ordinary, before = Counter(), Counter(), defaultdict(set)
+    least = max(LEAST_TEXTS, LEAST_SHARE * len(toxic))
     for words in toxic:
         own = set()
         for last, w in zip([b"", *words], words):
@@ -112,7 +113,7 @@ def marked(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> set[bytes]:
         seen_ordinary.update({g for w in set(words) for g in grams(w)})
     return {
         g for g, n in seen_toxic.items()
-        if n >= LEAST_TEXTS and len(before[g]) >= LEAST_CONTEXTS
+        if n >= least and len(before[g]) >= least
         and (n + 0.5) / (len(toxic) + 1) > LEAST_RATIO * (seen_ordinary[g] + 0.5) / (len(ordinary) + 1)
     }
 
