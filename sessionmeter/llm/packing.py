@@ -15,10 +15,12 @@ alone. Rows equal in id are documents of their own; other columns are not read.
 from __future__ import annotations
 
 import os
+import sys
 import zlib
 from array import array
 from collections.abc import Iterator
 from math import ceil
+from types import ModuleType
 from unicodedata import is_normalized
 
 import numpy as np
@@ -56,7 +58,7 @@ class Encoder:
 
     MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use all cores
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -69,8 +71,9 @@ class Encoder:
 
     def many(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [byte_words(t) for t in texts]
-        self._learn(set().union(*cut))
-        known = self._known
+        distinct = set().union(*cut)
+        self._learn(distinct)
+        known = {w: self._known[w] for w in distinct}  # small enough for the processor's cache
         return [np.frombuffer(b"".join(map(known.__getitem__, words)) + _END, np.uint16) for words in cut]
 
     def _learn(self, words: set[bytes]) -> None:
@@ -119,6 +122,14 @@ class Encoder:
         return array("H", [t.id for t in self._tokenizer.model.tokenize(core)]).tobytes()
 
 
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of this Python worker; its tasks come one after another and share what it remembers."""
+    held = sys.modules.setdefault("sessionmeter_encoders", ModuleType("sessionmeter_encoders")).__dict__
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
+
+
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -136,7 +147,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
     """Rows of three kinds, stored: whole windows (with sequence_id), remainders (rest, place), counts of a task."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, task, made = Encoder(path), _task(), 0
+        encoder, task, made = worker_encoder(path), _task(), 0
         frequency, total = np.zeros(VOCABULARY, np.int64), 0
         for part in batches:
             out = []
@@ -150,7 +161,8 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
                     out.append((doc_id, s, WINDOW, crc(ids[s : s + WINDOW]), n, 2 * ((task << 33) | made) + 1, 0, None, None, None))
                     made += 1
                 if whole < n:
-                    low = [int(mix(own.astype(np.uint64) * np.uint64(2 * k + 1) + np.uint64(k)).min() >> np.uint64(33)) for k in (1, 2)]
+                    h = mix(own.astype(np.uint64) + np.uint64(1))
+                    low = [int(h.min() >> np.uint64(33)), int((h * np.uint64(0x9E3779B97F4A7C15)).min() >> np.uint64(33))]
                     out.append((doc_id, whole, n - whole, None, n, None, None, ids[whole:].tobytes(), (low[0] << 31) | low[1], None))
             yield _frame(out)
         if total:
