@@ -7,14 +7,22 @@ import gc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionmeter.session import work_path
+from sessionmeter.session import remove, work_path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Written to the shared folder and read back: computed once, and safe from the loss of executors."""
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def unstore(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing will read again."""
+    for t in tables:
+        remove(t.sparkSession, t.stored_at)
 
 
 def tidy(spark: SparkSession) -> None:
@@ -59,7 +67,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.where("a <> b").distinct()
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        edges = stored(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        older, edges = edges, stored(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        unstore(older)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

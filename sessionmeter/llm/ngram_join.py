@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionmeter.llm.base import WordHashes, byte_words, fresh, mix, ready
-from sessionmeter.llm.graph import bit_filter, bit_place, components, stored
+from sessionmeter.llm.graph import bit_filter, bit_place, components, stored, unstore
 
 SHINGLE = 5
 # the threshold as a fraction, compared in whole numbers
@@ -160,6 +160,7 @@ def classes_and_links(docs: DataFrame) -> DataFrame:
         "members",
     )
     joined = _verified(docs, member)
+    unstore(member)
     links = joined.groupBy("c").agg(F.sum("links").alias("links"))
     several = joined.where("blocks > 1").select(F.col("c").alias("a"), F.col("root").alias("b"))
     roots = joined.where("blocks = 1").select(F.col("c").alias("node"), "root").union(components(several))

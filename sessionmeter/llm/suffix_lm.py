@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from sessionmeter.llm.base import fold, mix, ready, word_hashes
-from sessionmeter.llm.graph import bit_filter, stored, tidy
+from sessionmeter.llm.graph import bit_filter, stored, tidy, unstore
 
 DEPTH = 2
 LEAST_CONTEXT, LEAST_FOLLOWER, LEAST_GAIN, DISCOUNT = 16, 2, 10.0, 0.75
@@ -200,7 +200,10 @@ def state_key(context: pd.Series) -> pd.Series:
 
 
 def fitted(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """States and followers of one depth, of (context, suffix, word, n, total, lower); lower: ln P of the suffix."""
+    """States and followers of one depth, both stored, of (context, suffix, word, n, total, lower).
+
+    `lower` is ln P of the word at the suffix.
+    """
     stats = grams.groupBy("context").agg(F.sum("n").alias("seen"), F.count(F.lit(1)).alias("kinds"), F.max("total").alias("total"))
     stats = stats.withColumn("back", 1 - (F.col("seen") - DISCOUNT * F.col("kinds")) / F.col("total")).drop("kinds")
     own = F.log((F.col("n") - DISCOUNT) / F.col("total") + F.col("back") * F.exp("lower"))
@@ -212,12 +215,16 @@ def fitted(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
         "states",
     )
     kept = rows.select("context", "word", "n", "own", "lower").join(states.select("context", "back"), "context")
-    return states, kept.select("context", "word", "n", "own", (F.col("own") - F.col("lower") - F.col("back")).alias("above"))
+    above = (F.col("own") - F.col("lower") - F.col("back")).alias("above")
+    kept = stored(kept.select("context", "word", "n", "own", above, gram_key("context", "word").alias("key")), "kept")
+    unstore(rows)
+    return states, kept
 
 
 def model(texts: DataFrame) -> tuple[DataFrame, int, int]:
     """(key, base, known, extra, weight) of every key, in log10; N; V."""
     words = word_counts(texts)
+    done = [words]
     total, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     root = F.log((F.col("c") + 1) / F.lit(total + kinds + 1))
     ten = float(np.log(10.0))
@@ -232,8 +239,8 @@ def model(texts: DataFrame) -> tuple[DataFrame, int, int]:
         grams = stored(followers(texts, depth, bits, twice).join(candidates, "context"), "followers")
         tidy(texts.sparkSession)
         states, kept = fitted(grams.join(lower, ["suffix", "word"]))
-        kept = stored(kept.withColumn("key", gram_key("context", "word")), "kept")
         tidy(texts.sparkSession)
+        done += [grams, states, kept]
         nothing = [F.lit(0.0).alias("base"), F.lit(0).alias("known")]
         parts.append(states.select(state_key("context").alias("key"), *nothing, (F.col("back") / ten).alias("extra"), F.col("total").alias("weight")))
         parts.append(kept.select("key", *nothing, (F.col("above") / ten).alias("extra"), F.col("n").alias("weight")))
@@ -247,6 +254,7 @@ def model(texts: DataFrame) -> tuple[DataFrame, int, int]:
     for p in parts[1:]:
         every = every.unionByName(p)
     table = stored(every, "model")
+    unstore(*done)
     tidy(texts.sparkSession)
     return table, int(total), int(kinds)
 
