@@ -7,8 +7,10 @@ tokens that could be personal data: tokens with a digit or an at sign, and token
 * Node potentials: log-linear in features of the token (length and grouping of its digits, signs, at sign, position
   in a match, the word before).
 * Chain edges join neighbouring tokens, skip edges join tokens with the same normal form (letters and digits only,
-  lower case) and tokens of which one holds the whole normal form of the other; both favour equal labels.
-* The graph has loops: labels' marginals come from damped loopy belief propagation.
+  lower case) and tokens of which one holds the whole normal form of the other; both favour equal labels. A token is
+  joined straight to the nearest matches with its form, however many other tokens stand between.
+* The graph has loops: labels' marginals come from damped loopy belief propagation, run until messages settle. Tokens
+  of a match keep their label.
 
 Node weights are fitted on a bounded sample of documents, with the patterns' own labels as the target
 (`MOST_DOCUMENTS`, those with the smallest hash of their id); no label table is read. A token outside the matches
@@ -46,7 +48,8 @@ PLAIN = re.compile(r"[\W_]+")
 MOST_DOCUMENTS = 2000
 SURE = 0.9
 CHAIN, SKIP = 0.3, 4.0
-ROUNDS, DAMPING = 10, 0.3
+# messages are passed on until none changes by more than SETTLED; ROUNDS is only a stop for loops that never settle
+ROUNDS, SETTLED, DAMPING = 1000, 1e-4, 0.3
 LEAST_NORMAL = 7
 
 
@@ -141,15 +144,35 @@ def graph(text: str, found: list[tuple[int, int, int]]) -> Graph:
     for i, f in enumerate(forms):
         if len(f) >= LEAST_NORMAL:
             same[f].append(i)
-    for group in same.values():  # a ring keeps the edges few, and every token of the group in reach
-        skip += list(zip(group, group[1:]))
+    held = {}
+    for f, group in same.items():
+        group.sort(key=lambda i: spans[i])
+        held[f] = [i for i in group if target[i]]
+        skip += tied(group, held[f])
     for f, group in same.items():
         for whole in known:
             if whole != f and whole in f and whole in same:
-                skip.append((same[whole][0], group[0]))
+                if not held[whole] and not held[f]:
+                    skip.append((same[whole][0], group[0]))
+                skip += [(held[whole][0], i) for i in group if held[whole]]
+                skip += [(held[f][0], i) for i in same[whole] if held[f] and not target[i]]
     return Graph(spans, np.array(target, int), feats, chain, skip)
 
 
+def tied(group: list[int], held: list[int]) -> list[tuple[int, int]]:
+    """Edges of a group of equal tokens: each to the nearest matches before and behind it; without a match, a path."""
+    if not held:
+        return list(zip(group, group[1:]))
+    out, place = list(zip(held, held[1:])), {i: n for n, i in enumerate(held)}
+    n = 0  # matches passed so far
+    for i in group:
+        if i in place:
+            n += 1
+        else:
+            out += [(h, i) for h in held[max(0, n - 1) : n + 1]]
+    return out
+
+
 def node_scores(g: Graph, weights: np.ndarray) -> np.ndarray:
     return np.array([weights[f].sum(0) for f in g.features]).reshape(len(g.features), weights.shape[1])
 
@@ -158,7 +181,8 @@ def marginals(g: Graph, weights: np.ndarray) -> np.ndarray:
     """Loopy belief propagation over chain and skip edges; tokens of a match hold their label."""
     unary = node_scores(g, weights)
     held = np.flatnonzero(g.target)
-    unary[held, g.target[held]] += 8.0
+    unary[held] = -np.inf
+    unary[held, g.target[held]] = 0.0
     edges = [(a, b, CHAIN) for a, b in g.chain] + [(a, b, SKIP) for a, b in g.skip]
     if not edges:
         return _normal(unary)
@@ -173,7 +197,10 @@ def marginals(g: Graph, weights: np.ndarray) -> np.ndarray:
         cavity = _normal(belief[src] - messages[back])
         new = np.log(1.0 + bonus * cavity)
         new -= new.max(1, keepdims=True)
-        messages = DAMPING * messages + (1 - DAMPING) * new
+        step = (1 - DAMPING) * (new - messages)
+        messages += step
+        if np.abs(step).max() < SETTLED:
+            break
     belief = unary.copy()
     np.add.at(belief, dst, messages)
     return _normal(belief)
@@ -217,11 +244,14 @@ def added(text: str, found: list[tuple[int, int, int]], weights: np.ndarray) ->
     for a, b in g.skip:
         linked[a].add(int(g.target[b]))
         linked[b].add(int(g.target[a]))
-    # a ring passes labels on: what a token's group holds counts as linked
-    for _ in range(2):
-        for a, b in g.skip:
-            both = linked[a] | linked[b]
-            linked[a], linked[b] = both, set(both)
+    # skip edges pass labels on: what any token in reach holds counts as linked
+    grown = True
+    while grown:
+        grown = False
+        for a, b in g.skip + g.skip[::-1]:  # both ways, so that a path takes one sweep
+            if linked[a] != linked[b]:
+                linked[a] = linked[b] = linked[a] | linked[b]
+                grown = True
     p = marginals(g, weights)
     out = []
     for i in np.flatnonzero(g.target == 0):

@@ -119,3 +119,18 @@ def test_odd(spark):
     rows = pii_crf.spans(docs).collect()
     assert len(rows) == docs.count() and all(r.spans == "" for r in rows)
     assert pii_crf.spans(no_documents(spark)).count() == 0
+
+
+def test_every_repeat_of_a_spaced_match_is_found():
+    """However many repeats stand before and behind the match, none is out of its reach."""
+    weights = pii_crf.fit_nodes([], np.zeros(0, int))
+    weights[0, 0] = 0.5
+    for before, behind in ((0, 4), (0, 12), (12, 0), (15, 15), (60, 200)):
+        for match in ("+1 555 123 4567", "4111 1111 1111 1111"):
+            bare = "".join(c for c in match if c in DIGITS)
+            if match[0] != "+":
+                bare = bare[:8] + "." + bare[8:]  # no match of its own
+            text = " ".join([*(f"no {bare} {w}" for w in prose(1, before).split()[:before]), match, *(f"and {bare} {w}" for w in prose(2, behind).split()[:behind])])
+            found = pii_crf.matches(text)
+            assert len(found) == 1
+            assert [text[s:e] for s, _, e in pii_crf.added(text, found, weights)] == [bare] * text.count(bare)
