@@ -85,3 +85,15 @@ def test_compression_distance_tells_trained_words():
     distance = d.distance()
     assert distance.of([b"zorgblat"])[0] > distance.of([b"tioning"])[0]
     assert d.score(distance, toxicity.windows(texts[1])) > 0.7 > d.score(distance, toxicity.windows(texts[0]))
+
+
+def test_few_toxic_texts_are_enough_to_learn_from(spark):
+    """At a tenth of the size, with some tens of toxic texts, insults are still found; no size gives one score to all."""
+    for name in ("sf0.001", "sf0.01"):
+        docs, labels = (table(spark, f"/root/testdata/{name}", t) for t in ("documents", "labels"))
+        rows = toxicity.scores(docs, labels).collect()
+        assert len({r.score for r in rows}) > 1
+        if name == "sf0.01":
+            got = held_out(rows, labels, "toxic")
+            assert np.mean([p for _, p, y in got if y == 1]) > 0.3
+            assert np.mean([p for _, p, y in got if y == 0]) < 0.02
