@@ -6,14 +6,14 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
 from sessionmeter.functions.ranges import Range
 from sessionmeter.operators import usage
+from sessionmeter.registry import all_queries
 from sessionmeter.registry import tables as T
 
 SF = "/root/testdata/sf0.001"
 # these only have a one-row aggregate or a page of results in one task
-BATCH = sorted(n for n in entry.queries() if not n.startswith("streamed_"))
+BATCH = sorted(n for n in all_queries() if not n.startswith("streamed_"))
 
 
 def plan(df):
@@ -22,7 +22,7 @@ def plan(df):
 
 @pytest.mark.parametrize("name", BATCH)
 def test_no_python_no_cross_join_no_global_window(spark, name):
-    text = plan(entry.queries()[name](spark, SF))
+    text = plan(all_queries()[name](spark, SF))
     for word in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroups", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert word not in text
     assert not re.search(r"\n[^\n]*Window [^\n]*\n[^\n]*Sort [^\n]*\n[^\n]*Exchange SinglePartition", text)
