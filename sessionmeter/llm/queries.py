@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionmeter.llm import decontaminate, license_scan, line_rules, ngram_join, packing, pii_crf, quality_fm, suffix_lm, toxicity, warc
+from sessionmeter.llm import (
+    decontaminate, license_scan, line_rules, ngram_join, packing, pii_crf, quality_fm, simhash, suffix_lm, toxicity, warc,
+)
 from sessionmeter.llm.base import table
 
 
@@ -48,6 +50,10 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_warc": op2_warc,
@@ -59,4 +65,5 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_pii_crf": op9_pii_crf,
     "op10_line_rules": op10_line_rules,
+    "op11_simhash": op11_simhash,
 }
