@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sessionmeter.llm import (
-    decontaminate, license_scan, line_rules, ngram_join, packing, pii_crf, quality_fm, simhash, suffix_lm, toxicity, warc,
+    decontaminate, license_scan, line_rules, ngram_join, packing, periodic_runs, pii_crf, quality_fm, simhash, spelling, suffix_lm,
+    toxicity, warc,
 )
 from sessionmeter.llm.base import table
 
@@ -54,6 +55,14 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.runs(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_warc": op2_warc,
@@ -66,4 +75,6 @@ QUERIES = {
     "op9_pii_crf": op9_pii_crf,
     "op10_line_rules": op10_line_rules,
     "op11_simhash": op11_simhash,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_spelling": op13_spelling,
 }
