@@ -70,10 +70,15 @@ def _usage(v: Column) -> dict[str, Column]:
 
 def token_events(lines: DataFrame) -> DataFrame:
     """One event per user line and per assistant call, streamed lines of a call merged."""
+    return merge_streamed(call_rows(lines), AGENT)
+
+
+def call_rows(lines: DataFrame) -> DataFrame:
+    """The rows `merge_streamed` takes: one per line that opens, continues or ends a call."""
     v = F.col("v")
     kind = J.word_at(v, "$.type")
     model = F.coalesce(J.text_at(v, "$.message.model"), F.lit(""))
-    rows = (
+    return (
         parsed_lines(lines, AGENT)
         .where(~J.flag_at(v, "$.isMeta"))
         .select(
@@ -86,8 +91,8 @@ def token_events(lines: DataFrame) -> DataFrame:
             *[c.alias(n) for n, c in _usage(v).items()],
         )
         .where((F.col("kind") != "assistant") | (F.col("has_message") & (F.col("model") != SYNTHETIC)))
+        .drop("has_message")
     )
-    return merge_streamed(rows, AGENT)
 
 
 def merge_streamed(rows: DataFrame, agent: str) -> DataFrame:

@@ -44,6 +44,11 @@ def sessions(lines: DataFrame) -> DataFrame:
 
 def token_events(lines: DataFrame) -> DataFrame:
     """User turns, token deltas and web searches, each with the model in force."""
+    return events_with_model(carry_last(role_rows(lines), ["path"], "set_model", "carried"))
+
+
+def role_rows(lines: DataFrame) -> DataFrame:
+    """One row per line that counts or that sets the model."""
     v = F.col("v")
     kind, sub = J.word_at(v, "$.type"), J.word_at(v, "$.payload.type")
     last = "$.payload.info.last_token_usage"
@@ -54,7 +59,7 @@ def token_events(lines: DataFrame) -> DataFrame:
         .when(is_event & (sub == "token_count"), "tokens")
         .when(is_event & (sub == "web_search_end"), "search")
     )
-    rows = (
+    return (
         parsed_lines(lines, AGENT)
         .select(
             "path", "session_id", "ord",
@@ -68,7 +73,11 @@ def token_events(lines: DataFrame) -> DataFrame:
         .where(F.col("role").isNotNull())
         .where((F.col("role") != "tokens") | (F.col("inp") + F.col("out") + F.col("cached") > 0))
     )
-    with_model = carry_last(rows, ["path"], "set_model", "carried").where(F.col("role") != "context")
+
+
+def events_with_model(rows: DataFrame) -> DataFrame:
+    """Role rows with the `carried` model as token events."""
+    with_model = rows.where(F.col("role") != "context")
     is_tokens = F.col("role") == "tokens"
     zero = F.lit(0).cast("bigint")
     return select_tokens(

@@ -6,6 +6,8 @@ from sessionmeter.registry import log_sql, usage_sql
 
 ORACLE = {
     "streamed_calls": log_sql.ORACLE["merged_calls"],
+    "streamed_claude_events": log_sql.ORACLE["claude_token_events"],
+    "streamed_codex_events": log_sql.ORACLE["codex_token_events"],
     "streamed_buckets": f"""WITH {usage_sql.EVENTS}, {usage_sql.PRICES}
 SELECT t.ts // 21600 * 21600 AS bucket_ts, agent, round(sum({usage_sql.cost('m', 't.')}), 6) AS event_cost,
   count(*) FILTER (input_tokens > 0 OR output_tokens > 0 OR cache_read_tokens > 0) AS calls

@@ -63,12 +63,20 @@ def claude_subagent_lines(spark: SparkSession, root: str, compressed: bool = Fal
     return lines.withColumn("parent_session_id", F.regexp_extract("path", r"([^/]+)/subagents/[^/]+$", 1))
 
 
+# Options of the reader, and its path below the root, of each agent's logs.
+CODEX_OPTIONS = {"recursiveFileLookup": "true", "pathGlobFilter": "rollout-*.jsonl"}
+LAYOUTS = {"claude": ("/*/*.jsonl", {}), "codex": ("", CODEX_OPTIONS), "qwen": ("/*/chats/*.jsonl", {})}
+
+
+def is_codex_log(root: str) -> Column:
+    """At most five levels down, with an id in its name; paths are absolute URIs, so the last part of the root counts."""
+    below = F.substring_index(F.col("path"), root.rstrip("/") + "/", -1)
+    return (F.size(F.split(below, "/")) <= 5) & codex_raw_id(F.col("path")).isNotNull()
+
+
 def codex_lines(spark: SparkSession, root: str, since: int | None = None) -> DataFrame:
     """`rollout-*.jsonl` at most five levels down; a dated root reads those days only."""
-    lines = _read(spark, [root], since, recursiveFileLookup="true", pathGlobFilter="rollout-*.jsonl")
-    # file paths are absolute URIs, so the depth is counted after the last part of the root
-    below = F.substring_index(F.col("path"), root.rstrip("/") + "/", -1)
-    return lines.where(F.size(F.split(below, "/")) <= 5).where(codex_raw_id(F.col("path")).isNotNull())
+    return _read(spark, [root], since, **CODEX_OPTIONS).where(is_codex_log(root))
 
 
 def qwen_lines(spark: SparkSession, root: str, since: int | None = None) -> DataFrame:
@@ -116,7 +124,7 @@ def list_files(spark: SparkSession, agent: str, root: str, wide: bool = False) -
 
 
 def _listed(spark: SparkSession, agent: str, root: str, glob: str) -> DataFrame:
-    options = {"recursiveFileLookup": "true", "pathGlobFilter": "rollout-*.jsonl"} if agent == "codex" else {}
+    options = CODEX_OPTIONS if agent == "codex" else {}
     try:
         found = spark.read.format("binaryFile").options(**options).load(glob)
     except AnalysisException as err:
@@ -128,10 +136,7 @@ def _listed(spark: SparkSession, agent: str, root: str, glob: str) -> DataFrame:
         F.unix_seconds("modificationTime").alias("file_mtime"),
         F.col("length").alias("file_size"),
     )
-    if agent == "codex":
-        below = F.substring_index(F.col("path"), root.rstrip("/") + "/", -1)
-        files = files.where(F.size(F.split(below, "/")) <= 5).where(codex_raw_id(F.col("path")).isNotNull())
-    return files
+    return files.where(is_codex_log(root)) if agent == "codex" else files
 
 
 def existing_globs(spark: SparkSession, globs: list[str]) -> list[str]:

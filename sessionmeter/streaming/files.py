@@ -1,8 +1,8 @@
 """Closed log files as a stream.
 
 The file source hands over each path once and whole, so all lines of a file arrive in one micro-batch
-and the batch operators apply to it unchanged; no state has to live between batches. A file that still
-grows is the business of the store's refresh instead.
+and the batch operators apply to it unchanged; no state has to live between batches. Lines that come piece by piece,
+from a queue or as landed parts of a growing file, go through `streaming.state` instead.
 """
 
 from __future__ import annotations
@@ -14,16 +14,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sessionmeter.plans.store import DIALECTS, Store
-from sessionmeter.sources.lines import LINE_BITS, START_STEP_BITS
+from sessionmeter.sources.lines import LAYOUTS, LINE_BITS, START_STEP_BITS, is_codex_log
 
 # Default and limits of the refresh interval in seconds; 0 turns it off.
 REFRESH_DEFAULT, REFRESH_MIN, REFRESH_MAX = 30, 5, 3_600
 
 
-def line_stream(spark: SparkSession, glob: str, files_per_trigger: int) -> DataFrame:
-    return (
-        spark.readStream.option("maxFilesPerTrigger", str(files_per_trigger))
-        .text(glob)
+def line_stream(spark: SparkSession, agent: str, root: str, files_per_trigger: int) -> DataFrame:
+    """The lines of one agent's logs, by the same rules of place, depth and name as in batch."""
+    below, options = LAYOUTS[agent]
+    lines = (
+        spark.readStream.options(**options).option("maxFilesPerTrigger", str(files_per_trigger))
+        .text(root + below)
         .select(
             F.col("_metadata.file_path").alias("path"),
             F.unix_seconds(F.col("_metadata.file_modification_time")).alias("file_mtime"),
@@ -32,6 +34,7 @@ def line_stream(spark: SparkSession, glob: str, files_per_trigger: int) -> DataF
             "value",
         )
     )
+    return lines.where(is_codex_log(root)) if agent == "codex" else lines
 
 
 def _ordered(batch: DataFrame) -> DataFrame:
@@ -58,10 +61,10 @@ def run_batches(
 
 
 def stream_token_events(
-    spark: SparkSession, agent: str, glob: str, sink: str, checkpoint: str, files_per_trigger: int = 10_000
+    spark: SparkSession, agent: str, root: str, sink: str, checkpoint: str, files_per_trigger: int = 10_000
 ) -> StreamingQuery:
     dialect = DIALECTS[agent]
-    stream = line_stream(spark, glob, files_per_trigger)
+    stream = line_stream(spark, agent, root, files_per_trigger)
     return run_batches(stream, lambda lines: dialect.token_events(_ordered(lines)), sink, checkpoint)
 
 

@@ -1,7 +1,9 @@
-"""Windowed sums and session groups over streams.
+"""Windowed sums and session groups over streams, as their sinks keep them.
 
-Logs arrive late by nature, so nothing here waits for a watermark or drops a row: sums are kept per micro-batch
-and added up, and the groups of a directory are made anew when sessions of it arrive.
+Logs arrive late by nature. The state of a windowed sum is a row per agent and bucket, whatever the number of events:
+ten years of five-minute buckets of four agents are four million rows. So no watermark is set, no bucket is ever
+closed, and a row of any age corrects its bucket. A sink takes what a micro-batch has changed; a repeated
+micro-batch overwrites itself.
 """
 
 from __future__ import annotations
@@ -11,51 +13,43 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sessionmeter.functions.pricing import PriceBook, with_cost
-from sessionmeter.operators.grouping import DEFAULT_GAP, group_sessions
+from sessionmeter.operators.grouping import DEFAULT_GAP
 from sessionmeter.operators.usage import is_llm_call
+from sessionmeter.streaming import state
+from sessionmeter.streaming.files import run_batches
 
 
 def bucket_sums(token_events: DataFrame, book: PriceBook, width: int) -> DataFrame:
-    """(bucket_ts, agent, event_cost, calls) of one micro-batch by tumbling window; events priced by their own model."""
-    priced = with_cost(token_events.where(~F.col("is_user_turn") & (F.col("ts") > 0)), book, F.col("model"), "cost")
-    bucket = F.col("ts") - F.pmod(F.col("ts"), F.lit(width))
-    return (
-        priced.withColumn("is_call", is_llm_call())
-        .groupBy(bucket.alias("bucket_ts"), "agent")
-        .agg(F.sum("cost").alias("event_cost"), F.count_if("is_call").alias("calls"))
+    """(bucket_ts, agent, event_cost, calls) by tumbling event-time window; events priced by their own model.
+
+    Sums are made inside each task before the shuffle, as in the batch form.
+    """
+    counted = token_events.where(~F.col("is_user_turn") & (F.col("ts") > 0))
+    priced = with_cost(counted, book, F.col("model"), "cost").withColumn("is_call", is_llm_call())
+    sums = priced.groupBy(F.window(F.timestamp_seconds("ts"), f"{width} seconds").alias("w"), "agent").agg(
+        F.sum("cost").alias("event_cost"), F.count_if("is_call").alias("calls")
     )
+    return sums.select(F.unix_seconds("w.start").alias("bucket_ts"), "agent", "event_cost", "calls")
 
 
-def total_buckets(written: DataFrame) -> DataFrame:
-    """The sums of all micro-batches so far; a repeated batch has overwritten itself."""
-    return written.groupBy("bucket_ts", "agent").agg(F.sum("event_cost").alias("event_cost"), F.sum("calls").alias("calls"))
+def stream_buckets(token_events: DataFrame, book: PriceBook, width: int, sink: str, checkpoint: str) -> StreamingQuery:
+    """Write the buckets each micro-batch has changed."""
+    return run_batches(bucket_sums(token_events, book, width), lambda rows: rows, sink, checkpoint, "update")
 
 
-def stream_groups(sessions: DataFrame, sink: str, checkpoint: str, gap: int = DEFAULT_GAP) -> StreamingQuery:
-    """Keep the sessions seen so far below `sink`, and the groups of each directory that a micro-batch touches."""
-    spark = sessions.sparkSession
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in sessions.schema)}, stream_batch int"
+def current_buckets(written: DataFrame) -> DataFrame:
+    """Every bucket as the latest micro-batch that touched it left it."""
+    return written.groupBy("bucket_ts", "agent").agg(
+        F.max_by("event_cost", "stream_batch").alias("event_cost"), F.max_by("calls", "stream_batch").alias("calls")
+    )
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/sessions/stream_batch={batch_id}")
-        seen = spark.read.schema(schema).parquet(f"{sink}/sessions").where(F.col("stream_batch") <= batch_id)
-        touched = _keyed(seen.where(F.col("stream_batch") == batch_id)).select("agent", "dir").distinct()
-        again = _keyed(seen).drop("stream_batch").join(touched, ["agent", "dir"], "left_semi").drop("dir")
-        found = (
-            _keyed(group_sessions(again, gap)).groupBy("agent", "dir", "group_id")
-            .agg(F.count(F.lit(1)).alias("n_sessions"), F.max("last_active_ts").alias("latest_active_ts"), F.min("started_at_ts").alias("first_started_ts"))
-        )
-        found.write.mode("overwrite").parquet(f"{sink}/groups/stream_batch={batch_id}")
 
-    return sessions.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+def stream_groups(sessions: DataFrame, sink: str, checkpoint: str, gap: int = DEFAULT_GAP) -> StreamingQuery:
+    """Write the groups of each directory that a micro-batch has sessions of."""
+    return run_batches(state.session_groups(sessions, gap), lambda rows: rows, sink, checkpoint, "update")
 
 
-def current_groups(spark, sink: str) -> DataFrame:
+def current_groups(written: DataFrame) -> DataFrame:
     """The groups of every directory as its latest micro-batch left them, open ones included."""
-    written = spark.read.parquet(f"{sink}/groups")
     newest = written.groupBy("agent", "dir").agg(F.max("stream_batch").alias("stream_batch"))
     return written.join(newest, ["agent", "dir", "stream_batch"]).withColumnRenamed("dir", "cwd").drop("stream_batch")
-
-
-def _keyed(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("dir", F.coalesce("cwd", F.lit("")))

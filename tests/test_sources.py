@@ -19,7 +19,6 @@ from sessionmeter.plans.store import Store
 from sessionmeter.sources import lines as L
 from sessionmeter.sources.stored import home_files
 from sessionmeter.streaming import files as stream_files
-from sessionmeter.streaming import windows
 
 from test_rules import hermes_tables
 
@@ -198,19 +197,6 @@ def test_refresh_reads_changed_totals_subagents_and_compressed_logs(spark, tmp_p
     assert spent == [("hermes:north-17", False, 70), ("hermes:north-17", True, 0)]
 
 
-def test_streamed_groups_keep_late_and_open_sessions(spark, tmp_path):
-    day = 86_400
-    rows = [("claude", f"s{d}", f"/p/s{d}", "/w/a", d * day, d * day + 10) for d in (100, 90, 200, 101, 201)]
-    schema = "agent string, session_id string, path string, cwd string, started_at_ts bigint, last_active_ts bigint"
-    for i, r in enumerate(rows):
-        spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        time.sleep(0.01)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(f"{tmp_path}/in")
-    windows.stream_groups(stream, f"{tmp_path}/sink", f"{tmp_path}/cp").awaitTermination()
-    got = sorted((r.first_started_ts // day, r.n_sessions) for r in windows.current_groups(spark, f"{tmp_path}/sink").collect())
-    assert got == [(90, 1), (100, 2), (200, 2)]
-
-
 def test_dashboard_from_files(spark, tmp_path, store):
     put(f"{tmp_path}/claude/-w-a/s1.jsonl", [user("one"), answer("m", 1_000_000)])
     store.refresh({"claude": f"{tmp_path}/claude"})
@@ -225,20 +211,6 @@ def test_dashboard_from_files(spark, tmp_path, store):
     assert sum(x.event_cost for x in parts["by_time"].collect()) == pytest.approx(25.000005)
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    root = f"{tmp_path}/claude"
-    for i in range(7):
-        put(f"{root}/-w-{i % 2}/s{i}.jsonl", [user("a"), answer("m", 1), answer("m", 2 + i), user("b")])
-    sink = f"{tmp_path}/sink"
-    query = stream_files.stream_token_events(spark, "claude", f"{root}/*/*.jsonl", sink, f"{tmp_path}/cp", files_per_trigger=3)
-    query.awaitTermination()
-    columns = ["session_id", "ts", "is_user_turn", "model", "input_tokens", "output_tokens"]
-    streamed = spark.read.parquet(sink)
-    assert streamed.select("stream_batch").distinct().count() == 3
-    want = claude.token_events(L.claude_lines(spark, root)).select(*columns)
-    assert sorted(streamed.select(*columns).collect()) == sorted(want.collect())
-
-
 def test_refresh_interval():
     assert [stream_files.interval(n) for n in (0, 1, 30, 99_999)] == [0, 5, 30, 3_600]
 
