@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sessionmeter.operators import inventory
 from sessionmeter.operators.inventory import NEWEST_LOGS
-from sessionmeter.sources.files import Layout, existing, find_files, first_texts
+from sessionmeter.sources.files import Layout, existing, find_files, first_texts, with_text
 
 # Places below a home. Hidden parts below a skill root are left out.
 _SKILLS = r"\.(?:claude|codex|qwen)/skills"
@@ -47,7 +47,7 @@ def opened_cwds(tree: DataFrame) -> DataFrame:
 
 
 def _in_projects(cwds: DataFrame, homes: str, origin: str) -> DataFrame:
-    """The files of project directories as rows of `home_files`; a cwd outside its home names no file of the tree."""
+    """The files of project directories by the names they must have; a cwd outside its home names no file of the tree."""
     base = F.concat(F.lit(origin.rstrip("/") + "/"), "home")
     inside = cwds.where(F.startswith(F.concat(F.regexp_replace("cwd", "/+$", ""), F.lit("/")), F.concat(base, F.lit("/"))))
     below = F.ltrim(F.substr(F.regexp_replace("cwd", "/+$", ""), F.length(base) + 1), F.lit("/"))
@@ -61,7 +61,7 @@ def _in_projects(cwds: DataFrame, homes: str, origin: str) -> DataFrame:
 
 
 def memory_view(spark: SparkSession, homes: str, origin: str | None = None) -> dict[str, DataFrame]:
-    """`global`, `memory`, `projects`, `listing`, `skill_files` of the homes below `homes`.
+    """`global`, `memory`, `projects`, `listing`, `skills`, `skill_files` of the homes below `homes`.
 
     `origin` is the folder the homes lay in when the logs were written, if they were copied from there.
     """
@@ -69,9 +69,11 @@ def memory_view(spark: SparkSession, homes: str, origin: str | None = None) -> d
     tree = home_tree(spark, homes)
     cwds = opened_cwds(tree).where("cwd is not null").drop("opened")
     home_dir = F.concat(F.lit(origin.rstrip("/") + "/"), "home")
-    files = tree.where(~F.col("path").rlike(_LOG)).drop("uri")
+    # of all these files only the two that describe a skill are read
+    tells = F.col("path").rlike(r"/skills/[^/]+/(SKILL|AGENTS)\.md$")
+    files = with_text(tree.where(~F.col("path").rlike(_LOG)), tells).drop("uri")
     # a project file may also be one of the tree: the home directory's own
-    files = files.unionByName(_in_projects(cwds, homes, origin)).dropDuplicates(["home", "path"]).withColumn("home_dir", home_dir)
+    files = files.unionByName(_in_projects(cwds, homes, origin), allowMissingColumns=True).dropDuplicates(["home", "path"]).withColumn("home_dir", home_dir)
     everywhere = inventory.global_memory(files)
     memory = inventory.project_memory(files, cwds).unionByName(inventory.shared_memory(files))
     return {
@@ -79,5 +81,6 @@ def memory_view(spark: SparkSession, homes: str, origin: str | None = None) -> d
         "memory": memory,
         "projects": inventory.memory_projects(memory),
         "listing": inventory.memory_listing(everywhere, memory),
-        "skill_files": inventory.skill_files(files.withColumn("text", F.lit(None).cast("string"))).drop("text"),
+        "skills": inventory.skills(files),
+        "skill_files": inventory.skill_files(files).drop("text"),
     }

@@ -1,30 +1,56 @@
 """Canonical tables on disk, refreshed file by file.
 
-Every refresh writes one new batch folder per table and, last of all, the manifest of that batch; only
-then do its rows count. A refresh that dies before leaves a folder that the next one overwrites. Rows of
-files that were read again later, or are gone, are named in a small `replaced` table; `compact` writes all
-current rows as one batch and starts that table anew.
+Each table is plain Parquet, partitioned by agent and part. A file belongs to one part for good: the month in which it
+was first seen, and a bucket of its path. A refresh writes the parts of new, changed and gone files again, by Spark's
+dynamic partition overwrite, and leaves all others alone; logs grow for days, so these are parts of the last
+months. The manifest comes last: a refresh that dies before is done again by the next one, since its files still
+count as changed.
+
+One refresh works at a time. A lock file keeps a second one waiting; one older than `STALE_SECONDS` is left over.
 """
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionmeter.operators import claude, codex, hermes, qwen
 from sessionmeter.plans.manifest import READER_VERSION, changed_files, gone_files
-from sessionmeter.schema import SESSION_COLUMNS, TOKEN_COLUMNS, TRANSCRIPT_COLUMNS
-from sessionmeter.session import exists, work_folder
-from sessionmeter.sources.lines import READERS, claude_all_lines, list_files
+from sessionmeter.schema import SESSION_COLUMNS, TOKEN_COLUMNS, TRANSCRIPT_COLUMNS, USAGE
+from sessionmeter.session import create_new, exists, modified_seconds, remove, work_folder
+from sessionmeter.sources.lines import list_files, read_files
 
 DIALECTS = {"claude": claude, "codex": codex, "qwen": qwen}
 COLUMNS = {
     "sessions": SESSION_COLUMNS, "token_events": TOKEN_COLUMNS, "transcript_events": TRANSCRIPT_COLUMNS,
 }
-MANIFEST = "batch int, agent string, path string, file_mtime bigint, file_size bigint, version int, gone boolean"
+_TYPES = dict.fromkeys(["ord", "ts", "turns", "last_active_ts", "started_at_ts", "event_index", *USAGE], "bigint") | {
+    "is_scripted": "boolean", "is_user_turn": "boolean",
+}
+MANIFEST = "path string, file_mtime bigint, file_size bigint, version int, agent string, part string"
+BUCKETS = 16
+# files whose names the driver holds at a time while their lines are read
+FILES_AT_A_TIME = 20_000
+STALE_SECONDS = 86_400
+
+
+def _schema(table: str) -> str:
+    if table == "manifest":
+        return MANIFEST
+    types = _TYPES | ({"ts": "string"} if table == "transcript_events" else {})
+    fields = [f"{c} {types.get(c, 'string')}" for c in COLUMNS[table] if c != "agent"]
+    return ", ".join([*fields, "agent string", "part string"])
+
+
+def parent_path(path: Column) -> Column:
+    """The log of the session that a subagent's log belongs to; NULL for any other log."""
+    found = F.regexp_extract(path, r"^(.*)/subagents/[^/]+$", 1)
+    return F.when(found != "", F.concat(found, F.lit(".jsonl")))
 
 
 class Store:
@@ -34,141 +60,123 @@ class Store:
         self.root = root.rstrip("/")
         self.wide = wide
 
-    def _manifest(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest")
-        except AnalysisException as err:
-            if err.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], MANIFEST)
-
-    def last_batch(self) -> int:
-        return self._manifest().agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0]
+    def _table(self, table: str) -> DataFrame:
+        path = f"{self.root}/{table}"
+        if not exists(self.spark, path):
+            return self.spark.createDataFrame([], _schema(table))
+        # a part in which no row is left holds one row without a path
+        return self.spark.read.schema(_schema(table)).parquet(path).where("path is not null")
 
     def manifest(self) -> DataFrame:
-        """The latest state of every file."""
-        facts = ["batch", "agent", "file_mtime", "file_size", "version", "gone"]
-        latest = self._manifest().groupBy("path").agg(F.max_by(F.struct(*facts), "batch").alias("f"))
-        return latest.select("path", "f.*").where(~F.col("gone")).drop("gone")
+        """The files the tables are made of."""
+        return self._table("manifest")
 
-    def read(self, table: str, since: int = 0) -> DataFrame:
+    def read(self, table: str, since: int = 0, subagents: bool = False) -> DataFrame:
         """Current rows of `sessions`, `token_events` or `transcript_events`.
 
-        `since` (epoch s) keeps token events from that day on, so older folders are not read.
+        `since` (epoch s) keeps token events from that time on; they are sorted by time, so that older row groups are not
+        read. Rows of subagents are left out unless asked for; they come with `parent_path`, the log of their session.
         """
-        return self._current(table, since).select(*COLUMNS[table])
-
-    def _current(self, table: str, since: int = 0) -> DataFrame:
-        last = self.last_batch()
-        rows = self.spark.read.parquet(f"{self.root}/{table}").where(F.col("batch").between(self._base(last), last))
-        if since and "event_date" in rows.columns:
-            rows = rows.where(F.col("event_date") >= F.to_date(F.timestamp_seconds(F.lit(since))))
-        # `replaced` is a written table, so its size is known and decides how the join is done
-        replaced = self.spark.read.schema("path string, batch int").parquet(f"{self.root}/replaced/state={last}")
-        return rows.join(replaced, ["path", "batch"], "left_anti")
-
-    def _base(self, last: int) -> int:
-        """The newest compacted batch: it holds all that was current, so older ones are not read."""
-        marks = f"{self.root}/compacted"
-        if not exists(self.spark, marks):
-            return 0
-        found = self.spark.read.schema("batch int").parquet(marks).where(F.col("batch") <= last).agg(F.max("batch")).first()[0]
-        return found or 0
-
-    def refresh(self, roots: dict[str, str], hermes_tables: tuple[DataFrame, DataFrame] | None = None) -> int:
+        rows = self._table(table).select(*COLUMNS[table])
+        if since and table == "token_events":
+            rows = rows.where(F.col("ts") >= since)
+        parent = parent_path(F.col("path"))
+        return rows.withColumn("parent_path", parent) if subagents else rows.where(parent.isNull())
+
+    def refresh(
+        self, roots: dict[str, str], hermes_tables: tuple[DataFrame, DataFrame] | None = None, since: str | None = None
+    ) -> int:
         """Read new and changed files; returns how many. Unchanged files are not opened again.
 
         What is read is what one listing found: a file that appears or grows meanwhile is left to the next refresh.
+        `since` (a day) lists only dated folders from that day on; files of older ones stay as they are.
         """
-        with work_folder(self.spark, "refresh") as work:
-            return self._refresh(work, roots, hermes_tables)
+        with self._locked(), work_folder(self.spark, "refresh") as work:
+            return self._refresh(work, roots, hermes_tables, since)
+
+    @contextmanager
+    def _locked(self, wait_seconds: int = 3_600) -> Iterator[None]:
+        lock = f"{self.root}/lock"
+        last = time.time() + wait_seconds
+        while not create_new(self.spark, lock):
+            if time.time() - modified_seconds(self.spark, lock) > STALE_SECONDS:
+                remove(self.spark, lock)
+            elif time.time() > last:
+                raise TimeoutError(f"another refresh holds {lock}")
+            else:
+                time.sleep(1)
+        try:
+            yield
+        finally:
+            remove(self.spark, lock)
 
-    def _refresh(self, work: str, roots: dict[str, str], hermes_tables: tuple[DataFrame, DataFrame] | None) -> int:
-        listed = [list_files(self.spark, a, r, self.wide).withColumn("agent", F.lit(a)) for a, r in roots.items()]
+    def _refresh(self, work: str, roots: dict[str, str], hermes_tables: tuple[DataFrame, DataFrame] | None, since: str | None) -> int:
+        listed = [list_files(self.spark, a, r, self.wide, since).withColumn("agent", F.lit(a)) for a, r in roots.items()]
         if hermes_tables is not None:
             listed.append(_stored_sessions(hermes_tables[0]))
-        everything = self._kept(f"{work}/listed", reduce(DataFrame.unionByName, listed))
+        everything = reduce(DataFrame.unionByName, listed)
         agents = [*roots, *([hermes.AGENT] if hermes_tables is not None else [])]
-        known = self.manifest().where(F.col("agent").isin(agents))
-        todo = self._kept(f"{work}/todo", changed_files(everything, known))
-        gone = self._kept(f"{work}/gone", gone_files(everything, known))
-        n, oldest = todo.agg(F.count(F.lit(1)), F.min("file_mtime")).first()
-        if n == 0 and gone.isEmpty():
+        known = self._kept(f"{work}/known", self.manifest().where(F.col("agent").isin(agents)))
+        new = changed_files(everything, known).join(known.select("path", "part"), "path", "left")
+        todo = self._kept(f"{work}/todo", new.withColumn("part", F.coalesce("part", _new_part())))
+        gone = known.limit(0) if since else gone_files(everything, known)
+        gone = self._kept(f"{work}/gone", gone)
+        drop = self._kept(f"{work}/drop", todo.select("path", "agent", "part").unionByName(gone.select("path", "agent", "part")))
+        # agents times months times buckets at most
+        parts = [tuple(r) for r in drop.select("agent", "part").distinct().collect()]
+        if not parts:
             return 0
-        batch = self.last_batch() + 1
-        if n:
-            for agent, root in roots.items():
-                self._write_agent(f"{work}/{agent}", batch, agent, root, todo, oldest)
-            if hermes_tables is not None:
-                self._write_hermes(batch, hermes_tables, todo)
-        self._write_manifest(f"{work}/manifest", batch, todo, gone)
-        return n
+        tables = {table: [] for table in COLUMNS}
+        for agent, root in roots.items():
+            paths = todo.where(F.col("agent") == agent)
+            lines = read_files(self.spark, paths.select("path"), f"{work}/{agent}", FILES_AT_A_TIME)
+            for table, make in (("sessions", "sessions"), ("token_events", "token_events"), ("transcript_events", "transcript")):
+                tables[table].append(getattr(DIALECTS[agent], make)(lines))
+        if hermes_tables is not None:
+            for table, rows in self._hermes(hermes_tables, todo).items():
+                tables[table].append(rows)
+        for table, made in tables.items():
+            fresh = reduce(DataFrame.unionByName, made).join(todo.select("path", "part"), "path")
+            self._rewrite(table, fresh, drop, parts)
+        self._rewrite("manifest", todo.withColumn("version", F.lit(READER_VERSION)), drop, parts)
+        return todo.count()
 
     def _kept(self, path: str, rows: DataFrame) -> DataFrame:
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
-    def compact(self) -> int | None:
-        """Write all current rows as one batch, which becomes the oldest one read; returns its number."""
-        last = self.last_batch()
-        if last < 0:
-            return None
-        batch = last + 1
-        for table in COLUMNS:
-            rows = self._current(table).drop("batch")
-            parts = ["agent", *(["event_date"] if "event_date" in rows.columns else [])]
-            rows.write.mode("overwrite").partitionBy(*parts).parquet(f"{self.root}/{table}/batch={batch}")
-        none = self.spark.createDataFrame([], "path string, batch int")
-        none.write.mode("overwrite").parquet(f"{self.root}/replaced/state={batch}")
-        current = self.manifest().drop("batch").withColumn("gone", F.lit(False))
-        with work_folder(self.spark, "compact") as work:
-            current = self._kept(f"{work}/manifest", current)
-            mark = self.spark.createDataFrame([(batch,)], "batch int")
-            mark.write.mode("overwrite").parquet(f"{self.root}/compacted/at={batch}")
-            current.write.mode("overwrite").parquet(f"{self.root}/manifest/batch={batch}")
-        return batch
-
-    def _write(self, batch: int, agent: str, table: str, rows: DataFrame, *parts: str) -> None:
-        writer = rows.drop("agent").write.mode("overwrite")
-        writer = writer.partitionBy(*parts) if parts else writer
-        writer.parquet(f"{self.root}/{table}/batch={batch}/agent={agent}")
-
-    def _write_agent(self, work: str, batch: int, agent: str, root: str, todo: DataFrame, since: int) -> None:
-        reader = claude_all_lines if agent == "claude" and self.wide else READERS[agent]
-        listed = todo.where(F.col("agent") == agent).select("path")
-        # written once, so that all tables of the batch are made of the same lines
-        lines = self._kept(work, reader(self.spark, root, since=since).join(listed, "path", "left_semi"))
-        dialect = DIALECTS[agent]
-        self._write(batch, agent, "sessions", dialect.sessions(lines))
-        self._write_events(batch, agent, dialect.token_events(lines))
-        self._write(batch, agent, "transcript_events", dialect.transcript(lines))
-
-    def _write_hermes(self, batch: int, tables: tuple[DataFrame, DataFrame], todo: DataFrame) -> None:
+    def _rewrite(self, table: str, fresh: DataFrame, drop: DataFrame, parts: list[tuple[str, str]]) -> None:
+        """Write `parts` again: their rows but for those of the files in `drop`, and the fresh ones."""
+        by_agent: dict[str, list[str]] = {}
+        for agent, part in parts:
+            by_agent.setdefault(agent, []).append(part)
+        # literals, so that other parts are not even listed by the scan
+        here = reduce(Column.__or__, [(F.col("agent") == a) & F.col("part").isin(p) for a, p in by_agent.items()])
+        before = self._table(table)
+        kept = before.where(here).join(drop.select("path"), "path", "left_anti").select(*before.columns)
+        touched = self.spark.createDataFrame(parts, "agent string, part string")
+        marks = touched.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in before.schema[:-2]], "agent", "part")
+        rows = kept.unionByName(fresh.select(*before.columns)).unionByName(marks)
+        order = ["agent", "part", "ts"] if table == "token_events" else ["agent", "part"]
+        # a task per part, and several for one that is large
+        spread = rows.hint("rebalance", "agent", "part").sortWithinPartitions(*order)
+        spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("agent", "part").parquet(f"{self.root}/{table}")
+
+    def _hermes(self, tables: tuple[DataFrame, DataFrame], todo: DataFrame) -> dict[str, DataFrame]:
         ids = todo.where(F.col("agent") == hermes.AGENT).select(
             F.regexp_extract("path", r"session_(.*)\.json$", 1).alias("id")
         )
         stored = tables[0].join(ids, "id", "left_semi")
         messages = tables[1].join(ids.withColumnRenamed("id", "session_id"), "session_id", "left_semi")
-        self._write(batch, hermes.AGENT, "sessions", hermes.sessions(stored, messages))
-        self._write_events(batch, hermes.AGENT, hermes.token_events(stored, messages))
-        self._write(batch, hermes.AGENT, "transcript_events", hermes.transcript(messages))
-
-    def _write_events(self, batch: int, agent: str, events: DataFrame) -> None:
-        dated = events.withColumn("event_date", F.to_date(F.timestamp_seconds("ts")))
-        self._write(batch, agent, "token_events", dated, "event_date")
-
-    def _write_manifest(self, work: str, batch: int, todo: DataFrame, gone: DataFrame) -> None:
-        facts = ["agent", "path", "file_mtime", "file_size", "version", "gone"]
-        fresh = todo.withColumn("version", F.lit(READER_VERSION)).withColumn("gone", F.lit(False)).select(*facts)
-        lost = gone.withColumn("gone", F.lit(True)).select(*facts)
-        rows = self._kept(work, fresh.unionByName(lost))
-        base = self._base(batch - 1)
-        history = self._manifest().where(F.col("batch") >= base).select("path", "batch").join(rows.select("path"), "path", "left_semi")
-        before = self.spark.createDataFrame([], "path string, batch int")
-        if batch > 0:
-            before = self.spark.read.parquet(f"{self.root}/replaced/state={batch - 1}").where(F.col("batch") >= base)
-        before.unionByName(history).distinct().write.mode("overwrite").parquet(f"{self.root}/replaced/state={batch}")
-        rows.write.mode("overwrite").parquet(f"{self.root}/manifest/batch={batch}")
+        return {
+            "sessions": hermes.sessions(stored, messages), "token_events": hermes.token_events(stored, messages),
+            "transcript_events": hermes.transcript(messages),
+        }
+
+
+def _new_part() -> Column:
+    month = F.date_format(F.timestamp_seconds("file_mtime"), "yyyy-MM")
+    return F.concat(month, F.lit("."), F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).cast("string"))
 
 
 def _stored_sessions(sessions: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -88,9 +89,30 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(target)
 
 
-def is_folder(spark: SparkSession, path: str) -> bool:
+def create_new(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; false if there is one already."""
+    from pyspark.errors import PySparkException
+
+    files, target = _file_system(spark, path)
+    try:
+        if files.exists(target):
+            return False
+        files.create(target, False).close()
+        return True
+    except PySparkException:
+        raise
+    except Exception as err:  # the file came into being meanwhile
+        if not files.exists(target):
+            raise err
+        return False
+
+
+def modified_seconds(spark: SparkSession, path: str) -> float:
+    """When a file was last written; now, if it is gone."""
     files, target = _file_system(spark, path)
-    return files.exists(target) and files.getFileStatus(target).isDirectory()
+    if not files.exists(target):
+        return time.time()
+    return files.getFileStatus(target).getModificationTime() / 1000
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionmeter.session import work_folder
@@ -160,6 +160,26 @@ def existing(paths: DataFrame) -> DataFrame:
     return paths.select("path", *columns).mapInPandas(work, _reordered(fields, paths, "path") + ", size bigint, mtime bigint")
 
 
+def with_text(files: DataFrame, wanted: Column) -> DataFrame:
+    """Add `text`, the content of the file at `uri` where `wanted`, else NULL."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        places = _Places()
+
+        def content(uri: str) -> str:
+            place = places.of(uri)
+            with place.files.open_input_stream(place.path(uri)) as f:
+                return f.read().decode("utf-8", "replace")
+
+        for part in batches:
+            part["text"] = pd.Series([content(u) for u in part["uri"]], dtype=object, index=part.index)
+            yield part
+
+    read = files.where(wanted).mapInPandas(work, f"{fields}, text string")
+    return read.unionByName(files.where(~wanted).withColumn("text", F.lit(None).cast("string")))
+
+
 def _reordered(fields: str, df: DataFrame, first: str) -> str:
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     return ", ".join(f"`{c}` {types[c]}" for c in [first, *[c for c in df.columns if c != first]])

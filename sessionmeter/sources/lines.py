@@ -8,11 +8,13 @@ before any shuffle, and the same again when a lost task is read anew. Splits mus
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionmeter.session import exists
+from sessionmeter.sources.files import Layout, find_files, unquoted
 
 LINE_SCHEMA = "path string, file_mtime bigint, file_size bigint, ord bigint, value string"
 LINE_BITS = 33
@@ -35,6 +37,10 @@ def _read(spark: SparkSession, paths: list[str], since: int | None, **options: s
         return spark.createDataFrame([], LINE_SCHEMA)
     if since is not None:
         raw = raw.where(F.col("_metadata.file_modification_time") >= F.timestamp_seconds(F.lit(since)))
+    return _ordered_lines(raw)
+
+
+def _ordered_lines(raw: DataFrame) -> DataFrame:
     return raw.select(
         F.col("_metadata.file_path").alias("path"),
         F.unix_seconds(F.col("_metadata.file_modification_time")).alias("file_mtime"),
@@ -50,12 +56,6 @@ def claude_lines(spark: SparkSession, root: str, compressed: bool = False, since
     return _read(spark, [f"{root}/*/{names}"], since)
 
 
-def claude_all_lines(spark: SparkSession, root: str, since: int | None = None) -> DataFrame:
-    """Sessions and their subagents, plain or compressed."""
-    subagents = _read(spark, [f"{root}/*/*/subagents/{{agent-*.jsonl,agent-*.jsonl.gz}}"], since)
-    return claude_lines(spark, root, True, since).unionByName(subagents)
-
-
 def claude_subagent_lines(spark: SparkSession, root: str, compressed: bool = False) -> DataFrame:
     """`<root>/<project>/<parent>/subagents/agent-*.jsonl`, with the parent session."""
     names = "{agent-*.jsonl,agent-*.jsonl.gz}" if compressed else "agent-*.jsonl"
@@ -102,51 +102,50 @@ def session_id(agent: str, path: Column) -> Column:
     return F.concat(F.lit(f"{agent}:"), stem(path))
 
 
-READERS = {"claude": claude_lines, "codex": codex_lines, "qwen": qwen_lines}
-
-
 FILE_SCHEMA = "path string, file_mtime bigint, file_size bigint"
 
+# Which files below a root are logs, as paths from there. Names with a dot or underscore in front are hidden.
+_LOG = r"[^/._][^/]*\.jsonl"
+_SUBAGENT = r"[^/]+/[^/]+/subagents/agent-[^/]*\.jsonl"
+PLACES = {
+    "claude": Layout(files=f"[^/]+/{_LOG}", folders="[^/]+"),
+    "claude wide": Layout(
+        files=rf"(?:[^/]+/{_LOG}|{_SUBAGENT})(?:\.gz)?", folders="[^/]+|[^/]+/[^/]+|[^/]+/[^/]+/subagents",
+    ),
+    "codex": Layout(files=r"(?:[^/]+/){0,4}rollout-[^/]{20,}\.jsonl", folders=r"[^/]+(?:/[^/]+){0,3}"),
+    "qwen": Layout(files=f"[^/]+/chats/{_LOG}", folders="[^/]+|[^/]+/chats"),
+}
+
 
-def list_files(spark: SparkSession, agent: str, root: str, wide: bool = False) -> DataFrame:
-    """path, file_mtime, file_size of every log of one agent, without reading any content.
+def list_files(spark: SparkSession, agent: str, root: str, wide: bool = False, since: str | None = None) -> DataFrame:
+    """path, file_mtime, file_size of every log of one agent, listed by tasks, without reading any content.
 
-    `wide` adds compressed logs and subagents of the claude dialect. A root that does not exist is an error: taken
-    for an empty one, it would make every known file look gone.
+    `wide` adds compressed logs and subagents of the claude dialect; `since` (a day) leaves out dated folders before it. A
+    root that does not exist is an error: taken for an empty one, it would make every known file look gone.
     """
-    if not exists(spark, root):
-        raise FileNotFoundError(f"no folder of {agent} logs: {root}")
-    if agent == "claude" and wide:
-        names = [f"{root}/*/{{*.jsonl,*.jsonl.gz}}", f"{root}/*/*/subagents/{{agent-*.jsonl,agent-*.jsonl.gz}}"]
-        return _listed(spark, agent, root, names[0]).unionByName(_listed(spark, agent, root, names[1]))
-    glob = {"claude": f"{root}/*/*.jsonl", "qwen": f"{root}/*/chats/*.jsonl"}.get(agent, root)
-    return _listed(spark, agent, root, glob)
+    layout = PLACES["claude wide" if agent == "claude" and wide else agent]
+    found = find_files(spark, root, layout, since)
+    return found.where(F.col("size") > 0).select("path", F.col("mtime").alias("file_mtime"), F.col("size").alias("file_size"))
 
 
-def _listed(spark: SparkSession, agent: str, root: str, glob: str) -> DataFrame:
-    options = CODEX_OPTIONS if agent == "codex" else {}
-    try:
-        found = spark.read.format("binaryFile").options(**options).load(glob)
-    except AnalysisException as err:
-        if err.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], FILE_SCHEMA)
-    files = found.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.unix_seconds("modificationTime").alias("file_mtime"),
-        F.col("length").alias("file_size"),
-    )
-    return files.where(is_codex_log(root)) if agent == "codex" else files
-
-
-def existing_globs(spark: SparkSession, globs: list[str]) -> list[str]:
-    """The globs that match something; the reader refuses a list with one that matches nothing."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    found = []
-    for glob in globs:
-        path = jvm.org.apache.hadoop.fs.Path(glob)
-        status = path.getFileSystem(conf).globStatus(path)
-        if status is not None and len(status) > 0:
-            found.append(glob)
-    return found
+def read_files(spark: SparkSession, paths: DataFrame, work: str, at_a_time: int) -> DataFrame:
+    """The ordered lines of the named files, written below `work`.
+
+    Spark's reader takes the names from the driver, so they come in bounded portions, one job each. A file that is gone
+    by then is an error.
+    """
+    portion: list[str] = []
+    spark.createDataFrame([], LINE_SCHEMA).write.mode("overwrite").parquet(work)
+
+    def read() -> None:
+        if portion:
+            _ordered_lines(spark.read.text(portion)).write.mode("append").parquet(work)
+            portion.clear()
+
+    for r in paths.select("path").toLocalIterator():
+        # the reader takes these for patterns
+        portion.append(re.sub(r"([*?\[\]{}\\])", r"\\\1", unquoted(r.path)))
+        if len(portion) == at_a_time:
+            read()
+    read()
+    return spark.read.schema(LINE_SCHEMA).parquet(work)

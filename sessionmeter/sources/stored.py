@@ -1,9 +1,8 @@
-"""The other inputs: the two stored tables of one agent, and file trees."""
+"""The two stored tables of one agent."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 SESSIONS = (
     "id string, model string, started_at double, ended_at double, message_count bigint, input_tokens bigint, "
@@ -30,40 +29,3 @@ def hermes_jdbc(spark: SparkSession, url: str, **options: str) -> tuple[DataFram
         return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
 
     return read("sessions"), read("messages")
-
-
-# The files looked at below a home directory.
-HOME_GLOBS = [
-    ".claude/CLAUDE.md", ".claude/projects/*/memory/*.md", ".codex/AGENTS.md", ".codex/rules/default.rules",
-    ".qwen/settings.json", ".qwen/output-language.md", ".{claude,codex,qwen}/skills",
-]
-
-
-def home_files(spark: SparkSession, homes: str, project_globs: tuple[str, ...] = ()) -> DataFrame:
-    """home, home_dir, path, size, mtime, text of memory and skill files below `<homes>/<user>/`.
-
-    Only the text of the two files that describe a skill is read. Directories are followed below a
-    skill root, except hidden ones.
-    """
-    from sessionmeter.sources.lines import existing_globs
-
-    globs = existing_globs(spark, [f"{homes}/*/{g}" for g in (*HOME_GLOBS, *project_globs)])
-    if not globs:
-        return spark.createDataFrame(
-            [], "home string, home_dir string, path string, size bigint, mtime bigint, text string"
-        )
-
-    def read(**options: str) -> DataFrame:
-        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").options(**options).load(globs)
-
-    base = homes.rstrip("/") + "/"
-    where = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
-    below = F.substring_index(where, base, -1)
-    described = read(pathGlobFilter="{SKILL,AGENTS}.md").select("path", F.decode("content", "UTF-8").alias("text"))
-    facts = read().select("path", F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"))
-    return facts.join(described, "path", "left").select(
-        F.substring_index(below, "/", 1).alias("home"),
-        F.concat(F.lit(base), F.substring_index(below, "/", 1)).alias("home_dir"),
-        F.regexp_replace(below, "^[^/]+/", "").alias("path"),
-        "size", "mtime", "text",
-    )

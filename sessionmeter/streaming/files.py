@@ -74,7 +74,7 @@ def interval(seconds: int) -> int:
 
 def refresh_every(
     store: Store, roots: dict[str, str], checkpoint: str, seconds: int = REFRESH_DEFAULT,
-    hermes_tables: Callable[[], tuple[DataFrame, DataFrame]] | None = None, compact_every: int = 500,
+    hermes_tables: Callable[[], tuple[DataFrame, DataFrame]] | None = None,
 ) -> StreamingQuery | None:
     """Refresh the store again and again; a slow refresh delays the next one, none overlap.
 
@@ -84,10 +84,8 @@ def refresh_every(
     if every == 0:
         return None
 
-    def work(_batch: DataFrame, batch_id: int) -> None:
+    def work(_batch: DataFrame, _batch_id: int) -> None:
         store.refresh(roots, hermes_tables() if hermes_tables else None)
-        if batch_id % compact_every == compact_every - 1:
-            store.compact()
 
     ticks = store.spark.readStream.format("rate").option("rowsPerSecond", "1").load()
     return (

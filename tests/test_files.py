@@ -32,6 +32,7 @@ def homes(tmp_path):
                  ".claude/skills/s/docs/more.txt", ".claude/skills/s/.git/x", ".claude/skills/loose.md", ".codex/AGENTS.md", ".qwen/settings.json",
                  ".qwen/other.json", "app/CLAUDE.md", "app/.claude/CLAUDE.md", "app/note.md", "big/deep/CLAUDE.md"):
         write(f"{al}/{name}", name)
+    write(f"{al}/.claude/skills/s/SKILL.md", "---\ndescription: 'does x'\n---\nrest")
     p = f"{al}/.claude/projects"
     # the newest log names no directory, the second does, the third is not needed; a fourth would give another one
     log(f"{p}/-w-a/n4.jsonl", 400, {"type": "x"}, {"cwd": 5})
@@ -81,6 +82,7 @@ def test_memory_view(spark, homes):
     assert {(r.home, r.encoded): r.n_files for r in view["projects"].collect()}[("al", "-w-a")] == 3
     assert view["listing"].first().label == "~/.claude/CLAUDE.md (global)"
     assert sorted(r.rel_path for r in view["skill_files"].collect()) == ["SKILL.md", "docs/more.txt"]
+    assert [(r.name, r.description, r.n_files) for r in view["skills"].collect()] == [("s", "does x", 2)]
 
 
 def test_copied_homes(spark, tmp_path):

@@ -5,19 +5,19 @@ from __future__ import annotations
 import gzip
 import json
 import os
+import threading
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from sessionmeter.operators import claude, inventory
+from sessionmeter.operators import claude
 from sessionmeter.operators.lookup import by_id_prefix
 from sessionmeter.plans.dashboard import dashboard
 from sessionmeter.functions.ranges import Range
 from sessionmeter.plans import store as store_module
 from sessionmeter.plans.store import Store
 from sessionmeter.sources import lines as L
-from sessionmeter.sources.stored import home_files
 from sessionmeter.streaming import files as stream_files
 
 from test_rules import hermes_tables
@@ -109,7 +109,7 @@ def rows_of(store, table, *columns):
     return sorted(tuple(r) for r in store.read(table).select(*columns).collect())
 
 
-def test_refresh(spark, tmp_path, store):
+def test_refresh(spark, tmp_path, store, monkeypatch):
     root = f"{tmp_path}/claude"
     roots = {"claude": root, "codex": f"{tmp_path}/codex"}
     os.makedirs(f"{tmp_path}/codex")
@@ -122,7 +122,7 @@ def test_refresh(spark, tmp_path, store):
 
     # nothing changed: nothing is read, nothing is written
     assert store.refresh(roots, hermes_tables(spark)) == 0
-    assert store.last_batch() == 0
+    assert not os.path.exists(f"{store.root}/lock")
 
     # one grows, one goes, one is new
     put(f"{root}/-w-a/s1.jsonl", [user("one"), answer("m", 3), answer("m", 9), user("more")])
@@ -137,10 +137,20 @@ def test_refresh(spark, tmp_path, store):
     assert [r for r in said if r[0] == "s1"] == [("s1", 0, "one"), ("s1", 1, "more")]
     assert not [r for r in said if r[0] == "s2"]
 
-    # a refresh that died before its manifest leaves rows that do not count
-    lost = spark.createDataFrame([("x", "x", 0, 0, False, "m", *[1] * 7)], store.read("token_events").drop("agent").schema)
-    lost.write.parquet(f"{store.root}/token_events/batch=2/agent=claude/event_date=2026-01-01")
-    assert rows_of(store, "token_events", "session_id", "is_user_turn", "output_tokens") == got
+    # a refresh that dies before its manifest is done again by the next
+    put(f"{root}/-w-b/s4.jsonl", [user("four"), user("five")])
+    monkeypatch.setattr(store, "_rewrite", lambda table, *rest: None if table == "manifest" else Store._rewrite(store, table, *rest))
+    store.refresh(roots)
+    monkeypatch.undo()
+    assert store.refresh(roots) == 1
+    assert [r for r in rows_of(store, "sessions", "session_id", "turns") if r[0] == "s4"] == [("s4", 2)]
+
+    # all files of a part gone: no row is left behind
+    for name in ("-w-a/s1", "-w-a/s3", "-w-b/s4"):
+        os.remove(f"{root}/{name}.jsonl")
+    assert store.refresh(roots) == 0
+    for table in ("sessions", "token_events", "transcript_events"):
+        assert {r[0] for r in rows_of(store, table, "agent")} == {"hermes"}
 
 
 def test_files_that_come_during_a_refresh(spark, tmp_path, store, monkeypatch):
@@ -150,7 +160,7 @@ def test_files_that_come_during_a_refresh(spark, tmp_path, store, monkeypatch):
     listing = store_module.list_files
     for k in range(1, 6):
 
-        def list_then_add(spark_, agent, root_, wide=False, k=k):
+        def list_then_add(spark_, agent, root_, wide=False, since=None, k=k):
             found = spark_.createDataFrame(listing(spark_, agent, root_, wide).collect(), L.FILE_SCHEMA)
             put(f"{root}/-w-a/s{k}.jsonl", [user(str(k))])
             put(f"{root}/-w-a/s0.jsonl", [user("0")] * (k + 1))
@@ -170,16 +180,56 @@ def test_files_that_come_during_a_refresh(spark, tmp_path, store, monkeypatch):
         store.refresh({"claude": f"{tmp_path}/clawed"})
     assert rows_of(store, "transcript_events", "session_id", "body") == want
 
-    # compaction changes no row, and refreshes go on from it
-    events = rows_of(store, "token_events", "session_id", "ts", "is_user_turn")
-    batch = store.compact()
-    assert store.last_batch() == batch and rows_of(store, "transcript_events", "session_id", "body") == want
-    assert rows_of(store, "token_events", "session_id", "ts", "is_user_turn") == events
+
+def test_two_refreshes_at_once(spark, tmp_path, store):
+    root = f"{tmp_path}/claude"
+    for i in range(5):
+        put(f"{root}/-w-{i}/s{i}.jsonl", [user(str(i))])
+    errors = []
+
+    def run():
+        try:
+            Store(spark, store.root).refresh({"claude": root})
+        except Exception as err:  # noqa: BLE001
+            errors.append(err)
+
+    threads = [threading.Thread(target=run) for _ in range(2)]
+    for t in threads:
+        t.start()
+    put(f"{root}/-w-9/s9.jsonl", [user("9")])
+    for t in threads:
+        t.join()
+    assert not errors
+    store.refresh({"claude": root})
+    assert rows_of(store, "transcript_events", "session_id", "body") == [(f"s{i}", str(i)) for i in (0, 1, 2, 3, 4, 9)]
+
+    # a lock that someone left behind long ago is no obstacle, a fresh one is waited for
+    lock = f"{store.root}/lock"
+    put(lock, [])
+    os.utime(lock, (1, 1))
     assert store.refresh({"claude": root}) == 0
-    put(f"{root}/-w-a/s1.jsonl", [user("1"), user("more")])
-    os.remove(f"{root}/-w-a/s2.jsonl")
-    assert store.refresh({"claude": root}) == 1
-    assert rows_of(store, "sessions", "session_id", "turns") == [("s0", 6), ("s1", 2), ("s3", 1), ("s4", 1), ("s5", 1)]
+    put(lock, [])
+    with pytest.raises(TimeoutError), store._locked(wait_seconds=0):
+        pass
+
+
+def test_refresh_of_recent_days_only(spark, tmp_path, store):
+    root = f"{tmp_path}/codex"
+    line = {"type": "event_msg", "timestamp": STAMP, "payload": {"type": "user_message", "message": "x"}}
+
+    def day(d, name, n):
+        put(f"{root}/2026/04/{d}/rollout-2026-04-{d}T14-52-34-{name}.jsonl", [line] * n)
+
+    day("10", "a", 1)
+    day("15", "b", 1)
+    assert store.refresh({"codex": root}) == 2
+    day("10", "a", 2)
+    day("15", "b", 3)
+    day("16", "c", 1)
+    assert store.refresh({"codex": root}, since="2026-04-15") == 2
+    count = {"codex:a": 1, "codex:b": 3, "codex:c": 1}
+    assert {r[0]: r[1] for r in store.read("transcript_events").groupBy("session_id").count().collect()} == count
+    assert store.refresh({"codex": root}) == 1
 
 
 def test_refresh_reads_changed_totals_subagents_and_compressed_logs(spark, tmp_path):
@@ -190,7 +240,12 @@ def test_refresh_reads_changed_totals_subagents_and_compressed_logs(spark, tmp_p
     put(f"{root}/-w-a/s1/subagents/agent-7.jsonl", [user("sub")])
     sessions, messages = hermes_tables(spark)
     assert store.refresh({"claude": root}, (sessions, messages)) == 4
-    assert [r[0] for r in rows_of(store, "sessions", "session_id")] == ["agent-7", "hermes:north-17", "s1", "s2"]
+    # subagents are told apart from sessions, and belong to one
+    assert [r[0] for r in rows_of(store, "sessions", "session_id")] == ["hermes:north-17", "s1", "s2"]
+    assert store.read("token_events").count() == 4
+    everyone = store.read("sessions", subagents=True)
+    child = everyone.where("parent_path is not null").first()
+    assert child.session_id == "agent-7" and child.parent_path == everyone.where("session_id = 's1'").first().path
     later = sessions.withColumn("output_tokens", F.col("output_tokens") + F.when(F.col("id") == "north-17", 5).otherwise(0))
     assert store.refresh({"claude": root}, (later, messages)) == 1
     spent = [r for r in rows_of(store, "token_events", "session_id", "is_user_turn", "output_tokens") if r[0].startswith("hermes")]
@@ -227,29 +282,3 @@ def test_refresh_every(spark, tmp_path, store):
         query.stop()
     assert store.read("sessions").count() == 1
     assert stream_files.refresh_every(store, {}, f"{tmp_path}/cp2", seconds=0) is None
-
-
-def test_home_files(spark, tmp_path):
-    home = f"{tmp_path}/homes/al"
-    for name, body in {
-        ".claude/CLAUDE.md": "global", ".claude/projects/-w-a/memory/b.md": "b", ".claude/skills/s/SKILL.md": "---\ndescription: 'does x'\n---\nrest",
-        ".claude/skills/s/docs/more.txt": "12345", ".codex/AGENTS.md": "x", ".codex/skills/t/readme.txt": "no front matter",
-        ".qwen/skills/u/AGENTS.md": "---\nname: u\nno end", "app/CLAUDE.md": "project", "app/.claude/CLAUDE.md": "local", "app/other.md": "no",
-    }.items():
-        os.makedirs(os.path.dirname(f"{home}/{name}"), exist_ok=True)
-        with open(f"{home}/{name}", "w") as f:
-            f.write(body)
-    files = home_files(spark, f"{tmp_path}/homes", ("app/CLAUDE.md", "app/.claude/CLAUDE.md"))
-    assert "app/other.md" not in {r.path for r in files.collect()}
-    told = {(r.agent, r.name): (r.description, r.n_files) for r in inventory.skills(files).collect()}
-    assert told == {("claude", "s"): ("does x", 2), ("codex", "t"): ("", 1), ("qwen", "u"): ("", 1)}
-    cwds = spark.createDataFrame(
-        [("al", "-w-a", f"{home}/app"), ("al", "-home", home)], "home string, encoded string, cwd string")
-    memory = inventory.project_memory(files, cwds)
-    got = sorted((r.encoded, r.name, r.category) for r in memory.collect())
-    # the home directory's own local file is the global one, so it is not listed again
-    assert got == [("-w-a", "app", ".claude/CLAUDE.md"), ("-w-a", "app", "CLAUDE.md"), ("-w-a", "app", "auto-memory")]
-    listing = inventory.memory_listing(inventory.global_memory(files), memory.unionByName(inventory.shared_memory(files)))
-    assert listing.first().label == "~/.claude/CLAUDE.md (global)"
-    assert "[codex] codex (global) · AGENTS.md" in {r.label for r in listing.collect()}
-    assert home_files(spark, f"{tmp_path}/nobody").count() == 0
