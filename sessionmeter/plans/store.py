@@ -94,6 +94,10 @@ class Store:
         with self._locked(), work_folder(self.spark, "refresh") as work:
             return self._refresh(work, roots, hermes_tables, since)
 
+    def unlock(self) -> None:
+        """Give up the lock of a refresh that is known to have died."""
+        remove(self.spark, f"{self.root}/lock")
+
     @contextmanager
     def _locked(self, wait_seconds: int = 3_600) -> Iterator[None]:
         lock = f"{self.root}/lock"
@@ -108,7 +112,7 @@ class Store:
         try:
             yield
         finally:
-            remove(self.spark, lock)
+            self.unlock()
 
     def _refresh(self, work: str, roots: dict[str, str], hermes_tables: tuple[DataFrame, DataFrame] | None, since: str | None) -> int:
         listed = [list_files(self.spark, a, r, self.wide, since).withColumn("agent", F.lit(a)) for a, r in roots.items()]
@@ -120,32 +124,34 @@ class Store:
         new = changed_files(everything, known).join(known.select("path", "part"), "path", "left")
         todo = self._kept(f"{work}/todo", new.withColumn("part", F.coalesce("part", _new_part())))
         gone = known.limit(0) if since else gone_files(everything, known)
-        gone = self._kept(f"{work}/gone", gone)
-        drop = self._kept(f"{work}/drop", todo.select("path", "agent", "part").unionByName(gone.select("path", "agent", "part")))
+        gone = gone.select("path", "agent", "part", F.lit(False).alias("again"))
+        drop = self._kept(f"{work}/drop", todo.select("path", "agent", "part", F.lit(True).alias("again")).unionByName(gone))
         # agents times months times buckets at most
-        parts = [tuple(r) for r in drop.select("agent", "part").distinct().collect()]
+        touched = drop.groupBy("agent", "part").agg(F.count_if("again").alias("n")).collect()
+        parts = [(r.agent, r.part) for r in touched]
+        again = {r.agent for r in touched if r.n}
         if not parts:
             return 0
         tables = {table: [] for table in COLUMNS}
-        for agent, root in roots.items():
+        for agent in again & DIALECTS.keys():
             paths = todo.where(F.col("agent") == agent)
             lines = read_files(self.spark, paths.select("path"), f"{work}/{agent}", FILES_AT_A_TIME)
             for table, make in (("sessions", "sessions"), ("token_events", "token_events"), ("transcript_events", "transcript")):
                 tables[table].append(getattr(DIALECTS[agent], make)(lines))
-        if hermes_tables is not None:
+        if hermes.AGENT in again:
             for table, rows in self._hermes(hermes_tables, todo).items():
                 tables[table].append(rows)
         for table, made in tables.items():
-            fresh = reduce(DataFrame.unionByName, made).join(todo.select("path", "part"), "path")
+            fresh = [rows.join(todo.select("path", "part"), "path") for rows in made]
             self._rewrite(table, fresh, drop, parts)
-        self._rewrite("manifest", todo.withColumn("version", F.lit(READER_VERSION)), drop, parts)
-        return todo.count()
+        self._rewrite("manifest", [todo.withColumn("version", F.lit(READER_VERSION))], drop, parts)
+        return sum(r.n for r in touched)
 
     def _kept(self, path: str, rows: DataFrame) -> DataFrame:
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
-    def _rewrite(self, table: str, fresh: DataFrame, drop: DataFrame, parts: list[tuple[str, str]]) -> None:
+    def _rewrite(self, table: str, fresh: list[DataFrame], drop: DataFrame, parts: list[tuple[str, str]]) -> None:
         """Write `parts` again: their rows but for those of the files in `drop`, and the fresh ones."""
         by_agent: dict[str, list[str]] = {}
         for agent, part in parts:
@@ -156,7 +162,7 @@ class Store:
         kept = before.where(here).join(drop.select("path"), "path", "left_anti").select(*before.columns)
         touched = self.spark.createDataFrame(parts, "agent string, part string")
         marks = touched.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in before.schema[:-2]], "agent", "part")
-        rows = kept.unionByName(fresh.select(*before.columns)).unionByName(marks)
+        rows = reduce(DataFrame.unionByName, [kept, marks, *[f.select(*before.columns) for f in fresh]])
         order = ["agent", "part", "ts"] if table == "token_events" else ["agent", "part"]
         # a task per part, and several for one that is large
         spread = rows.hint("rebalance", "agent", "part").sortWithinPartitions(*order)

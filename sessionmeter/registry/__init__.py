@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 
 def all_queries() -> dict[str, Callable]:
-    from sessionmeter.registry import file_queries, log_queries, stream_queries, usage_queries
+    from sessionmeter.registry import file_queries, log_queries, stored_queries, stream_queries, usage_queries
 
-    return {**usage_queries.QUERIES, **log_queries.QUERIES, **file_queries.QUERIES, **stream_queries.QUERIES}
+    return {**usage_queries.QUERIES, **log_queries.QUERIES, **file_queries.QUERIES, **stream_queries.QUERIES, **stored_queries.QUERIES}
 
 
 def all_oracles() -> dict[str, str]:
-    from sessionmeter.registry import file_sql, log_sql, stream_sql, usage_sql
+    from sessionmeter.registry import file_sql, log_sql, stored_sql, stream_sql, usage_sql
 
-    return {**usage_sql.ORACLE, **log_sql.ORACLE, **file_sql.ORACLE, **stream_sql.ORACLE}
+    return {**usage_sql.ORACLE, **log_sql.ORACLE, **file_sql.ORACLE, **stream_sql.ORACLE, **stored_sql.ORACLE}
