@@ -1,7 +1,8 @@
 """Price match and cost.
 
 A price book is a short fixed table, so the match is a ladder of column tests rather than a join: no
-shuffle, nothing broadcast, and a model that holds a third of all events costs no more than others.
+shuffle, nothing broadcast, and a model that holds a third of all events costs no more than others. A book
+of more rows than a ladder should have is a table, matched by equality with the pieces of the distinct models.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ class KeyedBook:
 
     def __init__(self, rows: Sequence[tuple]):
         if len(rows) > MAX_BOOK_ROWS:
-            raise ValueError(f"a book holds at most {MAX_BOOK_ROWS} rows, got {len(rows)}")
+            raise ValueError(f"a ladder holds at most {MAX_BOOK_ROWS} rows, got {len(rows)}; use PriceTable")
         self.rows = sorted(rows, key=lambda r: -len(r[0]))
 
     @classmethod
@@ -95,6 +96,10 @@ class KeyedBook:
 class PriceBook(KeyedBook):
     FIELDS = ("inp", "out", "cw5m", "cw1h", "cr")
 
+    def attach(self, df: DataFrame, model: Column, out: str) -> DataFrame:
+        """Add the prices of the matching row as a struct, else NULL."""
+        return df.withColumn(out, self.prices(F.coalesce(model, F.lit(""))))
+
     def prices(self, model: Column) -> Column:
         return self.pick(
             model,
@@ -102,6 +107,44 @@ class PriceBook(KeyedBook):
         )
 
 
+class PriceTable:
+    """A price book of any size: a table (pos, key, inp, out, cw5m, cw1h, cr)."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows.where("key is not null")
+
+    def matched(self, models: DataFrame) -> DataFrame:
+        """model, key and price of the distinct `models` that contain a key: the longest, the first of equal ones.
+
+        A model is cut into its pieces of the lengths that keys have, so the work of a model grows with its
+        length and never with the book.
+        """
+        # as many lengths as the longest key has characters, at most
+        lengths = [r[0] for r in self.rows.select(F.length("key")).distinct().collect()]
+        name, n = F.lower("model"), F.col("n")
+        pieces = (
+            models.select("model").distinct().where("model <> ''")
+            .select("model", F.explode(F.array(*[F.lit(k) for k in lengths]).cast("array<int>")).alias("n"))
+            .where(n <= F.length(name))
+            # without characters a key is contained everywhere
+            .select("model", "n", F.explode(F.sequence(F.lit(1), F.greatest(F.length(name) - n + 1, F.lit(1)))).alias("at"))
+            .select("model", F.substring(name, F.col("at"), n).alias("key"))
+            .distinct()
+        )
+        price = F.struct(*[F.col(c).cast("double").alias(c) for c in PriceBook.FIELDS])
+        rank = F.struct(F.length("key"), -F.col("pos"))
+        return pieces.join(self.rows, "key").groupBy("model").agg(
+            F.max_by("key", rank).alias("key"), F.max_by(price, rank).alias("price")
+        )
+
+    def attach(self, df: DataFrame, model: Column, out: str) -> DataFrame:
+        """Add the prices of the matching row as a struct, else NULL."""
+        named = df.withColumn("_model", F.coalesce(model, F.lit("")))
+        found = self.matched(named.select(F.col("_model").alias("model")))
+        # a row per distinct model on one side: Spark broadcasts it where it is small, else splits a frequent model
+        return named.join(found.select(F.col("model").alias("_model"), F.col("price").alias(out)), "_model", "left").drop("_model")
+
+
 class ContextBook(KeyedBook):
     def window(self, model: Column) -> Column:
         return F.coalesce(
@@ -113,17 +156,24 @@ def default_prices() -> PriceBook:
     return PriceBook(PRICES)
 
 
+def price_book(rows: DataFrame) -> PriceBook | PriceTable:
+    """The book of a table (pos, key, inp, out, cw5m, cw1h, cr); both forms find the same rows."""
+    if len(rows.limit(MAX_BOOK_ROWS + 1).collect()) > MAX_BOOK_ROWS:
+        return PriceTable(rows)
+    return PriceBook.from_table(rows, "key", *PriceBook.FIELDS)
+
+
 def default_contexts() -> ContextBook:
     return ContextBook(CONTEXT_WINDOWS)
 
 
-def with_cost(df: DataFrame, book: PriceBook, model: Column, out: str, exclude_cached_from_input: bool = False) -> DataFrame:
+def with_cost(df: DataFrame, book: PriceBook | PriceTable, model: Column, out: str, exclude_cached_from_input: bool = False) -> DataFrame:
     """Add the USD cost of the usage columns, priced as `model`.
 
     Legacy cache writes count at the 5-minute rate only when neither of the newer fields is set. An
     unknown model pays for web searches only. Cached tokens stay in the input count unless asked.
     """
-    priced = df.withColumn("_price", book.prices(F.coalesce(model, F.lit(""))))
+    priced = book.attach(df, model, "_price")
     p = F.col("_price")
     legacy = (F.col("cache_creation_5m_tokens") == 0) & (F.col("cache_creation_1h_tokens") == 0)
     write5m = F.when(legacy, F.col("cache_creation_tokens")).otherwise(F.col("cache_creation_5m_tokens"))

@@ -123,3 +123,17 @@ def largest_groups(groups: DataFrame, n: int = 10) -> DataFrame:
         .limit(n)
         .select("n_sessions", "group_key", F.coalesce("cwd", F.lit("-")).alias("cwd"))
     )
+
+
+def with_subagents(spent: DataFrame) -> DataFrame:
+    """Cost and calls of each session together with those of its subagents.
+
+    `spent`: path, parent_path (NULL for a session of its own), session_cost, calls. A subagent whose session has no row
+    still counts under that session's path.
+    """
+    return spent.groupBy(F.coalesce("parent_path", "path").alias("path")).agg(
+        F.count_if(F.col("parent_path").isNotNull()).alias("n_subagents"),
+        F.sum(F.when(F.col("parent_path").isNull(), F.col("session_cost")).otherwise(0.0)).alias("own_cost"),
+        F.sum("session_cost").alias("cost"),
+        F.sum("calls").alias("calls"),
+    )

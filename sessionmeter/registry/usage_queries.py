@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionmeter.functions.pricing import with_cost
+from sessionmeter.functions.pricing import PriceTable, with_cost
 from sessionmeter.functions.ranges import RANGES, Range, bucket_seconds, bucket_start, window_hours
 from sessionmeter.operators import grouping, lookup, rollups, series, usage
 from sessionmeter.registry import tables as T
@@ -88,6 +88,25 @@ def _per_session(label):
     return query
 
 
+def cost_with_subagents(spark, sf):
+    """A fifth of the users work as subagents of the user before them, day by day."""
+    user = F.regexp_extract("path", "^u([0-9]+)-", 1).cast("bigint")
+    parent = F.concat(F.lit("u"), (user - 1).cast("string"), F.regexp_extract("path", "^u[0-9]+(-.*)$", 1))
+    spent = _active(spark, sf, "all").withColumn("parent_path", F.when(user % 5 == 1, parent))
+    return _money(rollups.with_subagents(spent), "own_cost", "cost")
+
+
+def priced_by_table(spark, sf):
+    """Models priced by a book of as many rows as there are parts; names of models are cut from their texts."""
+    part = T.table(spark, sf, "part")
+    rows = part.select(
+        F.col("p_partkey").alias("pos"), F.lower(F.concat("p_brand", F.lit("/"), (F.col("p_partkey") % 1000).cast("string"))).alias("key"),
+        F.col("p_retailprice").alias("inp"), F.lit(0.0).alias("out"), F.lit(0.0).alias("cw5m"), F.lit(0.0).alias("cw1h"), F.lit(0.0).alias("cr"),
+    )
+    models = part.where(F.col("p_partkey") % 3 == 0).select(F.concat(F.lit("X-"), "p_brand", F.lit("/"), (F.col("p_partkey") % 1500).cast("string")).alias("model"))
+    return PriceTable(rows).matched(models).select("model", F.col("key").alias("price_key"), F.col("price.inp").alias("price"))
+
+
 def range_cutoffs(spark, sf):
     events = T.token_events(spark, sf)
     counts = events.agg(*[F.count_if(F.col("ts") >= Range(n, NOW).cutoff).alias(n) for n in RANGES])
@@ -239,6 +258,8 @@ def sessions_by_day(spark, sf):
 
 QUERIES = {
     "price_match": price_match,
+    "priced_by_table": priced_by_table,
+    "cost_with_subagents": cost_with_subagents,
     "context_window": context_window,
     "event_cost_by_model": event_cost_by_model,
     "cost_without_cached_input": cost_without_cached_input,

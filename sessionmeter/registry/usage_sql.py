@@ -268,6 +268,16 @@ SELECT agent, {_SUMS}, CAST(sum(cache_creation_tokens + cache_creation_5m_tokens
     "window_scan_7d": f"""{_with(EVENTS, scanned('7d'))}
 SELECT * EXCLUDE (session_id, last_model), session_id AS path, coalesce(last_model, '') AS last_model FROM w""",
     "active_sessions_1d": session_cost("1d"),
+    "cost_with_subagents": f"""{_with(EVENTS, PRICES, active("all"))},
+u AS (SELECT *, CAST(regexp_extract(session_id, '^u([0-9]+)-', 1) AS BIGINT) AS who FROM a),
+p AS (SELECT *, CASE WHEN who % 5 = 1 THEN concat('u', CAST(who - 1 AS VARCHAR), regexp_extract(session_id, '^u[0-9]+(-.*)$', 1)) END AS parent FROM u)
+SELECT coalesce(parent, session_id) AS path, count(parent) AS n_subagents,
+  round(coalesce(sum(session_cost) FILTER (parent IS NULL), 0.0), 6) AS own_cost, round(sum(session_cost), 6) AS cost, CAST(sum(calls) AS BIGINT) AS calls
+FROM p GROUP BY 1""",
+    "priced_by_table": """WITH b AS (SELECT p_partkey AS pos, lower(concat(p_brand, '/', CAST(p_partkey % 1000 AS VARCHAR))) AS k, p_retailprice AS price FROM part),
+m AS (SELECT DISTINCT concat('X-', p_brand, '/', CAST(p_partkey % 1500 AS VARCHAR)) AS model FROM part WHERE p_partkey % 3 = 0),
+c AS (SELECT model, k, price, row_number() OVER (PARTITION BY model ORDER BY length(k) DESC, pos) AS r FROM m JOIN b ON contains(lower(model), k))
+SELECT model, k AS price_key, price FROM c WHERE r = 1""",
     "session_cost_7d": session_cost("7d"),
     "session_cost_all": session_cost("all"),
     "range_cutoffs": range_cutoffs(),

@@ -3,7 +3,8 @@
 Every reader returns: path, file_mtime (epoch s), file_size, ord, value. `ord` is one BIGINT that sorts
 the lines of a file in file order even when the file was read in many splits: the split's start (in 64
 KiB steps) in the high bits, the row number inside the task in the low 33 bits. It is fixed at the scan,
-before any shuffle, and the same again when a lost task is read anew. Splits must be 64 KiB or larger.
+before any shuffle, and the same again when a lost task is read anew. Splits must be 64 KiB or larger: a session that is
+set to smaller ones is refused.
 """
 
 from __future__ import annotations
@@ -41,6 +42,9 @@ def _read(spark: SparkSession, paths: list[str], since: int | None, **options: s
 
 
 def _ordered_lines(raw: DataFrame) -> DataFrame:
+    conf = raw.sparkSession._jsparkSession.sessionState().conf()
+    if min(conf.filesMaxPartitionBytes(), conf.filesOpenCostInBytes()) < 1 << START_STEP_BITS:
+        raise ValueError("spark.sql.files.maxPartitionBytes and openCostInBytes must be 64 KiB or more")
     return raw.select(
         F.col("_metadata.file_path").alias("path"),
         F.unix_seconds(F.col("_metadata.file_modification_time")).alias("file_mtime"),

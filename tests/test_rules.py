@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,6 +107,28 @@ def test_price_book_is_bounded():
         pricing.PriceBook([(f"k{i}", 0, 0, 0, 0, 0) for i in range(pricing.MAX_BOOK_ROWS + 1)])
 
 
+def test_price_table_agrees_with_the_ladder(spark):
+    fields = "pos int, key string, inp double, out double, cw5m double, cw1h double, cr double"
+    rows = [(i, *r) for i, r in enumerate(pricing.PRICES)]
+    names = ["CLAUDE-Opus-4-5-x", "x-o3-pro", "gpt-5.3-codex", "gpt-5", "", None, "o3", "claude-opus-4-6+o4-mini", "my.gguf"]
+    usage_ = ["input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_5m_tokens", "cache_creation_1h_tokens", "cache_creation_tokens", "web_search_calls"]
+    df = spark.createDataFrame([(i, n, *range(1, 8)) for i, n in enumerate(names)], "i int, model string, " + ", ".join(f"{c} bigint" for c in usage_))
+    table = spark.createDataFrame(rows, fields)
+    want = pricing.with_cost(df, pricing.price_book(table), F.col("model"), "cost").orderBy("i").collect()
+    assert isinstance(pricing.price_book(table), pricing.PriceBook)
+    assert pricing.with_cost(df, pricing.PriceTable(table), F.col("model"), "cost").orderBy("i").select(*df.columns, "cost").collect() == want
+
+    # ten thousand keys of all lengths, equal ones too
+    r = random.Random(3)
+    keys = ["".join(r.choice("abc") for _ in range(r.randint(1, 9))) for _ in range(10_000)]
+    big = pricing.price_book(spark.createDataFrame([(i, k, float(i), 0.0, 0.0, 0.0, 0.0) for i, k in enumerate(keys)], fields))
+    models = ["".join(r.choice("abcD") for _ in range(r.randint(0, 12))) for _ in range(200)]
+    got = {x.model: (x.key, x.price.inp) for x in big.matched(spark.createDataFrame([(m,) for m in models], "model string")).collect()}
+    for m in models:
+        found = [(-len(k), i, k) for i, k in enumerate(keys) if k in m.lower()] if m else []
+        assert got.get(m) == ((min(found)[2], float(min(found)[1])) if found else None)
+
+
 def test_price_book_from_table(spark):
     df = spark.createDataFrame([(1, "b", 2.0), (0, "aa", 1.0)], "pos int, k string, v double")
     assert pricing.KeyedBook.from_table(df, "k", "v").rows == [("aa", 1.0), ("b", 2.0)]

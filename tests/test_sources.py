@@ -86,6 +86,9 @@ def test_line_order_over_many_splits(spark, tmp_path):
     try:
         spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 16))
         spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+        with pytest.raises(ValueError):
+            L.claude_lines(spark, str(tmp_path))
+        spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 16))
         df = L.claude_lines(spark, str(tmp_path))
         assert df.rdd.getNumPartitions() > 20
         rows = df.select("path", "ord", F.get_json_object("value", "$.i").cast("int").alias("i")).collect()
