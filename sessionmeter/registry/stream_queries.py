@@ -1,7 +1,7 @@
 """Streams over the given tables; each must end with the rows of its batch form.
 
-A table arrives in three parts. After each the stream runs until it has taken all there is, ends, and is started again
-from its checkpoint for the next.
+A table arrives in three parts. Where order matters the stream runs after each until it has taken all there is, ends, and is
+started again from its checkpoint for the next.
 """
 
 from __future__ import annotations
@@ -33,6 +33,17 @@ def _arriving(rows: DataFrame, arrival: Column, start: Callable[[DataFrame, str,
     return spark.read.parquet(sink)
 
 
+def _at_once(rows: DataFrame, arrival: Column, start: Callable[[DataFrame, str, str], StreamingQuery]) -> DataFrame:
+    """The same for rows in no order: one run of the stream over files that come in at least `ARRIVALS` micro-batches."""
+    spark = rows.sparkSession
+    landed, sink, checkpoint = (work_path(spark, n) for n in ("landed", "stream", "offsets"))
+    rows.withColumn("_arrival", arrival).write.partitionBy("_arrival").parquet(landed)
+    files = len(spark.read.parquet(landed).inputFiles())
+    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", str(max(1, files // ARRIVALS)))
+    start(reader.parquet(f"{landed}/*"), sink, checkpoint).awaitTermination()
+    return spark.read.parquet(sink)
+
+
 def _by_time() -> Column:
     """Events in order of time: ten days each."""
     age = F.floor((T.NOW - F.unix_seconds(F.col("ts").cast("timestamp"))) / TEN_DAYS)
@@ -79,13 +90,13 @@ def streamed_buckets(spark, sf):
     def start(stream: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
         return windows.stream_buckets(T.as_token_events(stream), T.sample_prices(), SIX_HOURS, sink, checkpoint)
 
-    out = windows.current_buckets(_arriving(T.table(spark, sf, "events"), _at_random("event_id"), start))
+    out = windows.current_buckets(_at_once(T.table(spark, sf, "events"), _at_random("event_id"), start))
     return out.withColumn("event_cost", F.round("event_cost", 6))
 
 
 def streamed_groups(spark, sf):
     """Session groups, with sessions in no order of time."""
-    return windows.current_groups(_arriving(T.sessions(spark, sf), _at_random("session_id"), windows.stream_groups))
+    return windows.current_groups(_at_once(T.sessions(spark, sf), _at_random("session_id"), windows.stream_groups))
 
 
 QUERIES = {
