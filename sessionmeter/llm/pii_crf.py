@@ -8,7 +8,8 @@ tokens that could be personal data: tokens with a digit or an at sign, and token
   in a match, the word before).
 * Chain edges join neighbouring tokens, skip edges join tokens with the same normal form (letters and digits only,
   lower case) and tokens of which one holds the whole normal form of the other; both favour equal labels. A token is
-  joined straight to the nearest matches with its form, however many other tokens stand between.
+  joined straight to the nearest matches with its form, however many other tokens stand between. Four numbers whose
+  digits are too few to be a form of their own (`10.0.0.1`) tie only tokens with the same four numbers (`10-0-0-1`).
 * The graph has loops: labels' marginals come from damped loopy belief propagation, run until messages settle. Tokens
   of a match keep their label.
 
@@ -16,17 +17,20 @@ Node weights are fitted on a bounded sample of documents, with the patterns' own
 (`MOST_DOCUMENTS`, those with the smallest hash of their id); no label table is read. A token outside the matches
 whose marginal for a kind is at least `SURE`, and which a skip edge joins to a match of this kind, becomes a span of
 this kind (a card or IP number written a second time without or with other signs, say). Spans of matches stay as
-they are. A null text is empty: no span. Equal texts get equal spans; no other column is read.
+they are. Work grows with a text's length, long runs of digits or letters included. A null text is empty: no span. Equal texts get equal spans; no other column is read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,11 +38,13 @@ from pyspark.sql import functions as F
 
 from sessionmeter.llm.base import ready
 
-# The kinds in their order, and the patterns of their matches.
+# The kinds in their order, and the patterns of their matches; the first two are searched for from the at
+# sign and in whole runs of dotted numbers, so that no long run is read again from each of its characters.
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+MAIL_NAME = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-"
+MAIL_HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
@@ -59,14 +65,35 @@ def luhn(digits: str) -> bool:
     return (sum(map(int, odd)) + sum(sum(divmod(2 * int(d), 10)) for d in even)) % 10 == 0
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """A name reaches back from its at sign, no farther than the last at sign or match."""
+    free, at = 0, text.find("@")
+    while at >= 0:
+        name = text[free:at]
+        start = free + len(name.rstrip(MAIL_NAME))
+        host = MAIL_HOST.match(text, at + 1) if start < at else None
+        if host:
+            yield start, host.end()
+        free = host.end() if host else at + 1
+        at = text.find("@", free)
+
+
+def ips(text: str) -> Iterator[tuple[int, int]]:
+    """Four numbers at a time of each run of dotted numbers; leading zeros don't count."""
+    for m in DOTTED.finditer(text):
+        parts, start = m.group().split("."), m.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            end = start + sum(map(len, four)) + 3
+            values = [p.lstrip("0") for p in four]
+            if all(len(v) <= 3 and int(v or 0) <= 255 for v in values):
+                yield start, end
+            start = end + 1
+
+
 def matches(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the patterns' matches, by start and kind."""
-    out = []
-    if "@" in text:
-        out += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
-    for m in IP.finditer(text):
-        if all(int(p) <= 255 for p in m.group().split(".") if len(p) < 20) and max(map(len, m.group().split("."))) < 20:
-            out.append((m.start(), 1, m.end()))
+    out = [(s, 0, e) for s, e in emails(text)] + [(s, 1, e) for s, e in ips(text)]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14:
             digits = m.group().replace(" ", "").replace("-", "")
@@ -84,7 +111,13 @@ def has_candidates(text: str) -> bool:
 
 
 def normal(token: str) -> str:
-    return PLAIN.sub("", token).lower()
+    """Letters and digits only, lower case; four numbers too short to be known so stay apart (`10-0-0-1`)."""
+    form = PLAIN.sub("", token).lower()
+    if len(form) < LEAST_NORMAL and form.isdecimal():
+        parts = re.findall(r"[0-9]+", token)
+        if len(parts) == 4:
+            return "-".join(parts)
+    return form
 
 
 @dataclass
@@ -118,47 +151,68 @@ def graph(text: str, found: list[tuple[int, int, int]]) -> Graph:
     known = {normal(text[s:e]) for s, _, e in found}
     known |= {normal(text[s:e].split("@")[0]) for s, k, e in found if k == 0}
     known = {k for k in known if len(k) >= LEAST_NORMAL}
+    reach = list(accumulate((e for _, _, e in found), max))
     spans, target, feats, last = [], [], [], ""
     at = 0
     for m in TOKEN.finditer(text):
         token, s, e = m.group(), m.start(), m.end()
         if re.search(r"[0-9@]", token) or normal(token) in known:
-            while at < len(found) and found[at][2] <= s:
+            while at < len(found) and reach[at] <= s:
                 at += 1
-            hit = next((x for x in found[at : at + 6] if x[0] < e and x[2] > s), None)
+            hit = next((x for x in found[at : bisect_left(found, (e,))] if x[2] > s), None)
             spans.append((s, e))
             target.append(0 if hit is None else 1 + hit[1])
             feats.append(features_of(token, last))
         last = token
     # a match of several tokens stands once more as a whole: skip edges need its normal form
     forms = [normal(text[s:e]) for s, e in spans]
+    tokens = list(spans)
     for s, k, e in found:
-        if not any(a <= s and b >= e for a, b in spans):
+        i = bisect_right(tokens, (s, len(text))) - 1
+        if i < 0 or tokens[i][1] < e:
             spans.append((s, e))
             target.append(1 + k)
             feats.append(features_of(text[s:e].replace(" ", ""), ""))
             forms.append(normal(text[s:e]))
     order = np.argsort([s for s, _ in spans], kind="stable")
     chain = [(int(a), int(b)) for a, b in zip(order, order[1:]) if 0 <= spans[b][0] - spans[a][1] <= 1]
-    same, skip = defaultdict(list), []
+    same, skip, search = defaultdict(list), [], ahocorasick.Automaton()
     for i, f in enumerate(forms):
         if len(f) >= LEAST_NORMAL:
             same[f].append(i)
+    for whole in known & same.keys():
+        if "-" not in whole:  # numbers kept apart are equal or differ
+            search.add_word(whole, whole)
+    search.make_automaton()
     held = {}
     for f, group in same.items():
         group.sort(key=lambda i: spans[i])
         held[f] = [i for i in group if target[i]]
         skip += tied(group, held[f])
+    # a token that holds a whole known form: each joins the nearest matches of the other form
+    holders = defaultdict(list)
     for f, group in same.items():
-        for whole in known:
-            if whole != f and whole in f and whole in same:
-                if not held[whole] and not held[f]:
-                    skip.append((same[whole][0], group[0]))
-                skip += [(held[whole][0], i) for i in group if held[whole]]
-                skip += [(held[f][0], i) for i in same[whole] if held[f] and not target[i]]
+        for whole in inside(f, search):
+            if not held[whole] and not held[f]:
+                skip.append((same[whole][0], group[0]))
+            skip += [(held[whole][0], i) for i in group if held[whole]]
+            holders[whole] += held[f][:1]
+    for whole, ends in holders.items():
+        ends.sort(key=lambda i: spans[i])
+        places = [spans[i] for i in ends]
+        for i in same[whole]:
+            if not target[i]:
+                n = bisect_left(places, spans[i])
+                skip += [(h, i) for h in ends[max(0, n - 1) : n + 1]]
     return Graph(spans, np.array(target, int), feats, chain, skip)
 
 
+def inside(form: str, search: ahocorasick.Automaton) -> list[str]:
+    """The other known forms within a form, each once."""
+    found = dict.fromkeys(w for _, w in search.iter(form)) if len(search) else {}
+    return [w for w in found if w != form]
+
+
 def tied(group: list[int], held: list[int]) -> list[tuple[int, int]]:
     """Edges of a group of equal tokens: each to the nearest matches before and behind it; without a match, a path."""
     if not held:
@@ -253,6 +307,7 @@ def added(text: str, found: list[tuple[int, int, int]], weights: np.ndarray) ->
                 linked[a] = linked[b] = linked[a] | linked[b]
                 grown = True
     p = marginals(g, weights)
+    reach = list(accumulate((e for _, _, e in found), max))
     out = []
     for i in np.flatnonzero(g.target == 0):
         kind = int(p[i, 1:].argmax()) + 1
@@ -260,7 +315,8 @@ def added(text: str, found: list[tuple[int, int, int]], weights: np.ndarray) ->
             s, e = g.spans[i]
             core = CORE.search(text[s:e])
             s, e = s + core.start(), s + core.end()
-            if not any(a < e and b > s for a, _, b in found):
+            n = bisect_left(found, (e,))  # matches that begin before the span's end
+            if not n or reach[n - 1] <= s:
                 out.append((s, kind - 1, e))
     return out
 

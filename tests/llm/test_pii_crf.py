@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import numpy as np
 
@@ -134,3 +135,54 @@ def test_every_repeat_of_a_spaced_match_is_found():
             found = pii_crf.matches(text)
             assert len(found) == 1
             assert [text[s:e] for s, _, e in pii_crf.added(text, found, weights)] == [bare] * text.count(bare)
+
+
+def test_leading_zeros_of_an_ip_number():
+    text = f"a {'0' * 40}1.2.003.{'0' * 25}255 b 1.2.3.0256 c 1.2.3.4.5.6.7.8.9"
+    assert pii_crf.matches(text) == brute(text)
+    assert sum(k == 1 for _, k, _ in pii_crf.matches(text)) == 3
+
+
+def test_short_ip_numbers_meet_only_the_same_four_numbers():
+    weights = pii_crf.fit_nodes([], np.zeros(0, int))
+    weights[0, 0] = 0.5
+    text = "host 10.0.0.1 is also 10-0-0-1 but neither 10001 nor 10-0-0-12 nor 1-00-0-1 nor 10_0_01"
+    found = pii_crf.matches(text)
+    assert [text[s:e] for s, _, e in pii_crf.added(text, found, weights)] == ["10-0-0-1"]
+
+
+def test_long_runs_take_time_in_step_with_their_length():
+    weights = pii_crf.fit_nodes([], np.zeros(0, int))
+    weights[0, 0] = 0.5
+    n = 1_000_000
+    runs = ["7" * n, "1." * (n // 2), "ab+/9Q" * (n // 6) + " x@y.org", "a." * (n // 2) + "@", "@" * n, "+1" + "-" * n, "4 " * (n // 2),
+            "10.0.0.1 " + "10-0-0-1 " * 3000 + "7" * n]
+    start = time.perf_counter()
+    for text in runs:
+        found = pii_crf.matches(text)
+        if len(found) < 10:
+            pii_crf.added(text, found, weights)
+    assert time.perf_counter() - start < 40
+    # many different matches, and tokens that hold them
+    text = " ".join(f"u{i:05d}x@mail{i}.org u{i:05d}x id-u{i:05d}x-mail{i}org" for i in range(3000))
+    start = time.perf_counter()
+    assert pii_crf.added(text, pii_crf.matches(text), weights)
+    assert time.perf_counter() - start < 20
+
+
+def test_marginals_come_near_enumeration_on_a_loop():
+    """Three tokens tied in a ring beside a match: belief propagation is close to exact and picks the same labels."""
+    rng = np.random.default_rng(5)
+    g = pii_crf.Graph([(i, i + 1) for i in range(4)], np.array([0, 0, 0, 2]), [[i] for i in range(4)], [(0, 1), (1, 2)], [(0, 2), (2, 3)])
+    weights = np.zeros((pii_crf.FEATURES, 5))
+    weights[:4] = rng.normal(size=(4, 5))
+    p = np.zeros((4, 5))
+    for labels in np.ndindex(5, 5, 5):
+        labels = (*labels, 2)
+        energy = sum(weights[i, k] for i, k in enumerate(labels[:3]))
+        energy += sum(pii_crf.CHAIN for a, b in g.chain if labels[a] == labels[b]) + sum(pii_crf.SKIP for a, b in g.skip if labels[a] == labels[b])
+        for i, k in enumerate(labels):
+            p[i, k] += np.exp(energy)
+    p /= p.sum(1, keepdims=True)
+    got = pii_crf.marginals(g, weights)
+    assert (got.argmax(1) == p.argmax(1)).all() and np.abs(got - p).max() < 0.05
