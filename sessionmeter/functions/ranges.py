@@ -46,23 +46,32 @@ def _long(n: int) -> Column:
     return F.lit(n).cast("bigint")
 
 
-def window_hours(r: Range, sessions: DataFrame) -> Column:
-    """Length of the range; for `all`, from the earliest session to now, 1 at least."""
+def spanned(r: Range, sessions: DataFrame) -> Column:
+    """A struct: `start` and `width` (s) of the buckets, `hours` of the range.
+
+    For `all` they follow from the earliest session, in one scalar query that is alike wherever it is used. Its buckets
+    start there (30 days back without one); its hours go from there to now, 1 at least.
+    """
+    width = _long(RANGES[r.label][1])
     if r.seconds:
-        return F.lit(r.seconds / 3600.0)
-    since = F.coalesce(earliest(sessions).scalar(), _long(r.now))
-    return F.greatest(F.greatest(_long(r.now) - since, _long(0)) / F.lit(3600.0), F.lit(1.0))
+        return F.struct(_long(r.cutoff).alias("start"), width.alias("width"), F.lit(r.seconds / 3600.0).alias("hours"))
+    first, now = F.col("earliest"), _long(r.now)
+    start = F.coalesce(first, _long(max(r.now - RANGES["30d"][0], 0)))
+    part = F.floor(F.greatest(now - start, _long(1)) / r.n_buckets).cast("bigint")
+    hours = F.greatest(now - F.coalesce(first, now), _long(0)) / F.lit(3600.0)
+    return earliest(sessions).select(
+        F.struct(start.alias("start"), F.greatest(part, width).alias("width"), F.greatest(hours, F.lit(1.0)).alias("hours"))
+    ).scalar()
+
+
+def window_hours(r: Range, sessions: DataFrame) -> Column:
+    """Length of the range."""
+    return spanned(r, sessions)["hours"]
 
 
 def bucket_start(r: Range, sessions: DataFrame) -> Column:
-    if r.seconds:
-        return _long(r.cutoff)
-    return F.coalesce(earliest(sessions).scalar(), _long(max(r.now - RANGES["30d"][0], 0)))
+    return spanned(r, sessions)["start"]
 
 
 def bucket_seconds(r: Range, sessions: DataFrame) -> Column:
-    width = RANGES[r.label][1]
-    if r.seconds:
-        return _long(width)
-    span = F.greatest(_long(r.now) - bucket_start(r, sessions), _long(1))
-    return F.greatest(F.floor(span / r.n_buckets).cast("bigint"), _long(width))
+    return spanned(r, sessions)["width"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sessionmeter.functions import jsonval as J
 from sessionmeter.functions.text import first_chars
 from sessionmeter.functions.times import real_iso, real_seconds
-from sessionmeter.operators.ordered import number_rows_any_order
+from sessionmeter.operators.ordered import sum_before
 from sessionmeter.schema import SESSION_COLUMNS, TRANSCRIPT_COLUMNS, select_tokens
 
 AGENT = "hermes"
@@ -118,6 +118,8 @@ def tool_calls(raw: Column) -> Column:
 
 
 def transcript(messages: DataFrame) -> DataFrame:
+    """Readable events in order; message ids are unique, as the stored table's key."""
+
     def event(kind: str, body: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), body.alias("body"))
 
@@ -143,12 +145,17 @@ def transcript(messages: DataFrame) -> DataFrame:
         .when(role == "tool", F.array(event("ToolResult", F.concat(header, F.coalesce("content", F.lit(""))))))
         .when(role == "system", if_text("System", "content"))
     )
-    flat = messages.select(
-        *_labels(F.col("session_id")),
-        F.col("timestamp").alias("at"), "id",
-        real_iso(F.col("timestamp")).alias("ts"),
-        F.posexplode(events).alias("pos", "event"),
-    ).select("path", "session_id", "at", "id", "pos", "ts", "event.kind", "event.body")
-    order = [F.asc("at"), F.asc("id"), F.asc("pos")]
-    numbered = number_rows_any_order(flat, ["path"], order, "event_index")
-    return numbered.withColumn("agent", F.lit(AGENT)).select(*TRANSCRIPT_COLUMNS)
+    # a message's first number follows from narrow rows; texts move once, to meet it, or stay where that side is small
+    counts = messages.select("session_id", F.col("timestamp").alias("at"), "id", F.size(events).alias("n")).where("n > 0")
+    firsts = sum_before(counts, ["session_id"], [F.asc("at"), F.asc("id")], "n", "first").select("id", "first")
+    return (
+        messages.join(firsts, "id")
+        .select(
+            F.lit(AGENT).alias("agent"), *_labels(F.col("session_id")),
+            "first", real_iso(F.col("timestamp")).alias("ts"),
+            F.posexplode(events).alias("pos", "event"),
+        )
+        .withColumn("event_index", F.col("first") + F.col("pos"))
+        .select(*[c for c in TRANSCRIPT_COLUMNS if c not in ("kind", "body")], "event.kind", "event.body")
+        .select(*TRANSCRIPT_COLUMNS)
+    )

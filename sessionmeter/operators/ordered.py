@@ -63,9 +63,19 @@ def cut_by_order(df: DataFrame, keys: list[str], order: list[Column]) -> DataFra
     return materialize(spread.withColumn("_part", F.spark_partition_id()))
 
 
-def number_rows_any_order(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
-    """Row numbers for an order without a natural chunk."""
-    return number_rows(cut_by_order(df, keys, order), keys, order, F.col("_part"), out).drop("_part")
+def sum_before(df: DataFrame, keys: list[str], order: list[Column], value: str, out: str) -> DataFrame:
+    """Sum of `value` over the rows before each one in its key, for an order without a natural chunk; pass narrow rows."""
+    rows = cut_by_order(df, keys, order)
+    within = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum"))
+    offsets = sums.select(*keys, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    local = rows.withColumn("_local", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return (
+        local.join(offsets, [*keys, "_part"])
+        .withColumn(out, (F.col("_local") + F.col("_offset")).cast("bigint"))
+        .drop("_local", "_offset", "_part")
+    )
 
 
 def with_neighbours(df: DataFrame, keys: list[str], order: list[Column], value: str) -> DataFrame:

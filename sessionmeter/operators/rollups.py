@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionmeter.operators.grouping import group_sessions, last_member
+from sessionmeter.operators.grouping import group_count, group_sessions, last_member
 from sessionmeter.operators.usage import usage_sums
 from sessionmeter.schema import agent_short
 
@@ -25,13 +25,12 @@ def _rate(hours: Column) -> Column:
     return F.coalesce("calls", F.lit(0)) / F.greatest(hours, F.lit(0.0001))
 
 
-def totals(active: DataFrame, by_group: DataFrame, hours: Column) -> DataFrame:
+def totals(active: DataFrame, hours: Column, gap: int) -> DataFrame:
     """One row; zeros when nothing is active."""
-    n_groups = by_group.agg(F.count(F.lit(1)).alias("n")).scalar()
     row = active.agg(*_measures())
     return row.select(
         "sessions",
-        n_groups.alias("groups"),
+        group_count(active, gap).scalar().alias("groups"),
         F.coalesce("turns", F.lit(0)).alias("turns"),
         F.coalesce("cost", F.lit(0.0)).alias("cost"),
         F.coalesce("calls", F.lit(0)).alias("calls"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionmeter.functions.pricing import PriceBook, with_cost
-from sessionmeter.functions.ranges import Range, bucket_seconds, bucket_start
+from sessionmeter.functions.ranges import Range, bucket_seconds, spanned
 from sessionmeter.operators.usage import is_llm_call
 from sessionmeter.schema import AGENTS, USAGE
 
@@ -18,15 +18,14 @@ def bucket_sums(token_events: DataFrame, active: DataFrame, sessions: DataFrame,
     priced before the shuffle and summed on the map side. Events without one keep their usage in the
     grouping key, with a count, until the session's model is joined; equal ones still merge.
     """
-    idx = F.floor((F.col("ts") - F.col("_start")) / F.col("_width")).cast("int")
+    span = spanned(r, sessions)
     zero = F.lit(0).cast("bigint")
     unnamed = F.col("model") == ""
     events = (
         token_events.where((F.col("ts") >= r.cutoff) & ~F.col("is_user_turn"))
-        .withColumn("_start", bucket_start(r, sessions))
-        .withColumn("_width", bucket_seconds(r, sessions))
-        .where((F.col("ts") >= F.col("_start")) & (F.col("ts") < F.col("_start") + F.col("_width") * r.n_buckets))
-        .withColumn("idx", idx)
+        .withColumn("idx", F.floor((F.col("ts") - span["start"]) / span["width"]))
+        .where((F.col("idx") >= 0) & (F.col("idx") < r.n_buckets))
+        .withColumn("idx", F.col("idx").cast("int"))
     )
     priced = with_cost(events, book, F.col("model"), "cost")
     summed = (
@@ -46,11 +45,12 @@ def bucket_sums(token_events: DataFrame, active: DataFrame, sessions: DataFrame,
 def _grid(df: DataFrame, sessions: DataFrame, r: Range, by_agent: bool) -> DataFrame:
     """Every bucket (of every agent), made from constants."""
     one = df.sparkSession.range(1).select(
-        F.explode(F.sequence(F.lit(0), F.lit(r.n_buckets - 1))).alias("idx"),
-        bucket_start(r, sessions).alias("_start"),
-        bucket_seconds(r, sessions).alias("bucket_seconds"),
+        F.explode(F.sequence(F.lit(0), F.lit(r.n_buckets - 1))).alias("idx"), spanned(r, sessions).alias("_span")
+    )
+    one = one.select(
+        "idx", F.col("_span.width").alias("bucket_seconds"),
+        (F.col("_span.start") + F.col("idx") * F.col("_span.width")).alias("bucket_ts"),
     )
-    one = one.withColumn("bucket_ts", F.col("_start") + F.col("idx") * F.col("bucket_seconds")).drop("_start")
     return one.withColumn("agent", F.explode(F.array(*[F.lit(a) for a in AGENTS]))) if by_agent else one
 
 

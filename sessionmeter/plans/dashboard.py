@@ -27,7 +27,7 @@ def dashboard(
     hours = window_hours(r, kept)
     groups = materialize(rollups.by_group(active, hours, DEFAULT_GAP))
     return {
-        "totals": rollups.totals(active, groups, hours),
+        "totals": rollups.totals(active, hours, DEFAULT_GAP),
         "by_agent": rollups.by_agent(active, hours),
         "by_model": rollups.by_model(active, hours),
         "by_group": rollups.sorted_groups(groups),

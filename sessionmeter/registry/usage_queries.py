@@ -166,10 +166,8 @@ def _agents_by_peak(measure):
 
 def _totals(label):
     def query(spark, sf):
-        active = materialize(_active(spark, sf, label))
-        hours = _hours(spark, sf, label)
-        groups = rollups.by_group(active, hours, grouping.DEFAULT_GAP)
-        return _money(rollups.totals(active, groups, hours), "cost", "window_hours", "calls_per_hour")
+        row = rollups.totals(_active(spark, sf, label), _hours(spark, sf, label), grouping.DEFAULT_GAP)
+        return _money(row, "cost", "window_hours", "calls_per_hour")
 
     return query
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionmeter.operators import claude, grouping
-from sessionmeter.operators.ordered import CHUNK_BITS, carry_last, number_rows, number_rows_any_order
+from sessionmeter.operators.ordered import CHUNK_BITS, carry_last, number_rows, sum_before
 
 STEP = 1 << (CHUNK_BITS - 2)  # four rows per chunk
 
@@ -78,10 +78,13 @@ def test_carry_and_numbers(spark):
     assert all(r.n == r.ord // STEP for r in numbered.collect())
 
 
-def test_numbers_of_one_hot_key_with_ties(spark):
-    df = spark.range(5_000).select(F.lit("k").alias("k"), (F.col("id") % 3).alias("at"), F.col("id"))
-    got = number_rows_any_order(df, ["k"], [F.desc("at"), F.asc("id")], "n").collect()
-    assert [r.id for r in sorted(got, key=lambda r: r.n)] == sorted(range(5_000), key=lambda i: (-(i % 3), i))
+def test_sums_of_one_hot_key_with_ties(spark):
+    df = spark.range(5_000).select(F.lit("k").alias("k"), (F.col("id") % 3).alias("at"), F.col("id"), (F.col("id") % 4).alias("v"))
+    got = {r.id: r.n for r in sum_before(df, ["k"], [F.desc("at"), F.asc("id")], "v", "n").collect()}
+    total = 0
+    for i in sorted(range(5_000), key=lambda i: (-(i % 3), i)):
+        assert got[i] == total
+        total += i % 4
 
 
 def group_loop(rows, gap):
@@ -116,6 +119,8 @@ def test_groups_against_loop(spark, seed):
     for cwd in (None, "/w/a"):
         want = group_loop([(s, a, b) for c, s, a, b in rows if c == cwd], gap)
         assert {frozenset(g) for (c, _), g in got.items() if c == cwd} == want
+    assert grouping.group_count(df, gap).first().groups == len(got)
+    assert grouping.group_count(df.limit(0), gap).first().groups == 0
 
 
 def test_members_of_one_large_group(spark):
