@@ -14,7 +14,9 @@ distances. Threshold and weights are calibrated on distances by dictionaries mad
 training texts; the dictionaries that are kept are then made of all of them.
 
 Training takes at most `MOST_LABELLED` documents of each class, those with the smallest hash of their id among the
-rows outside fold 1. Without labels of both classes the score is the smoothed share of label 1. A null or empty text
+rows outside fold 1, and of these, in this order, whole texts of at most `MOST_BYTES` characters together: a text that
+finds no room is passed over, later ones that fit are taken. The ordinary dictionary is trained on every n-th of its
+windows, about `ORDINARY_WINDOWS`. Without labels of both classes the score is the smoothed share of label 1. A null or empty text
 has no window and gets the score of no hits. Equal texts get equal scores; no other column is read.
 """
 
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from sessionmeter.llm.base import byte_words, fit_logistic, fold, ready, sigmoid, training_sample
 
 MOST_LABELLED = 1500
-# whole training texts stay bounded too: beyond this many bytes of texts a class adds no more documents
+# characters of training text of a class, whole texts only
 MOST_BYTES = 48_000_000
 GRAM = 6
 LEAST_SHARE, MANY_TEXTS, LEAST_RATIO = 0.02, 8, 5.0
@@ -196,13 +198,14 @@ def _chosen(cut: list[list[bytes]], y: np.ndarray, part: np.ndarray, asked: list
     return toxic, plain, leads(toxic, ordinary, asked)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = MOST_LABELLED) -> Detector:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = MOST_LABELLED, most: int = MOST_BYTES) -> Detector:
+    """A detector from at most `limit` labelled documents and `most` characters of text of each class."""
     ready(docs.sparkSession)
     got = training_sample(docs.select("doc_id", "text"), labels, label, limit, per_class=True)
-    room, texts, y = {0: MOST_BYTES, 1: MOST_BYTES}, [], []
+    room, texts, y = {0: most, 1: most}, [], []
     for r in got.withColumn("_rank", F.xxhash64("doc_id")).orderBy("_rank", "doc_id", "text").select("text", "label").toLocalIterator():
-        room[r["label"]] -= len(r["text"])
-        if room[r["label"]] >= 0:
+        if len(r["text"]) <= room[r["label"]]:  # a text too large for the room left is passed over alone
+            room[r["label"]] -= len(r["text"])
             texts.append(r["text"])
             y.append(r["label"])
     return fit(texts, np.array(y, float))

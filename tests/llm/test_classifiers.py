@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from cases import no_documents, odd_documents, prose
+from cases import documents, no_documents, odd_documents, prose
 from sessionmeter.llm import quality_fm, toxicity
 from sessionmeter.llm.base import fold_of, table
 
@@ -97,3 +97,14 @@ def test_few_toxic_texts_are_enough_to_learn_from(spark):
             got = held_out(rows, labels, "toxic")
             assert np.mean([p for _, p, y in got if y == 1]) > 0.3
             assert np.mean([p for _, p, y in got if y == 0]) < 0.02
+
+
+def test_a_text_without_room_shuts_out_no_other(spark):
+    """However long a labelled text is, the shorter ones of its class are learnt from."""
+    texts = {i: f"{prose(i, 60)} {'zorgblat vexquim' if i % 2 else ''} {prose(900 + i, 20)}" for i in range(160)}
+    texts |= {i: prose(i, 30) * 400 for i in range(200, 220)}
+    docs = documents(spark, list(texts.items()))
+    labels = spark.createDataFrame([(i, 1, i % 2 if i < 200 else 1, "x", 1.0) for i in texts if fold_of(i, 3) != 1], LABELS)
+    d = toxicity.train(docs, labels, most=30_000)
+    distance = d.distance()
+    assert d.score(distance, toxicity.windows(texts[1])) > 0.7 > d.score(distance, toxicity.windows(texts[0]))
