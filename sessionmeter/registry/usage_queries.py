@@ -166,7 +166,7 @@ def _agents_by_peak(measure):
 
 def _totals(label):
     def query(spark, sf):
-        row = rollups.totals(_active(spark, sf, label), _hours(spark, sf, label), grouping.DEFAULT_GAP)
+        row = rollups.totals(materialize(_active(spark, sf, label)), _hours(spark, sf, label), grouping.DEFAULT_GAP)
         return _money(row, "cost", "window_hours", "calls_per_hour")
 
     return query
