@@ -1,7 +1,9 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-The tree's states are contexts of up to `DEPTH` words. A context is a candidate if it occurs `LEAST_CONTEXT` times
-in the training texts and its suffix (the context without its oldest word) is a state; it is retained if its
+The tree's states are contexts of any number of words. A context is a candidate if it occurs `LEAST_CONTEXT` times
+in the training texts, its suffix (the context without its oldest word) is a state and its prefix (the one without its
+newest word, from whose followers it is counted) was a candidate. The tree grows by one word at a time until no
+candidate is left, however deep that is. A candidate is retained if its
 next-word distribution passes a divergence test: the log-likelihood it gains on the words that follow it, against the
 distribution of its suffix, is at least `LEAST_GAIN` nats. Distributions are smoothed by absolute discounting:
 
@@ -10,10 +12,11 @@ distribution of its suffix, is at least `LEAST_GAIN` nats. Distributions are smo
 with b(s) what makes it sum to 1, and at the root the add-one unigram P(x) = (c(x) + 1) / (N + V + 1), in which all
 unknown words share one place. A word is scored by the longest suffix of its past that is a state.
 
-Work. Words and contexts are 64-bit hashes. Follower counts are found in two passes for each depth: the first deals
-32-bit prints of all followers to buckets, only to learn which occur twice or more (a bit table of bounded size); the
-second counts those exactly. False positives of bit tables cost work, never a wrong count. In logarithms the score of a
-text is a plain sum over keys: unigrams, states (log b) and followers (what they have above it). Keys of a bounded
+Work. Words and contexts are 64-bit hashes. Each depth reads the texts once to count followers. Up to depth `SIEVED`,
+where almost every position has a candidate context, a pass before it deals 32-bit prints of all followers to buckets,
+only to learn which occur twice or more (a bit table of bounded size). False positives of bit tables cost work, never
+a wrong count. In logarithms the score of a text is a plain sum over keys: unigrams, states (log b) and followers (what
+they have above it); a position asks for a longer context only while the shorter one may be a state. Keys of a bounded
 head of the model are summed where the text is read, all others by a join, so no task holds the model.
 
 Training texts are those outside fold 2 of 7; all of them are counted. The model grows with them. Null and empty
@@ -23,10 +26,11 @@ training text every token is unknown, with N and V zero.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -34,7 +38,7 @@ from pyspark.sql.types import LongType
 from sessionmeter.llm.base import fold, mix, ready, word_hashes
 from sessionmeter.llm.graph import bit_filter, stored, tidy, unstore
 
-DEPTH = 2
+SIEVED = 2  # depths
 LEAST_CONTEXT, LEAST_FOLLOWER, LEAST_GAIN, DISCOUNT = 16, 2, 10.0, 0.75
 CONTEXT_BITS, FOLLOWER_BITS, MODEL_BITS = 24, 27, 28
 BUCKET_TOKENS = 4_000_000
@@ -78,7 +82,7 @@ def _filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     return (part for part in batches if len(part))
 
 
-def _joined(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+def _joined(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The tokens of all texts one after another, and where each text starts."""
     parts = [(t or "").encode("utf-8", "replace") for t in texts]
     words, begins = word_hashes(b"\n".join(parts).lower())
@@ -158,9 +162,9 @@ def follower_bits(texts: DataFrame, depth: int, candidates: bytes, tokens: int)
     return bytes(out)
 
 
-def followers(texts: DataFrame, depth: int, candidates: bytes, twice: bytes) -> DataFrame:
+def followers(texts: DataFrame, depth: int, candidates: bytes, twice: bytes | None) -> DataFrame:
     """(context, suffix, word, n) with n >= LEAST_FOLLOWER, for contexts that may be candidates."""
-    is_candidate, may_repeat = np.frombuffer(candidates, np.uint8), np.frombuffer(twice, np.uint8)
+    is_candidate, may_repeat = np.frombuffer(candidates, np.uint8), np.frombuffer(twice or b"", np.uint8)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -175,7 +179,8 @@ def followers(texts: DataFrame, depth: int, candidates: bytes, twice: bytes) ->
             contexts = contexts_of(tokens, starts, depth)
             context = contexts[-1]
             ok = (context != 0) & has_bit(is_candidate, context, CONTEXT_BITS)
-            ok[ok] = has_bit(may_repeat, gram(context[ok], tokens[ok]), FOLLOWER_BITS)
+            if len(may_repeat):
+                ok[ok] = has_bit(may_repeat, gram(context[ok], tokens[ok]), FOLLOWER_BITS)
             suffix = contexts[-2] if depth > 1 else np.zeros_like(context)
             held.append((context[ok], suffix[ok], tokens[ok]))
             size += int(ok.sum())
@@ -221,8 +226,8 @@ def fitted(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     return states, kept
 
 
-def model(texts: DataFrame) -> tuple[DataFrame, int, int]:
-    """(key, base, known, extra, weight) of every key, in log10; N; V."""
+def model(texts: DataFrame) -> tuple[DataFrame, int, int, int]:
+    """(key, base, known, extra, weight) of every key, in log10; N; V; the words of the longest contexts."""
     words = word_counts(texts)
     done = [words]
     total, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
@@ -232,38 +237,47 @@ def model(texts: DataFrame) -> tuple[DataFrame, int, int]:
     end = int(np.array([END], np.uint64).view(np.int64)[0])
     candidates = words.where((F.col("c") >= LEAST_CONTEXT) & (F.col("word") != end)).select(F.col("word").alias("context"), F.col("c").alias("total"))
     lower = words.select(F.lit(0).cast("long").alias("suffix"), "word", root.alias("lower"))
-    for depth in range(1, DEPTH + 1):
+    depth, before = 0, None
+    while True:
         bits = bit_filter(candidates, top_bits("context", CONTEXT_BITS), CONTEXT_BITS)
-        twice = follower_bits(texts, depth, bits, total)
+        if bits.count(0) == len(bits):
+            break
+        depth += 1
+        twice = follower_bits(texts, depth, bits, total) if depth <= SIEVED else None
         tidy(texts.sparkSession)
         grams = stored(followers(texts, depth, bits, twice).join(candidates, "context"), "followers")
+        if before is not None:
+            unstore(before)
+        before = grams
         tidy(texts.sparkSession)
         states, kept = fitted(grams.join(lower, ["suffix", "word"]))
         tidy(texts.sparkSession)
-        done += [grams, states, kept]
+        done += [states, kept]
         nothing = [F.lit(0.0).alias("base"), F.lit(0).alias("known")]
         parts.append(states.select(state_key("context").alias("key"), *nothing, (F.col("back") / ten).alias("extra"), F.col("total").alias("weight")))
         parts.append(kept.select("key", *nothing, (F.col("above") / ten).alias("extra"), F.col("n").alias("weight")))
-        # a longer context needs its own count and a suffix that is a state; at depth 2 the suffix is its last word
+        # a longer context needs its own count and a suffix that is a state; that of two words is the last one
         longer = grams.where((F.col("n") >= LEAST_CONTEXT) & (F.col("word") != end)).select("context", "suffix", "word", F.col("n").alias("total"))
         newest = F.col("word") if depth == 1 else gram_key("suffix", "word")
         longer = longer.select(gram_key("context", "word").alias("context"), newest.alias("suffix"), "total")
         candidates = longer.join(states.select(F.col("context").alias("suffix")), "suffix", "left_semi").drop("suffix")
         lower = kept.select(F.col("context").alias("suffix"), "word", F.col("own").alias("lower"))
+    if before is not None:
+        done.append(before)
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
     table = stored(every, "model")
     unstore(*done)
     tidy(texts.sparkSession)
-    return table, int(total), int(kinds)
+    return table, int(total), int(kinds), depth
 
 
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     ready(docs.sparkSession)
     held_out = F.coalesce(fold("doc_id", 7) == 2, F.lit(False))
-    table, total, kinds = model(docs.where(~held_out).select(F.col("text").cast("string").alias("text")))
+    table, total, kinds, depth = model(docs.where(~held_out).select(F.col("text").cast("string").alias("text")))
     head = table.orderBy(F.desc("weight"), "key").limit(HEAD).select("key", "base", "known", "extra").toArrow()
     order = np.argsort(head["key"].to_numpy().view(np.uint64))
     keys = head["key"].to_numpy().view(np.uint64)[order]
@@ -272,58 +286,68 @@ def scores(docs: DataFrame) -> DataFrame:
     places = table.select(F.explode(F.array(top_bits("key", MODEL_BITS), F.col("key").bitwiseAND(F.lit((1 << MODEL_BITS) - 1)))).alias("place"))
     bits = np.frombuffer(bit_filter(places, F.col("place"), MODEL_BITS), np.uint8)
     unknown = -float(np.log10(total + kinds + 1))
+    text_type = pa.struct(
+        [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("base", pa.float64()), ("known", pa.int64()), ("extra", pa.float64())]
+    )
 
-    def lookups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in _filled(batches):
-            tokens, starts = _joined(part["text"])
+    def in_model(key: np.ndarray) -> np.ndarray:
+        may = has_bit(bits, key, MODEL_BITS)
+        may[may] = has_bit(bits, key[may] << np.uint64(64 - MODEL_BITS), MODEL_BITS)
+        return may
+
+    def lookups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            many = part.num_rows
+            if not many:
+                continue
+            tokens, starts = _joined(part["text"].to_pylist())
             sizes = np.diff(np.append(starts, len(tokens)))
-            text = np.repeat(np.arange(len(part)), sizes)
-            wanted, owner = [tokens], [text]
-            for context in contexts_of(tokens, starts, DEPTH):
-                ok = context != 0
-                for key in (state(context[ok]), gram(context[ok], tokens[ok])):
-                    wanted.append(key)
-                    owner.append(text[ok])
+            text = np.repeat(np.arange(many), sizes)
+            may = in_model(tokens)
+            wanted, owner = [tokens[may]], [text[may]]
+            at = None
+            for context in contexts_of(tokens, starts, depth):
+                at = np.flatnonzero(context) if at is None else at[context[at] != 0]
+                key = state(context[at])
+                may = in_model(key)  # a longer context is no state where this one is none
+                at = at[may]
+                follower = gram(context[at], tokens[at])
+                kept = in_model(follower)
+                wanted += [key[may], follower[kept]]
+                owner += [text[at], text[at[kept]]]
             key, owner_ = np.concatenate(wanted), np.concatenate(owner)
-            may = has_bit(bits, key, MODEL_BITS)
-            may[may] = has_bit(bits, key[may] << np.uint64(64 - MODEL_BITS), MODEL_BITS)
-            key, owner_ = key[may], owner_[may]
             distinct, which = np.unique(key, return_inverse=True)
-            at = np.minimum(np.searchsorted(keys, distinct), max(0, len(keys) - 1))
-            in_head = keys[at] == distinct if len(keys) else np.zeros(len(distinct), bool)
+            place = np.minimum(np.searchsorted(keys, distinct), max(0, len(keys) - 1))
+            in_head = keys[place] == distinct if len(keys) else np.zeros(len(distinct), bool)
             hit = in_head[which]
-            place = at[which[hit]]
-            n = len(part)
-            sums = [np.bincount(owner_[hit], weights=v[place], minlength=n) for v in (base, known, extra)]
-            yield pd.DataFrame(
-                {
-                    "row": part["row"], "doc_id": part["doc_id"], "held_out": part["held_out"],
-                    # a key of its own that is none of the model's, so that these rows spread
-                    "key": _long(mix(part["row"].to_numpy(np.int64).view(np.uint64) ^ np.uint64(0x123456789))),
-                    "n": np.zeros(n, np.int64), "n_tokens": sizes, "base": sums[0], "known": sums[1].astype(np.int64), "extra": sums[2],
-                }
+            found = place[which[hit]]
+            # without any hit bincount gives whole numbers
+            sums = [np.bincount(owner_[hit], weights=v[found], minlength=many).astype(np.float64) for v in (base, known, extra)]
+            row = part["row"].to_numpy()
+            whole = pa.StructArray.from_arrays(
+                [part["doc_id"], part["held_out"], pa.array(sizes), pa.array(sums[0]), pa.array(sums[1].astype(np.int64)), pa.array(sums[2])], fields=text_type.fields
+            )
+            # a key of its own that is none of the model's, so that these rows spread
+            own = _long(mix(row.view(np.uint64) ^ np.uint64(0x123456789)))
+            yield pa.RecordBatch.from_arrays([part["row"], pa.array(own), pa.array(np.zeros(many, np.int32)), whole], names=["row", "key", "n", "whole"])
+            pair, times = np.unique(which[~hit].astype(np.int64) * many + owner_[~hit], return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row[pair % many]), pa.array(_long(distinct[pair // many])), pa.array(times.astype(np.int32)), pa.nulls(len(pair), text_type)],
+                names=["row", "key", "n", "whole"],
             )
-            pair, times = np.unique(which[~hit].astype(np.int64) * n + owner_[~hit], return_counts=True)
-            yield pd.DataFrame(
-                {
-                    "row": part["row"].to_numpy()[pair % n], "doc_id": None, "held_out": None, "key": _long(distinct[pair // n]), "n": times,
-                    "n_tokens": 0, "base": 0.0, "known": 0, "extra": 0.0,
-                }
-            ).astype({"doc_id": "Int64", "held_out": "boolean"})
 
     source = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text")
     )
-    rows = source.mapInPandas(
-        lookups, "row long, doc_id long, held_out boolean, key long, n long, n_tokens long, base double, known long, extra double"
-    )
+    whole_type = "struct<doc_id: long, held_out: boolean, n_tokens: long, base: double, known: long, extra: double>"
+    rows = source.mapInArrow(lookups, f"row long, key long, n int, whole {whole_type}").select("row", "key", "n", "whole.*")
     values = table.select("key", F.col("base").alias("_b"), F.col("known").alias("_k"), F.col("extra").alias("_e"))
     n = F.col("n")
     summed = rows.join(values, "key", "left").groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.col("known") + F.coalesce(n * F.col("_k"), F.lit(0))).cast("long").alias("n_known"),
-        F.sum(F.col("base") + F.coalesce(n * F.col("_b"), F.lit(0.0))).alias("base"),
-        F.sum(F.col("extra") + F.coalesce(n * F.col("_e"), F.lit(0.0))).alias("extra"),
+        F.sum(F.coalesce("known", n * F.col("_k"), F.lit(0))).cast("long").alias("n_known"),
+        F.sum(F.coalesce("base", n * F.col("_b"), F.lit(0.0))).alias("base"),
+        F.sum(F.coalesce("extra", n * F.col("_e"), F.lit(0.0))).alias("extra"),
     )
     base_score = F.col("base") + (F.col("n_tokens") - F.col("n_known")) * F.lit(unknown)
     return summed.select(

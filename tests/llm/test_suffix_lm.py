@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -10,8 +11,8 @@ from sessionmeter.llm import suffix_lm
 from sessionmeter.llm.base import fold_of, table
 
 
-def brute(texts: dict) -> dict:
-    """doc_id -> (n_tokens, n_known, N, base_score, score), by the formulas of the operator's docstring."""
+def brute(texts: dict) -> tuple[dict, int]:
+    """doc_id -> (n_tokens, n_known, N, base_score, score), and the words of the longest state, by the formulas of the operator's docstring."""
     cut = {d: (t or "").encode().lower().split() + [None] for d, t in texts.items()}
     train = [t for d, t in cut.items() if fold_of(d, 7) != 2]
     c = Counter(w for t in train for w in t)
@@ -20,13 +21,6 @@ def brute(texts: dict) -> dict:
     def root(w):
         return math.log((c[w] + 1) / (total + kinds + 1))
 
-    after, after2 = defaultdict(Counter), defaultdict(Counter)
-    for t in train:
-        for a, b in zip(t, t[1:]):
-            after[a][b] += 1
-        for a, b, x in zip(t, t[1:], t[2:]):
-            after2[a, b][x] += 1
-
     def fitted(count, follow, lower):
         kept = {x: n for x, n in follow.items() if n >= 2}
         if not kept:
@@ -36,26 +30,44 @@ def brute(texts: dict) -> dict:
         gain = sum(n * (own[x] - lower(x)) for x, n in kept.items()) + (count - sum(kept.values())) * math.log(back)
         return (math.log(back), own) if gain >= suffix_lm.LEAST_GAIN else None
 
-    one = {w: f for w, follow in after.items() if c[w] >= 16 and (f := fitted(c[w], follow, root))}
-
-    def first(w, x):
-        return root(x) if w not in one else one[w][1].get(x, one[w][0] + root(x))
-
-    two = {
-        (a, b): f for (a, b), follow in after2.items()
-        if after[a][b] >= 16 and b in one and (f := fitted(after[a][b], follow, lambda x: first(b, x)))
-    }
+    tree: dict = {}  # context -> (log back, own), of any depth
+
+    def ln(context, x):
+        if not context:
+            return root(x)
+        if context not in tree:
+            return ln(context[1:], x)
+        back, own = tree[context]
+        return own[x] if x in own else back + ln(context[1:], x)
+
+    counts, depth, before = c, 0, set()
+    while True:
+        depth += 1
+        follow: dict = defaultdict(Counter)
+        for t in train:
+            for i in range(depth, len(t)):
+                follow[tuple(t[i - depth : i])][t[i]] += 1
+        found, candidates = {}, set()
+        for s, f in follow.items():
+            count = counts[s[0]] if depth == 1 else counts[s[:-1]][s[-1]]
+            if count >= 16 and (depth == 1 or s[1:] in tree and s[:-1] in before):
+                candidates.add(s)
+                if got := fitted(count, f, lambda x: ln(s[1:], x)):
+                    found[s] = got
+        if not found:
+            break
+        tree |= found
+        counts, before = follow, candidates
     out = {}
     for d, t in cut.items():
         score = 0.0
         for i, x in enumerate(t):
-            state = two.get((t[i - 2], t[i - 1])) if i > 1 else None
-            if state:
-                score += state[1].get(x, state[0] + first(t[i - 1], x))
-            else:
-                score += first(t[i - 1], x) if i else root(x)
+            k = 0
+            while k < i and tuple(t[i - k - 1 : i]) in tree:
+                k += 1
+            score += ln(tuple(t[i - k : i]), x)
         out[d] = (len(t), sum(c[x] > 0 for x in t), total, sum(map(root, t)) / math.log(10), score / math.log(10))
-    return out
+    return out, max(map(len, tree), default=0)
 
 
 @pytest.fixture(scope="module")
@@ -65,7 +77,7 @@ def texts(spark):
 
 def test_whole_table(spark, texts, monkeypatch):
     monkeypatch.setattr(suffix_lm, "HEAD", 2000)  # so that most keys take the join
-    want = brute(texts)
+    want, _ = brute(texts)
     got = suffix_lm.scores(table(spark, "/root/testdata/sf0.01", "documents")).collect()
     assert len(got) == len(want)
     gain = 0.0
@@ -77,6 +89,22 @@ def test_whole_table(spark, texts, monkeypatch):
     assert gain > 0  # unseen texts are likelier under the tree than under the unigrams
 
 
+def test_deep_contexts(spark):
+    """The next word is ruled by the last one, two, three, four or five, by chance: every depth has something to add."""
+    rng = random.Random(5)
+    rule: dict = {}
+    texts = {}
+    for i in range(150):
+        t = ["a"] * 5
+        for _ in range(120):
+            t.append(rule.setdefault(tuple(t[-rng.choice([1, 2, 3, 4, 4, 5, 5, 5]) :]), rng.choice("abcd")))
+        texts[i] = " ".join(t)
+    want, longest = brute(texts)
+    assert longest >= 4
+    for r in suffix_lm.scores(documents(spark, list(texts.items()))).collect():
+        assert math.isclose(r.score, want[r.doc_id][4], rel_tol=1e-9)
+
+
 def test_distributions_sum_to_one(spark):
     texts = {i: "a b a c a b d a b" * 3 for i in range(40)}
     docs = documents(spark, [*texts.items(), *[(1000 + k, w) for k, w in enumerate(["a a", "a b", "a c", "a d", "a zz", "a"])]])
