@@ -1,12 +1,15 @@
-"""Licences of files: sparse TF-IDF cosine of their lines to templates, then inheritance from directories.
+"""Licences of files: sparse TF-IDF cosine of their text, blocks and lines to templates, then inheritance from directories.
 
 Terms are runs of a-z and 0-9 in lower case, joined by single dots. The inverse document frequency ln((1 + N) / (1 + df)) + 1
-counts all files; a term outside all templates weighs as one that no file has. The licence of a file is the template
-with the largest cosine to one of its lines, if that is at least `least_cosine` (ties: the first line, then the
-template's name). Only lines with an anchor are compared: the anchors are the rarest terms of the templates, as many as
-it takes that no line without one can reach the least cosine.
-
-A file is a licence file of its directory if that line holds at least `least_share` of its terms. A file without a
+counts all files; a term outside all templates weighs as one that no file has. Templates are notices of one line, headers
+and titles of several lines, and whole texts of licences. What is compared with them are a file's units: its lines, its
+blocks (between blank lines) and its whole text. The licence of a file is that of the template with the largest cosine to a
+unit, if that is at least `least_cosine` (ties: lines in their order, then blocks, then the text, then the licence's name).
+Only units with an anchor are compared: the anchors are the rarest terms of the templates, as many as it takes that no
+unit without one can reach the least cosine.
+
+A file is a licence file of its directory if a unit with its licence holds at least `least_share` of its terms: a complete
+licence does by its whole text, a short file by its notice, a long one with a header does not. A file without a
 licence of its own takes that of the nearest directory above it (or its own) that has a licence file; of several, the
 one with the largest cosine, then the first name.
 
@@ -23,8 +26,10 @@ from pyspark.sql import functions as F
 
 from sessionmeter.llm.base import ready
 from sessionmeter.llm.graph import stored
+from sessionmeter.llm.licence_texts import TEXTS
 
 TERM = "[a-z0-9]+(?:\\.[a-z0-9]+)*"
+BLANK = "\n[ \t\r]*\n"
 LEAST_COSINE, LEAST_SHARE = 0.6, 0.1
 SALTS = 8
 
@@ -49,14 +54,14 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def template_terms(templates: list[tuple[str, str]]) -> list[tuple[str, str, int]]:
-    """(licence, term, times) of the templates."""
+def template_terms(templates: list[tuple[str, str]]) -> list[tuple[int, str, int]]:
+    """(template's number, term, times) of the templates."""
     import re
 
     out = []
-    for name, text in templates:
+    for k, (_, text) in enumerate(templates):
         found = re.findall(TERM, text.lower())
-        out += [(name, t, found.count(t)) for t in dict.fromkeys(found)]
+        out += [(k, t, found.count(t)) for t in dict.fromkeys(found)]
     return out
 
 
@@ -64,19 +69,31 @@ def idf(count: int, files: int) -> float:
     return log((1 + files) / (1 + count)) + 1
 
 
-def anchors(rows: list[tuple[str, str, int]], weight: dict[str, float], least_cosine: float) -> list[str]:
-    """Terms of which any line that reaches the least cosine holds one."""
+def anchors(rows: list[tuple[int, str, int]], weight: dict[str, float], least_cosine: float) -> list[str]:
+    """Terms of which any unit that reaches the least cosine holds one: the cosine is at most the norm of what is shared."""
     chosen: set[str] = set()
-    for name in sorted({r[0] for r in rows}):
-        parts = sorted(((n * weight[t], t) for m, t, n in rows if m == name), reverse=True)
-        whole = sqrt(sum(w * w for w, _ in parts))
-        while parts and sqrt(sum(w * w for w, t in parts if t not in chosen)) >= least_cosine * whole * (1 - 1e-9):
-            chosen.add(next(t for _, t in parts if t not in chosen))
+    for template in sorted({r[0] for r in rows}):
+        parts = sorted(((weight[t], t, (n * weight[t]) ** 2) for k, t, n in rows if k == template), reverse=True)
+        most = least_cosine**2 * sum(w for _, _, w in parts) * (1 - 1e-9)
+        left = sum(w for _, t, w in parts if t not in chosen)
+        for _, t, w in parts:
+            if left < most:
+                break
+            if t not in chosen:
+                chosen.add(t)
+                left -= w
     return sorted(chosen)
 
 
+def units(text: Column) -> Column:
+    """Lines, blocks and the whole text; what would only repeat another unit is left out."""
+    lines, blocks = F.split(text, "\n"), F.split(text, BLANK)
+    more = F.when(F.size(blocks) > 1, F.concat(blocks, F.array(text))).otherwise(F.array(text))
+    return F.when(F.size(lines) > 1, F.concat(lines, more)).otherwise(lines)
+
+
 def own_licences(
-    files: DataFrame, keep: tuple[str, ...] = (), templates: list[tuple[str, str]] = TEMPLATES,
+    files: DataFrame, keep: tuple[str, ...] = (), templates: list[tuple[str, str]] = TEMPLATES + TEXTS,
     least_cosine: float = LEAST_COSINE, least_share: float = LEAST_SHARE,
 ) -> DataFrame:
     """For each file (path, text) its own_licence, cosine, is_licence_file, all null without one; `keep`: further columns."""
@@ -90,31 +107,30 @@ def own_licences(
     total = files.count()
     weight = {t: idf(counts.get(t, 0), total) for t in vocabulary}
     spark = files.sparkSession
-    norm = {name: sqrt(sum((n * weight[t]) ** 2 for m, t, n in rows if m == name)) for name, _ in templates}
-    # tables of the templates: as long as the list that was given
-    weights = F.broadcast(spark.createDataFrame([(t, w) for t, w in weight.items()], "term string, idf double"))
-    vectors = F.broadcast(spark.createDataFrame([(m, t, n * weight[t] / norm[m]) for m, t, n in rows], "licence string, term string, unit double"))
-    anchor = anchors(rows, weight, least_cosine)
-    held = F.lower(F.col("text"))
-    may = F.lit(False)
-    for a in anchor:
-        may = may | held.contains(a)
-    lines = (
-        files.where(may).select("row", F.size(terms(F.col("text"))).alias("size"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    norm: dict[int, float] = {}
+    for k, t, n in rows:
+        norm[k] = norm.get(k, 0.0) + (n * weight[t]) ** 2
+    weights = spark.createDataFrame([(t, w) for t, w in weight.items()], "term string, idf double")
+    vectors = spark.createDataFrame([(k, templates[k][0], t, n * weight[t] / sqrt(norm[k])) for k, t, n in rows], "template int, licence string, term string, unit double")
+    anchor = F.array(*map(F.lit, anchors(rows, weight, least_cosine)))
+    own = (
+        files.withColumn("terms", terms(F.col("text"))).where(F.arrays_overlap("terms", anchor))
+        .select("row", F.size("terms").alias("size"), F.posexplode(units(F.col("text"))).alias("line", "text"))
         .select("row", "size", "line", terms(F.col("text")).alias("terms"))
-        .where(F.arrays_overlap("terms", F.array(*map(F.lit, anchor))))
+        .where(F.arrays_overlap("terms", anchor))
         .dropDuplicates(["row", "line"])
     )
-    counted = lines.select("row", "size", "line", F.explode("terms").alias("term")).groupBy("row", "size", "line", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = own.select("row", "size", "line", F.explode("terms").alias("term")).groupBy("row", "size", "line", "term").agg(F.count(F.lit(1)).alias("tf"))
     weighed = counted.join(weights, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(idf(0, total))))
     norms = weighed.groupBy("row", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("held"), F.max("size").alias("size"))
-    dots = weighed.join(vectors, "term").groupBy("row", "line", "licence").agg(F.sum(F.col("w") * F.col("unit")).alias("dot"))
+    dots = weighed.join(vectors, "term").groupBy("row", "line", "template", "licence").agg(F.sum(F.col("w") * F.col("unit")).alias("dot"))
     cosine = F.round(F.col("dot") / F.col("norm"), 6)
     best = (
-        dots.join(norms, ["row", "line"]).select("row", "line", "licence", cosine.alias("cosine"), (F.col("held") >= least_share * F.col("size")).alias("is_licence_file"))
+        dots.join(norms, ["row", "line"]).select("row", "line", "licence", cosine.alias("cosine"), (F.col("held") >= least_share * F.col("size")).alias("large"))
         .where(F.col("cosine") >= least_cosine)
-        .groupBy("row").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "line", "licence", "is_licence_file")).alias("b"))
-        .select("row", F.col("b.licence").alias("own_licence"), (-F.col("b.c")).alias("cosine"), F.col("b.is_licence_file").alias("is_licence_file"))
+        .groupBy("row", "licence").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "line")).alias("b"), F.max("large").alias("large"))
+        .groupBy("row").agg(F.min(F.struct("b", "licence", "large")).alias("b"))
+        .select("row", F.col("b.licence").alias("own_licence"), (-F.col("b.b.c")).alias("cosine"), F.col("b.large").alias("is_licence_file"))
     )
     return files.drop("text").join(best, "row", "left")
 

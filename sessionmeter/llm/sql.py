@@ -21,27 +21,27 @@ FROM r
 
 _TERM = "[a-z0-9]+(?:\\.[a-z0-9]+)*"
 
-_TEMPLATES = ", ".join(f"('{name}', '{text}')" for name, text in license_scan.TEMPLATES)
+_TEMPLATES = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(license_scan.TEMPLATES + license_scan.TEXTS))
 
 OP6 = f"""
 WITH f AS (SELECT row_number() OVER () AS r, doc_id,
     source || '/' || (doc_id // 100)::VARCHAR || '/' || doc_id::VARCHAR || '.txt' AS path, coalesce(text, '') AS text FROM documents),
 n AS (SELECT count(*) AS n FROM f),
-tt AS (SELECT name, t, count(*) AS tf FROM (SELECT name, unnest(regexp_extract_all(lower(txt), '{_TERM}')) AS t
-    FROM (VALUES {_TEMPLATES}) v(name, txt)) GROUP BY ALL),
+tt AS (SELECT k, name, t, count(*) AS tf FROM (SELECT k, name, unnest(regexp_extract_all(lower(txt), '{_TERM}')) AS t
+    FROM (VALUES {_TEMPLATES}) v(k, name, txt)) GROUP BY ALL),
 df AS (SELECT t, count(*) AS c FROM (SELECT r, unnest(list_distinct(regexp_extract_all(lower(text), '{_TERM}'))) AS t FROM f) GROUP BY t),
 voc AS (SELECT DISTINCT t, ln((1 + (SELECT n FROM n)) / (1 + coalesce(c, 0))) + 1 AS idf FROM tt LEFT JOIN df USING (t)),
-tv AS (SELECT name, t, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY name)) AS unit FROM tt JOIN voc USING (t)),
-l0 AS (SELECT r, len(regexp_extract_all(lower(text), '{_TERM}')) AS size, unnest(string_split(text, chr(10))) AS line,
-    generate_subscripts(string_split(text, chr(10)), 1) AS k FROM f WHERE lower(text) LIKE '%licen%' OR lower(text) LIKE '%domain%'
-    OR lower(text) LIKE '%mozilla%' OR lower(text) LIKE '%bsd%' OR lower(text) LIKE '%cc%'),
+tv AS (SELECT tt.k AS template, name, t, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY tt.k)) AS unit FROM tt JOIN voc USING (t)),
+u AS (SELECT r, len(regexp_extract_all(lower(text), '{_TERM}')) AS size,
+    list_concat(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\\n[ \\t\\r]*\\n')), [text]) AS parts FROM f),
+l0 AS (SELECT r, size, unnest(parts) AS line, generate_subscripts(parts, 1) AS k FROM u),
 l1 AS (SELECT r, size, k, t, count(*) AS tf FROM (SELECT r, size, k, unnest(regexp_extract_all(lower(line), '{_TERM}')) AS t FROM l0) GROUP BY ALL),
 l2 AS (SELECT l1.*, tf * coalesce(idf, ln(1 + (SELECT n FROM n)) + 1) AS w FROM l1 LEFT JOIN voc USING (t)),
 norms AS (SELECT r, k, sqrt(sum(w * w)) AS norm, sum(tf) AS held, max(size) AS size FROM l2 GROUP BY r, k),
-dots AS (SELECT r, k, name, sum(w * unit) AS dot FROM l2 JOIN tv USING (t) GROUP BY r, k, name),
-best AS (SELECT r, name, round(dot / norm, 6) AS cosine, held >= {license_scan.LEAST_SHARE} * size AS is_file,
-    row_number() OVER (PARTITION BY r ORDER BY round(dot / norm, 6) DESC, k, name) AS place
+dots AS (SELECT r, k, template, name, sum(w * unit) AS dot FROM l2 JOIN tv USING (t) GROUP BY r, k, template, name),
+reach AS (SELECT r, name, k, round(dot / norm, 6) AS cosine, max(held >= {license_scan.LEAST_SHARE} * size) OVER (PARTITION BY r, name) AS is_file
     FROM dots JOIN norms USING (r, k) WHERE round(dot / norm, 6) >= {license_scan.LEAST_COSINE}),
+best AS (SELECT r, name, cosine, is_file, row_number() OVER (PARTITION BY r ORDER BY cosine DESC, k, name) AS place FROM reach),
 own AS (SELECT f.r, doc_id, path, name AS own_licence, cosine, is_file FROM f LEFT JOIN (SELECT * FROM best WHERE place = 1) USING (r)),
 given AS (SELECT regexp_replace(path, '/[^/]*$', '') AS directory, own_licence,
     row_number() OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '') ORDER BY cosine DESC, own_licence) AS place FROM own WHERE is_file),

@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import pathlib
+
+import pytest
+
 from cases import no_documents, odd_documents, prose
 from sessionmeter.llm import license_scan
 
@@ -43,6 +47,39 @@ def test_anchors_lose_no_line(spark):
     assert sum(x[1] is not None for x in anchored) >= len(license_scan.TEMPLATES)
 
 
+def wrapped(text, width=60):
+    import textwrap
+
+    return "\n".join(textwrap.wrap(text, width))
+
+
+def test_complete_licences_and_headers(spark):
+    texts = [(n, t) for n, t in license_scan.TEXTS if len(t) > 600]
+    rows, want = [(f"p{i}.txt", prose(i, 60)) for i in range(200)], {f"p{i}.txt": None for i in range(200)}
+    for i, (name, text) in enumerate(texts):
+        # a long licence is more than its template: other words of its own come with it, and no title
+        rows += [(f"d{i}/COPYING", "Copyright 2020 Some Body\n\n" + wrapped(text) + "\n\n" + wrapped(prose(i, 25))), (f"d{i}/x.txt", prose(i, 50))]
+        want |= {f"d{i}/COPYING": name, f"d{i}/x.txt": name}
+    gpl = next(t for n, t in license_scan.TEXTS if n == "GPL-3.0" and t.startswith("This program"))
+    header = "\n".join("# " + x for x in wrapped(gpl, 50).split("\n"))
+    rows += [("h/a.py", header + "\n\n" + prose(7, 900)), ("h/b.py", prose(8, 50)), ("m/a.py", "x\n" + prose(9, 40) + "\n\n" + wrapped(texts[-1][1], 30))]
+    want |= {"h/a.py": "GPL-3.0", "h/b.py": None, "m/a.py": "MPL-2.0"}
+    got = {r.path: r.licence for r in license_scan.scan(files(spark, rows)).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("file, name", [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("MPL-2.0", "MPL-2.0"), ("LGPL-3", "LGPL-3.0"), ("BSD", "BSD-3-Clause")])
+def test_full_texts(spark, file, name):
+    path = pathlib.Path("/usr/share/common-licenses") / file
+    if not path.exists():
+        pytest.skip("no licence texts on this machine")
+    full = path.read_text(errors="replace")
+    title_off = full.split("\n\n", 1)[1]
+    rows = [("a/LICENSE", full), ("a/b/x.txt", prose(1, 80)), ("c/LICENSE", title_off), ("c/y.txt", prose(2, 80)), ("z.txt", prose(3, 80))]
+    got = {r.path: r.licence for r in license_scan.scan(files(spark, rows)).collect()}
+    assert got == {"a/LICENSE": name, "a/b/x.txt": name, "c/LICENSE": name, "c/y.txt": name, "z.txt": None}
+
+
 def test_odd(spark):
     docs = odd_documents(spark)
     assert license_scan.document_licences(docs).count() == docs.count()
