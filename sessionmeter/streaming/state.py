@@ -4,6 +4,9 @@ Lines of a file may come in any number of micro-batches, as long as a later one
 remembered of a file is one row: the call that is still open, or the model in force. Of a directory it is the list of
 its session groups, which lie more than a gap apart and are therefore few, however many sessions there are.
 
+State is kept by bucket: all files or directories of one of `BUCKETS` buckets are one row of it, which is read and
+written once per micro-batch. A call of Python per file, with its own messages to the state store, costs milliseconds.
+
 State is kept in RocksDB below the checkpoint folder, so a lost executor costs its task. A stream that runs all the
 time may drop entries not touched for `keep_seconds`; what they stand for has been given out before. A stream that ends
 when it has taken all there is must not: with a time to live Spark never stops asking for another micro-batch.
@@ -12,10 +15,11 @@ when it has taken all there is must not: with a time to live Spark never stops a
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -29,6 +33,8 @@ EVENT_FIELDS = f"agent string, path string, session_id string, ord bigint, ts bi
 # `call` is the first line of the call and names it; a call that is not `done` is given out again when it goes on
 CALL_FIELDS = f"{EVENT_FIELDS}, call bigint, done boolean"
 NAMES = [f.split()[0] for f in CALL_FIELDS.split(", ")]
+# fixed for the life of a checkpoint; a million files are a thousand entries in each
+BUCKETS = 1024
 
 
 def with_state_store(spark: SparkSession) -> SparkSession:
@@ -49,6 +55,42 @@ def _time_mode(keep_seconds: int | None) -> str:
     return "None" if keep_seconds is None else "ProcessingTime"
 
 
+def _bucket(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("bucket")
+
+
+def _integers(column: pd.Series) -> list[int | None]:
+    """Pandas turns whole numbers into floats where one is missing."""
+    return [int(v) if v == v and v is not None else None for v in column.tolist()]
+
+
+class Remembered:
+    """The rows a bucket remembers, as one value of parallel arrays; with a time to live each has its own age."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, fields: str, ttl: int | None = None):
+        columns = [f.split(" ", 1) for f in f"{fields}, touched bigint".split(", ")]
+        self._state = handle.getValueState(name, ", ".join(f"{n} array<{t}>" for n, t in columns), ttl)
+        self._ttl = ttl
+
+    def rows(self, timer_values) -> dict[tuple, int]:
+        """Rows with the time (ms) they were last touched, 0 without a time to live."""
+        value = self._state.get()
+        found = {} if value is None else {tuple(row[:-1]): row[-1] for row in zip(*value)}
+        if self._ttl is None:
+            return found
+        oldest = self.now(timer_values) - self._ttl
+        return {row: touched for row, touched in found.items() if touched >= oldest}
+
+    def now(self, timer_values) -> int:
+        return 0 if self._ttl is None else timer_values.getCurrentProcessingTimeInMs()
+
+    def keep(self, rows: dict[tuple, int]) -> None:
+        if rows:
+            self._state.update(tuple(map(list, zip(*[(*row, touched) for row, touched in rows.items()]))))
+        else:
+            self._state.clear()
+
+
 class Calls:
     """The merge of streamed lines as a machine that takes one line after the other."""
 
@@ -56,7 +98,7 @@ class Calls:
         self._agent, self._path, self.open, self.out = agent, path, open_call, []
 
     def take(self, session_id: str, ord_: int, kind: str, ts: int, model: str, mid: str, usage: tuple) -> None:
-        has_output = usage[1] > 0
+        has_output = usage[1] is not None and usage[1] > 0
         if kind == "assistant" and mid and self.open is not None and self.open[1] == mid:
             if has_output:
                 self.open = (session_id, mid, self.open[2], ord_, ts, model or self.open[5], *usage)
@@ -70,7 +112,7 @@ class Calls:
     def _close(self, done: bool) -> None:
         if self.open is not None:
             session_id, _, call, ord_, ts, model, *usage = self.open
-            if sum(usage[:-1]) > 0:
+            if None not in usage[:-1] and sum(usage[:-1]) > 0:
                 self.out.append((self._agent, self._path, session_id, ord_, ts, False, model, *usage, call, done))
         if done:
             self.open = None
@@ -86,21 +128,22 @@ class OpenCalls(StatefulProcessor):
         self._agent, self._ttl = agent, _milliseconds(keep_seconds)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = f"session_id string, mid string, call bigint, ord bigint, ts bigint, model string, {USAGE_FIELDS}"
-        self._open = handle.getValueState("open", fields, self._ttl)
+        fields = f"path string, session_id string, mid string, call bigint, ord bigint, ts bigint, model string, {USAGE_FIELDS}"
+        self._open = Remembered(handle, "open", fields, self._ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         part = pd.concat(list(rows)).sort_values("ord", kind="stable")
-        before = self._open.get() if self._open.exists() else None
-        calls = Calls(self._agent, key[0], before)
-        usage = zip(*[part[c].tolist() for c in USAGE])
-        for row in zip(*[part[c].tolist() for c in ("session_id", "ord", "kind", "ts", "model", "mid")], usage):
-            calls.take(*row)
-        out = calls.so_far()
-        if calls.open is not None:
-            self._open.update(calls.open)
-        elif before is not None:
-            self._open.clear()
+        before, now = self._open.rows(timerValues), self._open.now(timerValues)
+        open_calls = {row[0]: row[1:] for row in before}
+        files: dict[str, Calls] = {}
+        usage = zip(*[_integers(part[c]) for c in USAGE])
+        for path, *row in zip(*[part[c].tolist() for c in ("path", "session_id", "ord", "kind", "ts", "model", "mid")], usage):
+            if path not in files:
+                files[path] = Calls(self._agent, path, open_calls.get(path))
+            files[path].take(*row)
+        out = [event for calls in files.values() for event in calls.so_far()]
+        kept = {row: touched for row, touched in before.items() if row[0] not in files}
+        self._open.keep(kept | {(path, *calls.open): now for path, calls in files.items() if calls.open is not None})
         if out:
             yield pd.DataFrame(out, columns=NAMES)
 
@@ -116,17 +159,22 @@ class CarriedModel(StatefulProcessor):
         self._ttl = _milliseconds(keep_seconds)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._model = handle.getValueState("model", "model string", self._ttl)
+        self._model = Remembered(handle, "model", "path string, model string", self._ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        part = pd.concat(list(rows)).sort_values("ord", kind="stable")
-        before = self._model.get()[0] if self._model.exists() else None
-        carried = part["set_model"].astype(object).ffill()
-        part["carried"] = carried.where(carried.notna(), before)
-        last = part["carried"].iloc[-1]
-        if last is not None:
-            # also when unchanged: that renews its time to live
-            self._model.update((last,))
+        part = pd.concat(list(rows), ignore_index=True).sort_values("ord", kind="stable")
+        before, now = self._model.rows(timerValues), self._model.now(timerValues)
+        models = {path: model for path, model in before}
+        carried = []
+        for path, model in zip(part["path"].tolist(), part["set_model"].tolist()):
+            if isinstance(model, str):
+                models[path] = model
+            carried.append(models.get(path))
+        part["carried"] = pd.Series(carried, dtype=object, index=part.index)
+        # also when unchanged: that renews its time to live
+        here = set(part["path"].tolist())
+        kept = {row: touched for row, touched in before.items() if row[0] not in here}
+        self._model.keep(kept | {(path, models[path]): now for path in here if path in models})
         yield part[[f.split()[0] for f in ROLE_FIELDS.split(", ")]]
 
     def close(self) -> None:
@@ -137,8 +185,8 @@ def merged_calls(rows: DataFrame, agent: str, keep_seconds: int | None = None) -
     """Streamed `rows` as `claude.merge_streamed` takes them, merged; with `call` and `done`."""
     with_state_store(rows.sparkSession)
     missing = {c: F.lit(0).cast("bigint") for c in USAGE if c not in rows.columns}
-    kept = rows.withColumns(missing).select("path", "session_id", "ord", "kind", "ts", "model", "mid", *USAGE)
-    return kept.groupBy("path").transformWithStateInPandas(OpenCalls(agent, keep_seconds), CALL_FIELDS, "Update", _time_mode(keep_seconds))
+    kept = rows.withColumns(missing).select("path", "session_id", "ord", "kind", "ts", "model", "mid", *USAGE, _bucket("path"))
+    return kept.groupBy("bucket").transformWithStateInPandas(OpenCalls(agent, keep_seconds), CALL_FIELDS, "Update", _time_mode(keep_seconds))
 
 
 def token_events(lines: DataFrame, agent: str, keep_seconds: int | None = None) -> DataFrame:
@@ -147,7 +195,7 @@ def token_events(lines: DataFrame, agent: str, keep_seconds: int | None = None)
         return merged_calls(claude.call_rows(lines), agent, keep_seconds)
     if agent == codex.AGENT:
         with_state_store(lines.sparkSession)
-        carried = codex.role_rows(lines).groupBy("path").transformWithStateInPandas(
+        carried = codex.role_rows(lines).withColumn("bucket", _bucket("path")).groupBy("bucket").transformWithStateInPandas(
             CarriedModel(keep_seconds), ROLE_FIELDS, "Update", _time_mode(keep_seconds)
         )
         events = codex.events_with_model(carried)
@@ -207,17 +255,21 @@ class Groups(StatefulProcessor):
         self._gap = gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._groups = handle.getValueState("groups", "start array<bigint>, end array<bigint>, n array<bigint>")
+        self._groups = Remembered(handle, "groups", "agent string, dir string, start bigint, end bigint, n bigint, nth bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        parts: list[Part] = list(zip(*self._groups.get())) if self._groups.exists() else []
+        known, fresh = defaultdict(list), defaultdict(list)
+        for agent, folder, start, end, n, _ in self._groups.rows(timerValues):
+            known[agent, folder].append((start, end, n))
         for part in rows:
-            parts = merge_parts([*parts, *zip(part["start"].tolist(), part["end"].tolist(), part["n"].tolist())], self._gap)
-        self._groups.update(tuple([list(map(int, x)) for x in zip(*parts)]))
-        out = pd.DataFrame(parts, columns=["first_started_ts", "latest_active_ts", "n_sessions"])
-        out.insert(0, "agent", key[0])
-        out.insert(1, "dir", key[1])
-        yield out
+            for agent, folder, *span in zip(*[part[c].tolist() for c in ("agent", "dir", "start", "end", "n")]):
+                fresh[agent, folder].append(tuple(span))
+        changed = {folder: merge_parts([*known.get(folder, []), *parts], self._gap) for folder, parts in fresh.items()}
+        # equal groups of a directory, of sessions that reach nowhere, are told apart by their number
+        whole = [(*folder, *part, i) for folder, parts in (known | changed).items() for i, part in enumerate(parts)]
+        self._groups.keep(dict.fromkeys(whole, 0))
+        out = [(*folder, *part) for folder, parts in changed.items() for part in parts]
+        yield pd.DataFrame(out, columns=[f.split()[0] for f in GROUP_FIELDS.split(", ")])
 
     def close(self) -> None:
         pass
@@ -237,11 +289,11 @@ def session_groups(sessions: DataFrame, gap: int = DEFAULT_GAP) -> DataFrame:
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            out = []
-            for (agent, folder), own in part.groupby(["agent", "dir"], sort=False):
-                merged = merge_parts([(s, e, 1) for s, e in zip(own["start"].tolist(), own["end"].tolist())], gap)
-                out += [(agent, folder, *p) for p in merged]
+            spans = defaultdict(list)
+            for agent, folder, start, end in zip(*[part[c].tolist() for c in ("agent", "dir", "start", "end")]):
+                spans[agent, folder].append((start, end, 1))
+            out = [(*folder, *p) for folder, own in spans.items() for p in merge_parts(own, gap)]
             yield pd.DataFrame(out, columns=["agent", "dir", "start", "end", "n"])
 
-    parts = rows.mapInPandas(combine, PART_FIELDS)
-    return parts.groupBy("agent", "dir").transformWithStateInPandas(Groups(gap), GROUP_FIELDS, "Update", "None")
+    parts = rows.mapInPandas(combine, PART_FIELDS).withColumn("bucket", _bucket("agent", "dir"))
+    return parts.groupBy("bucket").transformWithStateInPandas(Groups(gap), GROUP_FIELDS, "Update", "None")

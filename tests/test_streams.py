@@ -193,3 +193,66 @@ def test_state_may_be_dropped_after_a_while(spark, tmp_path):
         query.stop()
     got = state.current_events(spark.read.parquet(f"{tmp_path}/sink"))
     assert rows_of(got.select("ord", "is_user_turn", "output_tokens")) == [(1, False, 2), (2, True, 0)]
+
+
+class Clock:
+    now = 0
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+class Handle:
+    """A value state in memory."""
+
+    value = None
+
+    def getValueState(self, name, schema, ttl):
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+def test_remembered_rows_age_one_by_one():
+    clock, handle = Clock(), Handle()
+    kept = state.Remembered(handle, "x", "path string", 60)
+    kept.keep({("a",): kept.now(clock)})
+    clock.now = 50
+    kept.keep(kept.rows(clock) | {("b",): kept.now(clock)})
+    clock.now = 80
+    assert kept.rows(clock) == {("b",): 50}
+    kept.keep({})
+    assert handle.value is None and kept.rows(clock) == {}
+
+
+def test_state_is_kept_by_bucket(spark, tmp_path):
+    """However many files and directories there are, Python is called once per bucket."""
+    many = state.BUCKETS + 500
+    lines = [(f"p{i}", f"s{i}", k, json.dumps(x)) for i in range(many) for k, x in enumerate([answer("m", 1), answer("m", 2 + i % 3)])]
+    sessions = [("claude", f"s{i}", f"/p/{i}", f"/w/{i}", 10, 20) for i in range(many)]
+    rows_in_state = []
+
+    def counting(start):
+        def run(stream, sink, cp):
+            query = start(stream, sink, cp)
+            query.awaitTermination()
+            rows_in_state.append(max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]))
+            return query
+
+        return run
+
+    calls = Landing(spark, tmp_path / "calls", LINES, counting(started("claude")))
+    calls.add([x for x in lines if x[2] == 0])
+    calls.add([x for x in lines if x[2] == 1])
+    assert rows_of(state.current_events(calls.written())) == rows_of(claude.token_events(spark.createDataFrame(lines, LINES)))
+    groups = Landing(spark, tmp_path / "groups", SESSIONS, counting(windows.stream_groups))
+    groups.add(sessions)
+    assert windows.current_groups(groups.written()).count() == many
+    assert all(0 < n <= state.BUCKETS for n in rows_in_state)
