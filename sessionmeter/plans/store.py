@@ -34,8 +34,6 @@ _TYPES = dict.fromkeys(["ord", "ts", "turns", "last_active_ts", "started_at_ts",
 }
 MANIFEST = "path string, file_mtime bigint, file_size bigint, version int, agent string, part string"
 BUCKETS = 16
-# files whose names the driver holds at a time while their lines are read
-FILES_AT_A_TIME = 20_000
 STALE_SECONDS = 86_400
 
 
@@ -135,7 +133,7 @@ class Store:
         tables = {table: [] for table in COLUMNS}
         for agent in again & DIALECTS.keys():
             paths = todo.where(F.col("agent") == agent)
-            lines = read_files(self.spark, paths.select("path"), f"{work}/{agent}", FILES_AT_A_TIME)
+            lines = read_files(self.spark, paths.select("path", "file_mtime", "file_size"), f"{work}/{agent}")
             for table, make in (("sessions", "sessions"), ("token_events", "token_events"), ("transcript_events", "transcript")):
                 tables[table].append(getattr(DIALECTS[agent], make)(lines))
         if hermes.AGENT in again:

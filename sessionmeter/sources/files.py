@@ -76,7 +76,7 @@ class Place:
         return self._prefix + quoted(path)
 
 
-class _Places:
+class Places:
     """One place per scheme and host, made once in a task."""
 
     def __init__(self):
@@ -93,7 +93,7 @@ def _list_level(layout: Layout, since: str | None):
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        places = _Places()
+        places = Places()
         for part in batches:
             for uri, rel in zip(part["path"], part["rel"]):
                 place, found = places.of(uri), []
@@ -148,7 +148,7 @@ def existing(paths: DataFrame) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in paths.schema)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        places = _Places()
+        places = Places()
         for part in batches:
             infos = [places.of(u).files.get_file_info(places.of(u).path(u)) for u in part["path"]]
             there = [i.type.name == "File" for i in infos]
@@ -165,7 +165,7 @@ def with_text(files: DataFrame, wanted: Column) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        places = _Places()
+        places = Places()
 
         def content(uri: str) -> str:
             place = places.of(uri)
@@ -213,7 +213,7 @@ def first_texts(logs: DataFrame, keys: list[str], field: str) -> DataFrame:
                     return None
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        places, last, found, opened = _Places(), None, None, 0
+        places, last, found, opened = Places(), None, None, 0
         for part in batches:
             done = []
             for row in zip(*[part[k] for k in keys], part["path"]):
@@ -243,7 +243,7 @@ def write_lines(rows: DataFrame, root: str) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place = Place(root)
         base = place.path(root.rstrip("/"))
-        last, out, lines = None, None, 0
+        last, out, lines, folders = None, None, 0, set()
         try:
             for part in batches:
                 done = []
@@ -253,7 +253,10 @@ def write_lines(rows: DataFrame, root: str) -> DataFrame:
                             out.close()
                             done.append((last, lines))
                         path = f"{base}/{rel}"
-                        place.files.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                        folder = path.rsplit("/", 1)[0]
+                        if folder not in folders:
+                            place.files.create_dir(folder, recursive=True)
+                            folders.add(folder)
                         last, out, lines = rel, place.files.open_output_stream(path), 0
                     out.write(value.encode() + b"\n")
                     lines += 1

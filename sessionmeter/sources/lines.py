@@ -10,12 +10,15 @@ set to smaller ones is refused.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from typing import BinaryIO
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionmeter.sources.files import Layout, find_files, unquoted
+from sessionmeter.sources.files import Layout, Places, find_files
 
 LINE_SCHEMA = "path string, file_mtime bigint, file_size bigint, ord bigint, value string"
 LINE_BITS = 33
@@ -132,24 +135,100 @@ def list_files(spark: SparkSession, agent: str, root: str, wide: bool = False, s
     return found.where(F.col("size") > 0).select("path", F.col("mtime").alias("file_mtime"), F.col("size").alias("file_size"))
 
 
-def read_files(spark: SparkSession, paths: DataFrame, work: str, at_a_time: int) -> DataFrame:
-    """The ordered lines of the named files, written below `work`.
+# bytes of a file that one row of work stands for, a multiple of the step of `ord`
+SPLIT_BYTES = 1 << 25
+# bytes and lines handed over at a time, and bytes that are worth one more task
+BATCH_BYTES, BATCH_LINES, TASK_BYTES = 1 << 22, 10_000, 1 << 27
+_LINE_END = re.compile(b"\r\n|\n|\r")
+_MARK = b"\xef\xbb\xbf"
 
-    Spark's reader takes the names from the driver, so they come in bounded portions, one job each. A file that is gone
-    by then is an error.
+
+def split_lines(file: BinaryIO, start: int, stop: int, size: int) -> list[bytes]:
+    """The lines, cut as Spark's reader cuts them, that begin from byte `start` to before `stop` of a file of `size` bytes.
+
+    A line ends with LF, CR or both. A byte order mark at the start of a file is not part of its first line.
+    """
+    first = max(0, start - 1)
+    file.seek(first)
+    data = file.read(stop - first)
+    if start:
+        # the end of the line before shows where the first one of this split begins
+        end = _LINE_END.search(data)
+        if end is None or end.end() >= len(data):
+            return []
+        data = data[end.end() :]
+    elif data.startswith(_MARK):
+        data = data[len(_MARK) :]
+    tail, at = [data], stop
+    while at < size and not (tail[-1].endswith((b"\n", b"\r")) or len(tail) > 1 and _LINE_END.search(tail[-1])):
+        block = file.read(min(size - at, BATCH_BYTES))
+        if not block:
+            break
+        tail.append(block)
+        at += len(block)
+    if len(tail) > 1:
+        end = _LINE_END.search(tail[-1])
+        if end is not None:
+            tail[-1] = tail[-1][: end.start()]
+    return b"".join(tail).splitlines()
+
+
+def stream_lines(file: BinaryIO) -> Iterator[bytes]:
+    """The lines of a file that can't be read from the middle."""
+    rest, first = [], True
+    while block := file.read(BATCH_BYTES):
+        if first and block.startswith(_MARK):
+            block = block[len(_MARK) :]
+        first = False
+        cut = block.rfind(b"\n") + 1
+        if cut:
+            yield from b"".join([*rest, block[:cut]]).splitlines()
+            rest = []
+        rest.append(block[cut:])
+    yield from b"".join(rest).splitlines()
+
+
+def _read_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    places, held, size = Places(), [], 0
+
+    def batch() -> pa.RecordBatch:
+        path, mtime, size_, ord_, value = zip(*held)
+        arrays = [pa.array(path), pa.array(mtime, pa.int64()), pa.array(size_, pa.int64()), pa.array(ord_, pa.int64()), pa.array(value, pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, names=["path", "file_mtime", "file_size", "ord", "value"])
+
+    for part in batches:
+        for split in part.to_pylist():
+            uri, total, start = split["path"], split["file_size"], split["start"]
+            place = places.of(uri)
+            if uri.endswith(".gz"):
+                file = place.files.open_input_stream(place.path(uri), compression="gzip")
+            else:
+                file = place.files.open_input_file(place.path(uri))
+            with file:
+                lines = stream_lines(file) if uri.endswith(".gz") else split_lines(file, start, split["stop"], total)
+                for n, line in enumerate(lines, (start >> START_STEP_BITS) << LINE_BITS):
+                    held.append((uri, split["file_mtime"], total, n, line))
+                    size += len(line)
+                    if size >= BATCH_BYTES or len(held) >= BATCH_LINES:
+                        yield batch()
+                        held, size = [], 0
+    if held:
+        yield batch()
+
+
+def read_files(spark: SparkSession, files: DataFrame, work: str) -> DataFrame:
+    """The ordered lines of the named files (path, file_mtime, file_size), written below `work`.
+
+    Tasks open the files, so neither their names nor a look at each of them pass through the driver, as they do with
+    Spark's reader. A file is read as far as it was listed; one that is gone by then is an error.
     """
-    portion: list[str] = []
-    spark.createDataFrame([], LINE_SCHEMA).write.mode("overwrite").parquet(work)
-
-    def read() -> None:
-        if portion:
-            _ordered_lines(spark.read.text(portion)).write.mode("append").parquet(work)
-            portion.clear()
-
-    for r in paths.select("path").toLocalIterator():
-        # the reader takes these for patterns
-        portion.append(re.sub(r"([*?\[\]{}\\])", r"\\\1", unquoted(r.path)))
-        if len(portion) == at_a_time:
-            read()
-    read()
+    last = F.when(F.col("path").endswith(".gz"), F.lit(0)).otherwise(F.greatest(F.col("file_size") - 1, F.lit(0))).cast("bigint")
+    starts = F.sequence(F.lit(0).cast("bigint"), last, F.lit(SPLIT_BYTES).cast("bigint"))
+    splits = files.select("path", "file_mtime", "file_size", F.explode(starts).alias("start"))
+    splits = splits.withColumn("stop", F.least(F.col("start") + SPLIT_BYTES, F.col("file_size")))
+    total = files.agg(F.sum("file_size")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    fields = "path string, file_mtime bigint, file_size bigint, ord bigint, value binary"
+    lines = splits.repartition(tasks, "path", "start").mapInArrow(_read_splits, fields)
+    lines.withColumn("value", F.col("value").cast("string")).write.parquet(work)
     return spark.read.schema(LINE_SCHEMA).parquet(work)
