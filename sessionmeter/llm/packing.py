@@ -18,7 +18,7 @@ import os
 import sys
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from math import ceil
 from types import ModuleType
 from unicodedata import is_normalized
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionmeter.llm.base import byte_words, mix, ready
+from sessionmeter.llm.base import byte_words, mix, ready, word_hashes, word_spans
 from sessionmeter.llm.graph import stored
 
 WINDOW = 4096
@@ -70,13 +70,43 @@ class Encoder:
         self._latin = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x250)}
 
     def many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text. Python takes one step per distinct word of the texts, numpy all others."""
+        parts = [(t or "").encode("utf-8", "replace") for t in texts]
+        data = b"\n".join(parts)
+        begins, ends = word_spans(data)
+        hashes, _ = word_hashes(data)
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if not _same_bytes(np.frombuffer(data, np.uint8), begins, ends - begins, first[which]):
+            return self._one_by_one(texts)  # two words with one hash
+        words = [data[b:e] for b, e in zip(begins[first].tolist(), ends[first].tolist())]
+        pieces = [*map(self._known.get, words), _END]
+        missing = [i for i, p in enumerate(pieces) if p is None]
+        if missing:
+            self._learn([words[i] for i in missing])
+            for i in missing:
+                pieces[i] = self._known[words[i]]
+        pool = np.frombuffer(b"".join(pieces), np.uint16)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 2
+        starts = np.cumsum(sizes) - sizes
+        # the words of all texts one after another, an end behind those of each
+        last = np.searchsorted(begins, np.cumsum([len(p) + 1 for p in parts])) + np.arange(len(parts))
+        order = np.full(len(which) + len(parts), len(words))
+        is_word = np.ones(len(order), bool)
+        is_word[last] = False
+        order[is_word] = which
+        many = sizes[order]
+        stops = np.cumsum(many)
+        ids = pool[np.repeat(starts[order] - stops + many, many) + np.arange(many.sum())]
+        return np.split(ids, stops[last[:-1]]) if parts else []
+
+    def _one_by_one(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [byte_words(t) for t in texts]
         distinct = set().union(*cut)
         self._learn(distinct)
         known = {w: self._known[w] for w in distinct}  # small enough for the processor's cache
         return [np.frombuffer(b"".join(map(known.__getitem__, words)) + _END, np.uint16) for words in cut]
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: Iterable[bytes]) -> None:
         known, pieces = self._known, self._pieces
         if len(known) > self._most:
             known.clear()
@@ -122,6 +152,14 @@ class Encoder:
         return array("H", [t.id for t in self._tokenizer.model.tokenize(core)]).tobytes()
 
 
+def _same_bytes(raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each word has the bytes of the word that `other` names for it."""
+    if not np.array_equal(sizes, sizes[other]):
+        return False
+    inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.array_equal(raw[inside + np.repeat(begins, sizes)], raw[inside + np.repeat(begins[other], sizes)])
+
+
 def worker_encoder(path: str) -> Encoder:
     """The encoder of this Python worker; its tasks come one after another and share what it remembers."""
     held = sys.modules.setdefault("sessionmeter_encoders", ModuleType("sessionmeter_encoders")).__dict__

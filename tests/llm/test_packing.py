@@ -55,6 +55,22 @@ def test_word_by_word_equals_whole_text(text):
     assert packing.Encoder(packing.word_bpe()).many([text])[0].tolist() == [*whole, 2]
 
 
+def test_python_takes_a_step_per_distinct_word_only(monkeypatch):
+    encoder = packing.Encoder(packing.word_bpe())
+    odd = [None, "", " \n", "a", "a a  b\x0b", "\ud800 x", "Z\u00e9 z\u00e9, a", None]
+    want = [x.tolist() for x in encoder._one_by_one(odd)]
+    monkeypatch.setattr(packing.Encoder, "_one_by_one", lambda *_: pytest.fail("word by word"))
+    assert [x.tolist() for x in encoder.many(odd)] == want
+    assert encoder.many([]) == []
+
+
+def test_words_of_one_hash_keep_their_own_ids(monkeypatch):
+    texts = ["one two", "three one", None]
+    want = [x.tolist() for x in packing.Encoder(packing.word_bpe()).many(texts)]
+    monkeypatch.setattr(packing, "word_hashes", lambda data: (np.zeros(len(data.split()), np.uint64), None))
+    assert [x.tolist() for x in packing.Encoder(packing.word_bpe()).many(texts)] == want
+
+
 def test_neighbours_are_bm25_order():
     rng = np.random.default_rng(5)
     docs = [rng.integers(0, 60, rng.integers(5, 50)).astype(np.uint16) for _ in range(30)]
