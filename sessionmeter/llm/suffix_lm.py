@@ -31,9 +31,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from sessionmeter.llm.base import fold, mix, ready, word_hashes
 from sessionmeter.llm.graph import bit_filter, stored, tidy, unstore
@@ -41,9 +40,12 @@ from sessionmeter.llm.graph import bit_filter, stored, tidy, unstore
 SIEVED = 2  # depths
 LEAST_CONTEXT, LEAST_FOLLOWER, LEAST_GAIN, DISCOUNT = 16, 2, 10.0, 0.75
 CONTEXT_BITS, FOLLOWER_BITS, MODEL_BITS = 24, 27, 28
-BUCKET_TOKENS = 4_000_000
+BUCKET_TOKENS = 2_000_000
 HEAD = 1 << 19
-FLUSH = 1_500_000
+SLOT_BITS = 21
+FLUSH = 750_000
+WORD_BITS = 9
+CHUNK_PAIRS, CHUNK_DOCS = 1_000_000, 50_000  # documents of a chunk are numbered in 16 bits
 
 END = int(mix(np.array([0x5DEECE66D], np.uint64))[0])
 _FACTOR, _STATE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA0761D6478BD642F)
@@ -78,6 +80,31 @@ def top_bits(key: str, width: int) -> Column:
     return F.shiftrightunsigned(F.col(key), 64 - width)
 
 
+def bucket_bits(tokens: int) -> int:
+    """Buckets of keys are told apart by this many top bits; a bucket's share of the work is bounded."""
+    return max(3, (max(1, tokens // BUCKET_TOKENS)).bit_length())
+
+
+def bucket_cuts(keys: np.ndarray, wide: int) -> np.ndarray:
+    """Where each bucket begins in sorted keys, and where the last one ends."""
+    edges = np.arange(1 << wide, dtype=np.uint64) << np.uint64(64 - wide)
+    return np.append(np.searchsorted(keys, edges), len(keys))
+
+
+def _numbers(blobs: Iterable[bytes], kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), kind)
+
+
+def by_bytes(x: np.ndarray) -> bytes:
+    """Numbers as their first bytes, then their second ones and so on: the high bytes of sorted keys compress well."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def from_bytes(blob: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def _filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     return (part for part in batches if len(part))
 
@@ -99,29 +126,48 @@ def _long(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, how often each occurs; the keys' order, and where in it each distinct one begins."""
+    order = np.argsort(key)
+    ordered = key[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(key) else np.zeros(0, np.int64)
+    return ordered[first], np.diff(np.append(first, len(key))), order, first
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, c), stored."""
+    """(word, c), stored. Counts meet by buckets of the word, as arrays."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
+
+        def flush() -> pd.DataFrame:
+            words, n = np.unique(np.concatenate(held), return_counts=True)
+            cut = bucket_cuts(words, WORD_BITS)
+            used = np.flatnonzero(np.diff(cut))
+            blobs = [[x[cut[b] : cut[b + 1]].tobytes() for b in used] for x in (words, n.astype(np.uint32))]
+            return pd.DataFrame({"bucket": used, "words": blobs[0], "n": blobs[1]})
+
         for part in _filled(batches):
             tokens, _ = _joined(part["text"])
             held.append(tokens)
             size += len(tokens)
-            if size > FLUSH:
-                words, n = np.unique(np.concatenate(held), return_counts=True)
-                yield pd.DataFrame({"word": _long(words), "n": n})
+            if size > 2 * FLUSH:
+                yield flush()
                 held, size = [], 0
         if held:
-            words, n = np.unique(np.concatenate(held), return_counts=True)
-            yield pd.DataFrame({"word": _long(words), "n": n})
+            yield flush()
+
+    def summed(part: pd.DataFrame) -> pd.DataFrame:
+        words, _, order, first = _distinct(_numbers(part["words"], np.uint64))
+        return pd.DataFrame({"word": _long(words), "c": np.add.reduceat(_numbers(part["n"], np.uint32).astype(np.int64)[order], first)})
 
-    return stored(texts.mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("c")), "words")
+    rows = texts.mapInPandas(count, "bucket long, words binary, n binary")
+    return stored(rows.groupBy("bucket").applyInPandas(summed, "word long, c long"), "words")
 
 
 def follower_bits(texts: DataFrame, depth: int, candidates: bytes, tokens: int) -> bytes:
     """A bit for every (context, word) that occurs twice or more after a candidate context."""
-    wide = max(3, (max(1, tokens // BUCKET_TOKENS)).bit_length())
+    wide = bucket_bits(tokens)
     is_candidate = np.frombuffer(candidates, np.uint8)
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,81 +208,94 @@ def follower_bits(texts: DataFrame, depth: int, candidates: bytes, tokens: int)
     return bytes(out)
 
 
-def followers(texts: DataFrame, depth: int, candidates: bytes, twice: bytes | None) -> DataFrame:
-    """(context, suffix, word, n) with n >= LEAST_FOLLOWER, for contexts that may be candidates."""
+def followers(texts: DataFrame, depth: int, candidates: bytes, twice: bytes | None, tokens: int) -> DataFrame:
+    """(context, key, under, n, ends) with n >= LEAST_FOLLOWER, for contexts that may be candidates.
+
+    `key` is the gram of context and word, `under` that of the context's suffix and the word (the word at depth 1),
+    `ends` whether the word is the end token. Counts meet by buckets of the key, as arrays.
+    """
     is_candidate, may_repeat = np.frombuffer(candidates, np.uint8), np.frombuffer(twice or b"", np.uint8)
+    wide = bucket_bits(tokens)
+    ends_bit = np.uint32(1 << 31)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
 
         def flush() -> pd.DataFrame:
-            context, suffix, word = (np.concatenate(x) for x in zip(*held))
-            _, first, n = np.unique(gram(context, word), return_index=True, return_counts=True)
-            return pd.DataFrame({"context": _long(context[first]), "suffix": _long(suffix[first]), "word": _long(word[first]), "n": n})
+            key, context, under, ends = (np.concatenate(x) for x in zip(*held))
+            key, n, order, first = _distinct(key)
+            first = order[first]
+            cut = bucket_cuts(key, wide)
+            used = np.flatnonzero(np.diff(cut))
+            columns = {"context": context[first], "under": under[first], "n": n.astype(np.uint32) | np.where(ends[first], ends_bit, np.uint32(0))}
+            if depth > 1:  # else it is made again of the other two
+                columns["key"] = key
+            blobs = {c: [x[cut[b] : cut[b + 1]].tobytes() for b in used] for c, x in columns.items()}
+            return pd.DataFrame({"bucket": used, "key": b"", **blobs})[["bucket", "key", "context", "under", "n"]]
 
         for part in _filled(batches):
-            tokens, starts = _joined(part["text"])
-            contexts = contexts_of(tokens, starts, depth)
-            context = contexts[-1]
-            ok = (context != 0) & has_bit(is_candidate, context, CONTEXT_BITS)
+            all_tokens, starts = _joined(part["text"])
+            contexts = contexts_of(all_tokens, starts, depth)
+            at = np.flatnonzero((contexts[-1] != 0) & has_bit(is_candidate, contexts[-1], CONTEXT_BITS))
+            key = gram(contexts[-1][at], all_tokens[at])
             if len(may_repeat):
-                ok[ok] = has_bit(may_repeat, gram(context[ok], tokens[ok]), FOLLOWER_BITS)
-            suffix = contexts[-2] if depth > 1 else np.zeros_like(context)
-            held.append((context[ok], suffix[ok], tokens[ok]))
-            size += int(ok.sum())
+                may = has_bit(may_repeat, key, FOLLOWER_BITS)
+                at, key = at[may], key[may]
+            word = all_tokens[at]
+            held.append((key, contexts[-1][at], gram(contexts[-2][at], word) if depth > 1 else word, word == np.uint64(END)))
+            size += len(at)
             if size > FLUSH:
                 yield flush()
                 held, size = [], 0
-        if held:
+        if size:
             yield flush()
 
-    rows = texts.mapInPandas(count, "context long, suffix long, word long, n long")
-    return rows.groupBy("context", "suffix", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_FOLLOWER)
+    def summed(part: pd.DataFrame) -> pd.DataFrame:
+        context, under, n = _numbers(part["context"], np.uint64), _numbers(part["under"], np.uint64), _numbers(part["n"], np.uint32)
+        key = _numbers(part["key"], np.uint64) if depth > 1 else gram(context, under)
+        _, _, order, first = _distinct(key)
+        many = np.add.reduceat((n & ~ends_bit).astype(np.int64)[order], first)
+        kept = many >= LEAST_FOLLOWER
+        at = order[first[kept]]
+        return pd.DataFrame(
+            {"context": _long(context[at]), "key": _long(key[at]), "under": _long(under[at]), "n": many[kept], "ends": n[at] >= ends_bit}
+        )
 
-
-@F.pandas_udf(LongType())
-def gram_key(context: pd.Series, word: pd.Series) -> pd.Series:
-    return pd.Series(_long(gram(context.to_numpy(np.int64).view(np.uint64), word.to_numpy(np.int64).view(np.uint64))))
-
-
-@F.pandas_udf(LongType())
-def state_key(context: pd.Series) -> pd.Series:
-    return pd.Series(_long(state(context.to_numpy(np.int64).view(np.uint64))))
+    rows = texts.mapInPandas(count, "bucket long, key binary, context binary, under binary, n binary")
+    return rows.groupBy("bucket").applyInPandas(summed, "context long, key long, under long, n long, ends boolean")
 
 
 def fitted(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """States and followers of one depth, both stored, of (context, suffix, word, n, total, lower).
+    """States and followers of one depth, both stored, of (context, key, n, total, lower).
 
     `lower` is ln P of the word at the suffix.
     """
-    stats = grams.groupBy("context").agg(F.sum("n").alias("seen"), F.count(F.lit(1)).alias("kinds"), F.max("total").alias("total"))
-    stats = stats.withColumn("back", 1 - (F.col("seen") - DISCOUNT * F.col("kinds")) / F.col("total")).drop("kinds")
-    own = F.log((F.col("n") - DISCOUNT) / F.col("total") + F.col("back") * F.exp("lower"))
-    rows = stored(grams.drop("total").join(stats, "context").withColumn("own", own), "fitted")
-    gain = F.sum(F.col("n") * (F.col("own") - F.col("lower"))) + F.max((F.col("total") - F.col("seen")) * F.log("back"))
-    states = stored(
-        rows.groupBy("context").agg(gain.alias("gain"), F.max("total").alias("total"), F.max("back").alias("back"))
-        .where(F.col("gain") >= LEAST_GAIN).select("context", "total", F.log("back").alias("back")),
-        "states",
-    )
-    kept = rows.select("context", "word", "n", "own", "lower").join(states.select("context", "back"), "context")
+    alike = Window.partitionBy("context")
+    rows = grams.withColumn("seen", F.sum("n").over(alike)).withColumn("kinds", F.count(F.lit(1)).over(alike))
+    rows = rows.withColumn("back", 1 - (F.col("seen") - DISCOUNT * F.col("kinds")) / F.col("total"))
+    rows = rows.withColumn("own", F.log((F.col("n") - DISCOUNT) / F.col("total") + F.col("back") * F.exp("lower")))
+    gain = F.sum(F.col("n") * (F.col("own") - F.col("lower"))).over(alike) + (F.col("total") - F.col("seen")) * F.log("back")
+    rows = rows.withColumn("gain", gain).where(F.col("gain") >= LEAST_GAIN).withColumn("back", F.log("back"))
     above = (F.col("own") - F.col("lower") - F.col("back")).alias("above")
-    kept = stored(kept.select("context", "word", "n", "own", above, gram_key("context", "word").alias("key")), "kept")
-    unstore(rows)
+    kept = stored(rows.select("context", "key", "n", "total", "own", "back", above), "kept")
+    states = stored(kept.groupBy("context").agg(F.max("total").alias("total"), F.max("back").alias("back")), "states")
     return states, kept
 
 
-def model(texts: DataFrame) -> tuple[DataFrame, int, int, int]:
-    """(key, base, known, extra, weight) of every key, in log10; N; V; the words of the longest contexts."""
+def model(texts: DataFrame) -> tuple[DataFrame, pa.Table, int, int, int]:
+    """The model by buckets; its head (key, value, kind; a state is named by its context); N; V; the words of the longest contexts.
+
+    A bucket: its keys in order, their values in log10, whether they are words, and its part of the bit table.
+    """
     words = word_counts(texts)
     done = [words]
     total, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     root = F.log((F.col("c") + 1) / F.lit(total + kinds + 1))
     ten = float(np.log(10.0))
-    parts = [words.select(F.col("word").alias("key"), (root / ten).alias("base"), F.lit(1).alias("known"), F.lit(0.0).alias("extra"), F.col("c").alias("weight"))]
+    parts = [words.select(F.col("word").alias("key"), (root / ten).alias("value"), F.lit(WORD).alias("kind"), F.col("c").alias("weight"))]
     end = int(np.array([END], np.uint64).view(np.int64)[0])
     candidates = words.where((F.col("c") >= LEAST_CONTEXT) & (F.col("word") != end)).select(F.col("word").alias("context"), F.col("c").alias("total"))
-    lower = words.select(F.lit(0).cast("long").alias("suffix"), "word", root.alias("lower"))
+    lower = words.select(F.col("word").alias("under"), root.alias("lower"))
     depth, before = 0, None
     while True:
         bits = bit_filter(candidates, top_bits("context", CONTEXT_BITS), CONTEXT_BITS)
@@ -245,112 +304,235 @@ def model(texts: DataFrame) -> tuple[DataFrame, int, int, int]:
         depth += 1
         twice = follower_bits(texts, depth, bits, total) if depth <= SIEVED else None
         tidy(texts.sparkSession)
-        grams = stored(followers(texts, depth, bits, twice).join(candidates, "context"), "followers")
+        grams = stored(followers(texts, depth, bits, twice, total).join(candidates, "context"), "followers")
         if before is not None:
             unstore(before)
         before = grams
         tidy(texts.sparkSession)
-        states, kept = fitted(grams.join(lower, ["suffix", "word"]))
+        states, kept = fitted(grams.select("context", "key", "under", "n", "total").join(lower, "under"))
         tidy(texts.sparkSession)
         done += [states, kept]
-        nothing = [F.lit(0.0).alias("base"), F.lit(0).alias("known")]
-        parts.append(states.select(state_key("context").alias("key"), *nothing, (F.col("back") / ten).alias("extra"), F.col("total").alias("weight")))
-        parts.append(kept.select("key", *nothing, (F.col("above") / ten).alias("extra"), F.col("n").alias("weight")))
-        # a longer context needs its own count and a suffix that is a state; that of two words is the last one
-        longer = grams.where((F.col("n") >= LEAST_CONTEXT) & (F.col("word") != end)).select("context", "suffix", "word", F.col("n").alias("total"))
-        newest = F.col("word") if depth == 1 else gram_key("suffix", "word")
-        longer = longer.select(gram_key("context", "word").alias("context"), newest.alias("suffix"), "total")
+        parts.append(states.select(F.col("context").alias("key"), (F.col("back") / ten).alias("value"), F.lit(STATE).alias("kind"), F.col("total").alias("weight")))
+        parts.append(kept.select("key", (F.col("above") / ten).alias("value"), F.lit(FOLLOWER).alias("kind"), F.col("n").alias("weight")))
+        # a longer context needs its own count and a suffix that is a state
+        longer = grams.where((F.col("n") >= LEAST_CONTEXT) & ~F.col("ends")).select(F.col("key").alias("context"), F.col("under").alias("suffix"), F.col("n").alias("total"))
         candidates = longer.join(states.select(F.col("context").alias("suffix")), "suffix", "left_semi").drop("suffix")
-        lower = kept.select(F.col("context").alias("suffix"), "word", F.col("own").alias("lower"))
+        lower = kept.select(F.col("key").alias("under"), F.col("own").alias("lower"))
     if before is not None:
         done.append(before)
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    table = stored(every, "model")
+    room, least = HEAD, None
+    for weight, many in every.groupBy("weight").count().orderBy(F.desc("weight")).limit(HEAD).collect():
+        room -= many
+        if room < 0:
+            break
+        least = weight
+    head = every.where(F.col("weight") >= F.lit(least)).select("key", "value", "kind").toArrow()
+    table = stored(bucketed(every, bucket_bits(total)), "model")
     unstore(*done)
     tidy(texts.sparkSession)
-    return table, int(total), int(kinds), depth
+    return table, head, int(total), int(kinds), depth
+
+
+WORD, STATE, FOLLOWER = range(3)
+BUCKET = "bucket long, keys binary, values binary, known binary"
+
+
+def model_keys(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, values and whether they are words, of (key, value, kind)."""
+    key, kind = rows["key"].to_numpy().view(np.uint64), rows["kind"].to_numpy()
+    return np.where(kind == STATE, state(key), key), rows["value"].to_numpy().astype(np.float64), kind == WORD
+
+
+def bucketed(every: DataFrame, wide: int) -> DataFrame:
+    """A row per bucket of (key, value, kind), with its bits of the table that tells which keys there may be."""
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            key, value, known = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(key)
+            key, value, known = key[order], value[order], known[order]
+            cut = bucket_cuts(key, wide)
+            used = np.flatnonzero(np.diff(cut))
+            blobs = [pa.array([x[cut[b] : cut[b + 1]].tobytes() for b in used], pa.binary()) for x in (key, value, known)]
+            return pa.RecordBatch.from_arrays([pa.array(used), *blobs], names=["bucket", "keys", "values", "known"])
+
+        for part in batches:
+            held.append(model_keys(part))
+            size += part.num_rows
+            if size > FLUSH:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
+
+    def joined(part: pd.DataFrame) -> pd.DataFrame:
+        key = _numbers(part["keys"], np.uint64)
+        order = np.argsort(key)
+        key, value, known = key[order], _numbers(part["values"], np.float64)[order], _numbers(part["known"], bool)[order]
+        bits = np.zeros(1 << (MODEL_BITS - wide), bool)
+        for place in (key >> np.uint64(64 - MODEL_BITS), key):
+            bits[place & np.uint64(len(bits) - 1)] = True
+        packed = np.packbits(bits, bitorder="little").tobytes()
+        return pd.DataFrame({"bucket": part["bucket"].iloc[:1], "keys": [by_bytes(key)], "values": [value.tobytes()], "known": [known.tobytes()], "bits": [packed]})
+
+    return every.select("key", "value", "kind").mapInArrow(cut_up, BUCKET).groupBy("bucket").applyInPandas(joined, BUCKET + ", bits binary")
 
 
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     ready(docs.sparkSession)
     held_out = F.coalesce(fold("doc_id", 7) == 2, F.lit(False))
-    table, total, kinds, depth = model(docs.where(~held_out).select(F.col("text").cast("string").alias("text")))
-    head = table.orderBy(F.desc("weight"), "key").limit(HEAD).select("key", "base", "known", "extra").toArrow()
-    order = np.argsort(head["key"].to_numpy().view(np.uint64))
-    keys = head["key"].to_numpy().view(np.uint64)[order]
-    base, known, extra = (head[c].to_numpy()[order].astype(np.float64) for c in ("base", "known", "extra"))
-    # two bits for each key, from either end of it
-    places = table.select(F.explode(F.array(top_bits("key", MODEL_BITS), F.col("key").bitwiseAND(F.lit((1 << MODEL_BITS) - 1)))).alias("place"))
-    bits = np.frombuffer(bit_filter(places, F.col("place"), MODEL_BITS), np.uint8)
+    table, head, total, kinds, depth = model(docs.where(~held_out).select(F.col("text").cast("string").alias("text")))
+    wide = bucket_bits(total)
+    bits = np.zeros((1 << MODEL_BITS) // 8, np.uint8)
+    size = len(bits) >> wide
+    for r in table.select("bucket", "bits").toLocalIterator():
+        bits[r["bucket"] * size : (r["bucket"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+    sums = summed_values(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text")), table, head, bits, wide, depth)
     unknown = -float(np.log10(total + kinds + 1))
-    text_type = pa.struct(
-        [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("base", pa.float64()), ("known", pa.int64()), ("extra", pa.float64())]
+    base_score = F.col("base") + (F.col("n_tokens") - F.col("n_known")) * F.lit(unknown)
+    return sums.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+        base_score.alias("base_score"), (base_score + F.col("extra")).alias("score"),
     )
 
+
+ASKED = "bucket long, chunk long, keys binary, many binary, docs binary, whole binary"
+GIVEN = "chunk long, docs binary, extra binary, word_docs binary, base binary, known binary, whole binary"
+WHOLE = np.dtype([("doc_id", np.int64), ("null", bool), ("held_out", bool), ("n_tokens", np.int64), ("base", np.float64), ("known", np.int64), ("extra", np.float64)])
+
+
+def summed_values(docs: DataFrame, table: DataFrame, head: pa.Table, bits: np.ndarray, wide: int, depth: int) -> DataFrame:
+    """Sums of the model's values per document: doc_id, held_out, n_tokens, n_known, base, extra.
+
+    A chunk of documents asks each bucket once for a key, with the documents it occurs in (as numbers in the chunk);
+    the bucket's task gives back the sums of each chunk's documents, which are added up by chunk.
+    """
+    # a slot holds one key of the head; another one of the same slot is asked for as the rest are
+    keys, value, is_word = model_keys(head)
+    slots = np.full(1 << SLOT_BITS, -1, np.int32)
+    slots[keys >> np.uint64(64 - SLOT_BITS)] = np.arange(len(keys))
+    keys, value, is_word = np.append(keys, np.uint64(0)), np.append(value, 0.0), np.append(is_word, False)  # the last for empty slots
+    inner = np.uint64((1 << (MODEL_BITS - wide)) - 1)
+
     def in_model(key: np.ndarray) -> np.ndarray:
         may = has_bit(bits, key, MODEL_BITS)
-        may[may] = has_bit(bits, key[may] << np.uint64(64 - MODEL_BITS), MODEL_BITS)
+        left = key[may]
+        place = (left >> np.uint64(64 - MODEL_BITS)) & ~inner | left & inner
+        may[may] = has_bit(bits, place << np.uint64(64 - MODEL_BITS), MODEL_BITS)
         return may
 
-    def lookups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        made = TaskContext.get().partitionId() << 33
+        asked, wholes, pairs, many_docs = [], [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            key, doc = (np.concatenate(x) for x in zip(*asked))
+            key, times, order, first = _distinct(key)
+            doc, times = doc[order], times.astype(np.uint32)
+            cut = bucket_cuts(key, wide)
+            first = np.append(first, len(doc))
+            used = np.flatnonzero(np.diff(cut))
+            spread = int(mix(np.array([made], np.uint64))[0]) & ((1 << wide) - 1)
+            columns = [
+                [*used.tolist(), spread],
+                [made] * (len(used) + 1),
+                [*[by_bytes(key[cut[b] : cut[b + 1]]) for b in used], None],
+                [*[by_bytes(times[cut[b] : cut[b + 1]]) for b in used], None],
+                [*[doc[first[cut[b]] : first[cut[b + 1]]].tobytes() for b in used], None],
+                [*[None] * len(used), np.concatenate(wholes).tobytes()],
+            ]
+            kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in ASKED.split(", ")])
+
         for part in batches:
             many = part.num_rows
             if not many:
                 continue
             tokens, starts = _joined(part["text"].to_pylist())
             sizes = np.diff(np.append(starts, len(tokens)))
-            text = np.repeat(np.arange(many), sizes)
+            text = np.repeat(np.arange(many, dtype=np.uint16), sizes)
             may = in_model(tokens)
             wanted, owner = [tokens[may]], [text[may]]
-            at = None
-            for context in contexts_of(tokens, starts, depth):
-                at = np.flatnonzero(context) if at is None else at[context[at] != 0]
-                key = state(context[at])
+            at, age = np.arange(len(tokens)), np.arange(len(tokens)) - np.repeat(starts, sizes)
+            for k in range(1, depth + 1):
+                at = at[age[at] >= k]
+                context = tokens[at - k]
+                for j in range(k - 1, 0, -1):
+                    context = gram(context, tokens[at - j])
+                key = state(context)
                 may = in_model(key)  # a longer context is no state where this one is none
                 at = at[may]
-                follower = gram(context[at], tokens[at])
+                follower = gram(context[may], tokens[at])
                 kept = in_model(follower)
                 wanted += [key[may], follower[kept]]
                 owner += [text[at], text[at[kept]]]
             key, owner_ = np.concatenate(wanted), np.concatenate(owner)
-            distinct, which = np.unique(key, return_inverse=True)
-            place = np.minimum(np.searchsorted(keys, distinct), max(0, len(keys) - 1))
-            in_head = keys[place] == distinct if len(keys) else np.zeros(len(distinct), bool)
-            hit = in_head[which]
-            found = place[which[hit]]
-            # without any hit bincount gives whole numbers
-            sums = [np.bincount(owner_[hit], weights=v[found], minlength=many).astype(np.float64) for v in (base, known, extra)]
-            row = part["row"].to_numpy()
-            whole = pa.StructArray.from_arrays(
-                [part["doc_id"], part["held_out"], pa.array(sizes), pa.array(sums[0]), pa.array(sums[1].astype(np.int64)), pa.array(sums[2])], fields=text_type.fields
-            )
-            # a key of its own that is none of the model's, so that these rows spread
-            own = _long(mix(row.view(np.uint64) ^ np.uint64(0x123456789)))
-            yield pa.RecordBatch.from_arrays([part["row"], pa.array(own), pa.array(np.zeros(many, np.int32)), whole], names=["row", "key", "n", "whole"])
-            pair, times = np.unique(which[~hit].astype(np.int64) * many + owner_[~hit], return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row[pair % many]), pa.array(_long(distinct[pair // many])), pa.array(times.astype(np.int32)), pa.nulls(len(pair), text_type)],
-                names=["row", "key", "n", "whole"],
-            )
-
-    source = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text")
-    )
-    whole_type = "struct<doc_id: long, held_out: boolean, n_tokens: long, base: double, known: long, extra: double>"
-    rows = source.mapInArrow(lookups, f"row long, key long, n int, whole {whole_type}").select("row", "key", "n", "whole.*")
-    values = table.select("key", F.col("base").alias("_b"), F.col("known").alias("_k"), F.col("extra").alias("_e"))
-    n = F.col("n")
-    summed = rows.join(values, "key", "left").groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.coalesce("known", n * F.col("_k"), F.lit(0))).cast("long").alias("n_known"),
-        F.sum(F.coalesce("base", n * F.col("_b"), F.lit(0.0))).alias("base"),
-        F.sum(F.coalesce("extra", n * F.col("_e"), F.lit(0.0))).alias("extra"),
-    )
-    base_score = F.col("base") + (F.col("n_tokens") - F.col("n_known")) * F.lit(unknown)
-    return summed.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
-        base_score.alias("base_score"), (base_score + F.col("extra")).alias("score"),
-    )
+            place = slots[key >> np.uint64(64 - SLOT_BITS)]
+            hit = (keys[place] == key) & (place >= 0)
+            found, of = place[hit], owner_[hit]
+            whole = np.zeros(many, WHOLE)
+            word = is_word[found]
+            whole["doc_id"] = part["doc_id"].fill_null(0).to_numpy()
+            whole["null"] = part["doc_id"].is_null().to_numpy(zero_copy_only=False)
+            whole["held_out"] = part["held_out"].to_numpy(zero_copy_only=False)
+            whole["n_tokens"] = sizes
+            whole["base"] = np.bincount(of[word], weights=value[found[word]], minlength=many)
+            whole["known"] = np.bincount(of[word], minlength=many)
+            whole["extra"] = np.bincount(of[~word], weights=value[found[~word]], minlength=many)
+            asked.append((key[~hit], owner_[~hit] + np.uint16(many_docs)))
+            wholes.append(whole)
+            pairs += int((~hit).sum())
+            many_docs += many
+            if pairs > CHUNK_PAIRS or many_docs > CHUNK_DOCS:
+                yield flush()
+                asked, wholes, pairs, many_docs, made = [], [], 0, 0, made + 1
+        if wholes:
+            yield flush()
+
+    def answer(part: pd.DataFrame) -> pd.DataFrame:
+        own = part[part["chunk"].isna()]
+        have, worth, words = from_bytes(b"".join(own["keys"]), np.uint64), _numbers(own["many"], np.float64), _numbers(own["docs"], bool)
+        out = []
+        for r in part[part["chunk"].notna()].itertuples(index=False):
+            if r.whole is not None:
+                out.append((r.chunk, None, None, None, None, None, r.whole))
+                continue
+            key = from_bytes(r.keys, np.uint64)
+            place = np.minimum(np.searchsorted(have, key), max(0, len(have) - 1))
+            hit = have[place] == key if len(have) else np.zeros(len(key), bool)
+            times, doc = from_bytes(r.many, np.uint32), np.frombuffer(r.docs, np.uint16)
+            of = np.repeat(np.where(hit, place, -1), times)
+            got = []
+            for wordy in (False, True):
+                mine = (of >= 0) & (words[of] == wordy) if len(have) else np.zeros(len(of), bool)
+                seen = np.bincount(doc[mine])
+                used = np.flatnonzero(seen)
+                got += [used.astype(np.uint16).tobytes(), np.bincount(doc[mine], weights=worth[of[mine]])[used].tobytes()]
+            out.append((r.chunk, *got, seen[used].astype(np.uint32).tobytes(), None))
+        return pd.DataFrame(out, columns=[x.split()[0] for x in GIVEN.split(", ")])
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        whole = np.frombuffer(part["whole"].dropna().iloc[0], WHOLE).copy()
+        for r in part[part["whole"].isna()].itertuples(index=False):
+            whole["extra"][np.frombuffer(r.docs, np.uint16)] += np.frombuffer(r.extra, np.float64)
+            words = np.frombuffer(r.word_docs, np.uint16)
+            whole["base"][words] += np.frombuffer(r.base, np.float64)
+            whole["known"][words] += np.frombuffer(r.known, np.uint32)
+        return pd.DataFrame(
+            {
+                "doc_id": pd.Series(whole["doc_id"]).astype("Int64").mask(whole["null"]), "held_out": whole["held_out"], "n_tokens": whole["n_tokens"],
+                "n_known": whole["known"], "base": whole["base"], "extra": whole["extra"],
+            }
+        )
+
+    mine = table.select("bucket", F.lit(None).cast("long").alias("chunk"), "keys", F.col("values").alias("many"), F.col("known").alias("docs"), F.lit(None).cast("binary").alias("whole"))
+    given = docs.mapInArrow(ask, ASKED).unionByName(mine).groupBy("bucket").applyInPandas(answer, GIVEN)
+    return given.groupBy("chunk").applyInPandas(add, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, extra double")

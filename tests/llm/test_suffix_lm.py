@@ -121,3 +121,22 @@ def test_odd(spark):
     held_out = next(i for i in range(100) if fold_of(i, 7) == 2)
     alone = suffix_lm.scores(documents(spark, [(held_out, "only words")])).collect()[0]
     assert (alone.n_known, alone.train_tokens, alone.n_tokens) == (0, 0, 3) and alone.base_score == 0
+
+
+def test_join_moves_keys_by_chunk_not_by_text(spark, monkeypatch):
+    """Copies of a text ask for their keys once: rows that leave the texts' tasks grow with buckets, not with texts."""
+    monkeypatch.setattr(suffix_lm, "HEAD", 0)  # so that all keys take the join
+    texts = {i: "one two three four five six seven " * 6 for i in range(300)}
+    want, _ = brute(texts)
+    got = suffix_lm.scores(documents(spark, list(texts.items())).coalesce(1))
+    assert all(math.isclose(r.score, want[r.doc_id][4], rel_tol=1e-9) and r.n_known == want[r.doc_id][1] for r in got.collect())
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "FlatMapGroupsInPandas" in plan
+
+
+def test_numbers_by_bytes():
+    import numpy as np
+
+    for kind, x in ((np.uint64, [0, 1, 258, (1 << 64) - 1]), (np.uint32, [7]), (np.uint64, [])):
+        blob = suffix_lm.by_bytes(np.array(x, kind))
+        assert suffix_lm.from_bytes(blob, kind).tolist() == x
