@@ -37,6 +37,7 @@ _END = END.to_bytes(2, "little")
 TASK_TOKENS = 4_000_000
 SHARD_DOCS, SHARD_TOKENS = 512, 1_500_000
 K1, B = 1.2, 0.75
+BATCH_CHARS = 2_000_000
 VOCABULARY = 1 << 16  # ids are kept in 16 bits
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -66,6 +67,7 @@ class Encoder:
         if self._tokenizer.get_vocab_size() > VOCABULARY:
             raise ValueError("the vocabulary does not fit 16 bits")
         self._marks: dict[bytes, bytes] = {}
+        self._two = [i.to_bytes(2, sys.byteorder) for i in range(self._tokenizer.get_vocab_size())]
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self._latin = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x250)}
 
@@ -116,11 +118,16 @@ class Encoder:
         if not new:
             return
         lows = b"\n".join(new).lower().split(b"\n")
-        cores = [low.rstrip(self.MARKS) for low in lows]
-        for core in {c for c in cores if c not in pieces}:
-            pieces[core] = self._letters(core)
-        for word, low, core in zip(new, lows, cores):
-            piece = pieces[core]
+        marks, tokenize = self.MARKS, self._tokenizer.model.tokenize
+        for word, low in zip(new, lows):
+            core = low.rstrip(marks)
+            piece = pieces.get(core, 0)
+            if piece == 0:
+                if core.isalpha():  # letters of ASCII only
+                    piece = self._bytes_of(tokenize(core.decode()))
+                else:
+                    piece = self._letters(core)
+                pieces[core] = piece
             if piece is None:
                 known[word] = self._whole(word)
             elif len(core) == len(low):
@@ -149,7 +156,11 @@ class Encoder:
             core = low.translate(self._latin)
         else:
             core = core.decode()
-        return array("H", [t.id for t in self._tokenizer.model.tokenize(core)]).tobytes()
+        return self._bytes_of(self._tokenizer.model.tokenize(core))
+
+    def _bytes_of(self, tokens: list) -> bytes:
+        two = self._two
+        return two[tokens[0].id] if len(tokens) == 1 else b"".join([two[t.id] for t in tokens])
 
 
 def _same_bytes(raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray, other: np.ndarray) -> bool:
@@ -178,6 +189,38 @@ def _task() -> int:
     return TaskContext.get().partitionId()
 
 
+def distinct_ids(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of each text (none is empty), one text after another, and where those of each text begin."""
+    if not texts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    key = np.sort((np.repeat(np.arange(len(texts)), [len(t) for t in texts]) << 16) | np.concatenate(texts))
+    key = key[np.append(True, key[1:] != key[:-1])]
+    return key & (VOCABULARY - 1), np.searchsorted(key >> 16, np.arange(len(texts)))
+
+
+def min_hashes(own: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Two MinHashes of each text's distinct ids, in one number."""
+    if not len(first):
+        return np.zeros(0, np.int64)
+    h = mix(own.astype(np.uint64) + np.uint64(1))
+    low = [np.minimum.reduceat(x, first) >> np.uint64(33) for x in (h, h * np.uint64(0x9E3779B97F4A7C15))]
+    return ((low[0] << np.uint64(31)) | low[1]).astype(np.int64)
+
+
+def _larger(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list]]:
+    """Ids and texts of batches put together up to some `BATCH_CHARS` characters: fewer words are distinct in them."""
+    doc_ids, texts, size = [], [], 0
+    for part in batches:
+        doc_ids += list(part["doc_id"])
+        texts += list(part["text"])
+        size += sum(len(t) for t in part["text"] if t)
+        if size > BATCH_CHARS or len(texts) > BATCH_CHARS // 256:
+            yield doc_ids, texts
+            doc_ids, texts, size = [], [], 0
+    if texts:
+        yield doc_ids, texts
+
+
 TOKENS = PIECE + ", rest binary, place long, counts binary"
 
 
@@ -187,21 +230,20 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, task, made = worker_encoder(path), _task(), 0
         frequency, total = np.zeros(VOCABULARY, np.int64), 0
-        for part in batches:
-            out = []
-            for doc_id, ids in zip(part["doc_id"], encoder.many(list(part["text"]))):
+        for doc_ids, given in _larger(batches):
+            out, texts = [], encoder.many(given)
+            own, first = distinct_ids(texts)
+            frequency += np.bincount(own, minlength=VOCABULARY)
+            total += len(texts)
+            places = min_hashes(own, first).tolist()
+            for doc_id, ids, place in zip(doc_ids, texts, places):
                 n = len(ids)
-                own = np.unique(ids)
-                frequency[own] += 1
-                total += 1
                 whole = n // WINDOW * WINDOW
                 for s in range(0, whole, WINDOW):
                     out.append((doc_id, s, WINDOW, crc(ids[s : s + WINDOW]), n, 2 * ((task << 33) | made) + 1, 0, None, None, None))
                     made += 1
                 if whole < n:
-                    h = mix(own.astype(np.uint64) + np.uint64(1))
-                    low = [int(h.min() >> np.uint64(33)), int((h * np.uint64(0x9E3779B97F4A7C15)).min() >> np.uint64(33))]
-                    out.append((doc_id, whole, n - whole, None, n, None, None, ids[whole:].tobytes(), (low[0] << 31) | low[1], None))
+                    out.append((doc_id, whole, n - whole, None, n, None, None, ids[whole:].tobytes(), place, None))
             yield _frame(out)
         if total:
             yield _frame([(None, None, total, None, None, None, None, None, None, frequency.tobytes())])

@@ -88,3 +88,16 @@ def test_neighbours_are_bm25_order():
     got = packing.Shard(docs, idf).neighbours(3, unused)
     scores = [score(docs[3], docs[i]) for i in got]
     assert set(got.tolist()) == set(range(30)) - {3, 7} and all(a >= b - 1e-5 for a, b in zip(scores, scores[1:]))
+
+
+def test_ids_and_min_hashes_of_many_texts_at_once():
+    from sessionmeter.llm.base import mix
+
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 1 << 16, n).astype(np.uint16) for n in (1, 700, 3)] + [np.array([2, 2, 65535], np.uint16)]
+    own, first = packing.distinct_ids(texts)
+    assert [x.tolist() for x in np.split(own, first[1:])] == [np.unique(t).tolist() for t in texts]
+    for t, place in zip(texts, packing.min_hashes(own, first).tolist()):
+        h = mix(np.unique(t).astype(np.uint64) + np.uint64(1))
+        assert place == (int(h.min()) >> 33 << 31) | int((h * np.uint64(0x9E3779B97F4A7C15)).min()) >> 33
+    assert len(packing.distinct_ids([])[0]) == 0 and len(packing.min_hashes(*packing.distinct_ids([]))) == 0
