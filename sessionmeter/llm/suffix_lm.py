@@ -17,7 +17,7 @@ where almost every position has a candidate context, a pass before it deals 32-b
 only to learn which occur twice or more (a bit table of bounded size). False positives of bit tables cost work, never
 a wrong count. In logarithms the score of a text is a plain sum over keys: unigrams, states (log b) and followers (what
 they have above it); a position asks for a longer context only while the shorter one may be a state. Keys of a bounded
-head of the model are summed where the text is read, all others by a join, so no task holds the model.
+head of the model are summed where the text is read, all others by buckets of keys, so no task holds the model.
 
 Training texts are those outside fold 2 of 7; all of them are counted. The model grows with them. Null and empty
 texts consist of the end token alone. Rows equal in id are documents of their own; other columns are not read. Without
