@@ -37,7 +37,7 @@ _END = END.to_bytes(2, "little")
 TASK_TOKENS = 4_000_000
 SHARD_DOCS, SHARD_TOKENS = 512, 1_500_000
 K1, B = 1.2, 0.75
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 VOCABULARY = 1 << 16  # ids are kept in 16 bits
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -284,12 +284,13 @@ class Shard:
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray):
         self.size = len(docs)
-        parts = [np.unique(d, return_counts=True) for d in docs]
-        lengths = np.array([len(d) for d in docs], float)
-        self._terms = [t for t, _ in parts]
-        token = np.concatenate([t for t, _ in parts]).astype(np.int64)
-        count = np.concatenate([c for _, c in parts]).astype(float)
-        doc = np.repeat(np.arange(self.size), [len(t) for t, _ in parts])
+        lengths = np.array([len(d) for d in docs])
+        key = np.sort((np.repeat(np.arange(self.size), lengths) << 16) | np.concatenate(docs))
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        count = np.diff(np.append(first, len(key))).astype(float)
+        token, doc = key[first] & (VOCABULARY - 1), key[first] >> 16
+        self._terms = np.split(token, np.searchsorted(doc, np.arange(1, self.size)))
+        lengths = lengths.astype(float)
         weight = idf[token] * count * (K1 + 1) / (count + K1 * (1 - B + B * lengths[doc] / lengths.mean()))
         order = np.argsort(token, kind="stable")
         self._doc, self._weight = doc[order], weight[order]
@@ -297,7 +298,7 @@ class Shard:
 
     def neighbours(self, doc: int, unused: np.ndarray) -> np.ndarray:
         """The unused documents, best score first; equal ones in their order."""
-        terms = self._terms[doc].astype(np.int64)
+        terms = self._terms[doc]
         low, many = self._starts[terms], self._starts[terms + 1] - self._starts[terms]
         at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
         scores = np.bincount(self._doc[at], weights=self._weight[at], minlength=self.size)
