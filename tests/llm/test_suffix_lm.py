@@ -140,3 +140,36 @@ def test_numbers_by_bytes():
     for kind, x in ((np.uint64, [0, 1, 258, (1 << 64) - 1]), (np.uint32, [7]), (np.uint64, [])):
         blob = suffix_lm.by_bytes(np.array(x, kind))
         assert suffix_lm.from_bytes(blob, kind).tolist() == x
+
+
+def test_stretches_keep_all_deep_followers(spark):
+    """Contexts of three words and more are counted in stretches cut out of the texts, with the counts of whole texts."""
+    rng = random.Random(7)
+    texts = documents(spark, [(i, " ".join(rng.choice("abcdefgh") for _ in range(200))) for i in range(60)]).select("text")
+    some = bytes(rng.randrange(256) | rng.randrange(256) for _ in range((1 << suffix_lm.CONTEXT_BITS) // 8))
+    cut = suffix_lm.stretches(texts, [some] * 3)
+    assert cut.count() > 0
+    want = Counter()
+    import numpy as np
+
+    tables = [np.frombuffer(some, np.uint8)] * 3
+    for r in texts.collect():
+        tokens, starts = suffix_lm._joined([r.text])
+        at = suffix_lm._followed(tokens, starts, tables)
+        key = suffix_lm.gram(suffix_lm.context_before(tokens, at, 3), tokens[at])
+        want.update(key.view(np.int64).tolist())
+    rows = suffix_lm.followers(cut, 3, some, None, 10_000).collect()
+    assert {r.key: r.n for r in rows} == {k: n for k, n in want.items() if n >= 2}
+    heavy = list({r.context for r in rows})[::2]  # dealt by key instead of by context
+    assert sorted(suffix_lm.followers(cut, 3, some, None, 10_000, heavy).collect()) == sorted(rows)
+
+
+def test_head_holds_the_commonest_key_of_a_slot(spark, monkeypatch):
+    """A key that falls into the slot of a rarer one is summed where the text is read; the rarer one is asked for."""
+    import numpy as np
+
+    rows = [(k << 52, float(k), suffix_lm.FOLLOWER, k % 97) for k in range(1, 2048)]
+    table = suffix_lm.bucketed(spark.createDataFrame(rows, "key long, value double, kind int, weight long"), 3, 16).collect()
+    keys = np.concatenate([np.frombuffer(r.head_keys, np.uint64) for r in table])
+    assert len(set(suffix_lm.slots_of(keys, 16).tolist())) == 8 and {int(k >> np.uint64(52)) % 97 for k in keys} == {96}
+    assert sum(len(suffix_lm.from_bytes(r.keys, np.uint64)) for r in table) == len(rows)
